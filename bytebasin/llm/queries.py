@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bytebasin.llm import common, sentencepieces, token_counts, token_output
+from bytebasin.llm import chat, common, pii, sentencepieces, token_counts, token_output
 
 #: Where the public tokenizers' files lie; another folder by this variable.
 TOKENIZERS = os.environ.get("BYTEBASIN_TOKENIZERS", "")
@@ -38,6 +39,34 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_shards(spark, folder, manifest)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_personal_data(docs).select("doc_id", "pii")
+
+    def of(*kinds: str) -> Column:
+        return F.filter("pii", lambda s: s["kind"].isin(*kinds))
+
+    counts = {f"n_{k}": F.size(of(k)).cast("long") for k in pii.BASE}
+    base = of(*pii.BASE)
+    digests = {"base_sha256": F.sha2(pii.joined(base), 256), "spans": pii.joined(F.col("pii"))}
+    return found.select("doc_id", *[c.alias(n) for n, c in (counts | digests).items()])
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
+    events = rows.unionByName(more).withColumns({"seq": F.col("turn"), "kind": F.lit(chat.MESSAGE)})
+    formatted = chat.format_events(events)
+    back = chat.read_back(formatted.withColumn("conv_id", F.struct("conv_id", F.length("formatted").cast("long").alias("chars"))))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join("learnt", "")
+    return back.select(
+        F.col("conv_id.conv_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), F.col("conv_id.chars").alias("formatted_chars"),
+    )
+
+
 def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepieces.with_piece_digests(docs, tokenizer_file("piece_bpe_32k.model")).drop("text")
@@ -46,6 +75,8 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_token_output": op6_token_output,
+    "op8_pii": op8_pii,
+    "op9_chat": op9_chat,
     "op10_sentencepieces": op10_sentencepieces,
 }
 

@@ -111,7 +111,6 @@ def test_spans_agree_with_the_library(spark, sf):
     for t in corpus(spark, sf)[:40] + [t for t in TEXTS if t and "\x00" not in t]:
         ids = encoder.processor.encode(t)
         start, end = encoder.spans(t, np.array(ids, int))
-        raw = t.encode()
         proto = encoder.processor.encode(t, return_type="proto")
         for p, s, e in zip(proto.pieces, start.tolist(), end.tolist()):
             if not encoder.processor.is_byte(p.id):
