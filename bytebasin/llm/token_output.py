@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from bytebasin.llm.common import bucket_of, cut_points
 from bytebasin.llm.elias_fano import EliasFano
-from bytebasin.llm.word_bpe import WordEncoder
+from bytebasin.llm.word_bpe import WordEncoder, kept_encoder
 
 MAGIC = b"EFTOKENS"
 _NULL = np.iinfo(np.int64).min
@@ -51,7 +51,7 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL)))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, fs, base = WordEncoder(path), *_open(folder)
+        encoder, (fs, base) = kept_encoder(path, lambda: WordEncoder(path)), _open(folder)
         end = np.array([end_id], encoder.dtype).tobytes()
         out, ids, sizes, task = None, [], [], TaskContext.get()
         for batch in batches:
