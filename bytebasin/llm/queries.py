@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytebasin.llm import chat, common, pii, sentencepieces, token_counts, token_output
+from bytebasin.llm import chat, common, decontaminate, fingerprints, pii, sentencepieces, token_counts, token_output, toxicity
 
 #: Where the public tokenizers' files lie; another folder by this variable.
 TOKENIZERS = os.environ.get("BYTEBASIN_TOKENIZERS", "")
@@ -27,6 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.with_toxicity(docs, model)
+    score = F.col("toxicity.score")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.size("toxicity.passages").cast("long").alias("n_passages"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.digests(found.select("doc_id", "hits"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.with_token_counts(docs, tokenizer_file("word_bpe_49k.json")).drop("text")
@@ -39,6 +53,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_token_shards(spark, folder, manifest)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbour_likeness(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.with_personal_data(docs).select("doc_id", "pii")
@@ -73,8 +91,11 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op6_token_output": op6_token_output,
+    "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_sentencepieces": op10_sentencepieces,
