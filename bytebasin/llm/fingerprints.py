@@ -154,7 +154,8 @@ def with_neighbour_likeness(docs: DataFrame, samples: int = SAMPLES, doc_id: str
     own = F.array(F.struct(F.col("range").cast("int").alias("range"), F.lit(False).alias("guest")))
     dealt = rows.select("doc_id", "text", F.explode(F.concat(own, F.coalesce(extra, F.expr("CAST(array() AS ARRAY<STRUCT<range: INT, guest: BOOLEAN>>)")))).alias("to"))
     dealt = dealt.select("doc_id", "text", "to.range", "to.guest").repartitionById(last + 1, F.col("range"))
-    dealt = dealt.sortWithinPartitions("guest", key.desc_nulls_last(), "text").drop("range")
+    dealt = dealt.sortWithinPartitions("guest", key.desc_nulls_last(), "text")
+    dealt = dealt.select(key.cast("string").alias("doc_id"), "text", "guest")  # an id with nulls must not pass through floats
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler, before, done = _sampler(samples), None, False
@@ -176,8 +177,7 @@ def with_neighbour_likeness(docs: DataFrame, samples: int = SAMPLES, doc_id: str
                 if before is not None:
                     out.append(row(before, this))
                 before, done = this, bool(guest)
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInPandas(compare, schema)
+    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return dealt.mapInPandas(compare, schema).withColumn("doc_id", key.cast("long"))
