@@ -129,7 +129,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRA
     known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_training)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    training = known.join(rows, "id").select("label", "text")
+    training = rows.join(F.broadcast(known), "id").select("label", "text")  # at most max_training ids
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         having: tuple[Counter, Counter] = (Counter(), Counter())
