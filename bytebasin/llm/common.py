@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +50,12 @@ def bucket_of(key: Column, cuts: list[int]) -> Column:
     )
 
 
-def ragged_arange(lengths: np.ndarray) -> np.ndarray:
-    """0..n-1 for each n of ``lengths``, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once a row.
+
+    They come out of a generator, through which the optimiser moves no expression: a later step that names such a column
+    several times, or filters by it, reads its value and does not compute it again.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(*columns))
+

@@ -11,30 +11,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytebasin.llm.common import staged
+
 #: A line ends after its line breaks, or where a sentence ends and a space follows; it keeps what ends it.
-LINE_END = r"(?<=\n)(?=[^\n])|(?<=[.!?] )(?=\S)"
-#: Lines hashed together; such hashes in a window; words from which a line is a fingerprint by itself; words from which
-#: a repeated run is deleted.
-GRAM, WINDOW, LONG_LINE, MIN_WORDS = 2, 2, 16, 25
+LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
+#: A character that marks line ends for a while; a text that has it is cut by the pattern instead.
+_MARK = "\x01"
+#: Words from which a line is a fingerprint by itself; words from which a repeated run is deleted.
+LONG_LINE, MIN_WORDS = 25, 25
 #: Bits that a neighbour's hash is cut to where it travels with a fingerprint, four to a long.
 _CUT = 0xFFFF
 
 
 def lines_of(text: Column) -> Column:
     """Lines of a text; joined, they are the text. A null or empty text has none."""
-    parts = F.filter(F.split(text, LINE_END, -1), lambda x: x != "")
-    return F.when(F.length(text) > 0, parts).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    marked = F.replace(marked, F.lit(_MARK + "\n"), F.lit("\n"))
+    parts = F.when(F.contains(text, F.lit(_MARK)), F.split(text, LINE_END, -1)).otherwise(F.split(marked, _MARK, -1))
+    return F.when(F.length(text) > 0, F.filter(parts, lambda x: x != "")).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
 
 
 def line_hash(line: Column) -> Column:
     """Hash of a line without regard to case and outer white space; null for a blank line."""
-    plain = F.lower(F.trim(F.regexp_replace(line, r"^\s+|\s+$", "")))
+    plain = F.lower(F.btrim(line, F.lit(" \t\r\n")))
     return F.when(plain != "", F.xxhash64(plain))
 
 
 def line_words(line: Column) -> Column:
-    """Words of a line: what white space separates."""
-    return F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
+    """Words of a line: one more than the spaces within it."""
+    plain = F.btrim(line, F.lit(" \t\r\n"))
+    return F.when(plain != "", F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).otherwise(0)
 
 
 def _neighbours(hashes: Column, at: Column, length: Column) -> Column:
@@ -49,18 +57,16 @@ def _neighbours(hashes: Column, at: Column, length: Column) -> Column:
 
 
 def _fingerprints(hashes: Column, grams: Column, words: Column) -> Column:
-    """(mark, at, length) of the fingerprints: the last least hash of each window of line pairs, and long lines."""
+    """(mark, at, length) of the fingerprints: in every two neighbouring pairs the one of lesser hash, and long lines."""
     n = F.size(grams)
 
-    def least(first: Column) -> Column:
-        window = F.slice(grams, first + 1, F.lit(WINDOW))
-        lowest = F.array_min(window)
-        behind = F.array_position(F.reverse(window), lowest).cast("int")
-        return F.when(lowest.isNotNull(), first + F.size(window) - behind)
+    def pair(g: Column, i: Column) -> Column:
+        # the least of the window that ends here, or of the one that begins here; the later one of two alike
+        before, behind = F.get(grams, i - 1), F.get(grams, i + 1)
+        least = (n == 1) | ((i > 0) & (before.isNull() | (g <= before))) | ((i < n - 1) & (behind.isNull() | (g < behind)))
+        return F.when(g.isNotNull() & least, F.struct(g.alias("mark"), i.alias("at"), F.lit(2).alias("length")))
 
-    firsts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - WINDOW))).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
-    minima = F.array_distinct(F.filter(F.transform(firsts, least), lambda i: i.isNotNull()))
-    pairs = F.transform(minima, lambda i: F.struct(F.get(grams, i).alias("mark"), i.alias("at"), F.lit(GRAM).alias("length")))
+    pairs = F.filter(F.transform(grams, pair), lambda x: x.isNotNull())
     long = F.filter(F.transform(words, lambda w, i: F.when(w >= LONG_LINE, F.struct(F.get(hashes, i).alias("mark"), i.alias("at"), F.lit(1).alias("length")))), lambda x: x["mark"].isNotNull())
     return F.concat(pairs, long)
 
@@ -71,9 +77,8 @@ def _key(doc_id: str, text: str) -> Column:
 
 def _cut_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Documents with ``__key`` (id and a hash of the text), ``__lines`` and ``__hashes``."""
-    out = docs.withColumn("__key", _key(doc_id, text))
-    out = out.withColumn("__lines", lines_of(F.col(text)))
-    return out.withColumn("__hashes", F.transform("__lines", line_hash))
+    out = staged(docs.withColumn("__key", _key(doc_id, text)), __lines=lines_of(F.col(text)))
+    return staged(out, __hashes=F.transform("__lines", line_hash))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,10 +95,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     third of the documents share makes no pairs among them; what meets in one task is a document's own lines.
     """
     cut = _cut_lines(docs, doc_id, text)
-    places = cut.where(F.size("__lines") > 0).select("__key", "__hashes", F.transform("__lines", line_words).alias("__words"))
+    places = staged(cut.where(F.size("__lines") > 0).select("__key", "__hashes", "__lines"), __words=F.transform("__lines", line_words)).drop("__lines")
     after = F.slice("__hashes", 2, F.size("__hashes"))
     grams = F.slice(F.zip_with("__hashes", after, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b))), 1, F.size("__hashes") - 1)
-    places = places.withColumn("__grams", grams)
+    places = staged(places, __grams=grams)
     places = places.select("__key", "__hashes", F.explode(_fingerprints(F.col("__hashes"), F.col("__grams"), F.col("__words"))).alias("f"))
     place = F.struct(F.col("__key.id"), F.col("__key.of"), F.col("f.at"), F.col("f.length"))
     marks = places.select("f.mark", place.alias("place"), _neighbours(F.col("__hashes"), F.col("f.at"), F.col("f.length")).alias("near"))
@@ -104,10 +109,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     seeds = seeds.select(F.struct("id", "of").alias("__seed_key"), "seeds")
     held = docs.withColumn("__key", _key(doc_id, text))
     held = held.join(seeds, F.col("__key").eqNullSafe(F.col("__seed_key")), "left").drop("__seed_key")
-    held = held.withColumn("__lines", F.when(F.col("seeds").isNotNull(), lines_of(F.col(text))))
-    held = held.withColumn("__hashes", F.transform("__lines", line_hash))
-    held = held.withColumn("__covered", _covered(F.col("__hashes"), F.col("seeds")))
-    held = held.withColumn("runs", _runs(F.col("__covered"), F.col("__lines"), min_words))
+    held = staged(held, __lines=F.when(F.col("seeds").isNotNull(), lines_of(F.col(text))))
+    held = staged(held, __hashes=F.transform("__lines", line_hash))
+    held = staged(held, __covered=_covered(F.col("__hashes"), F.col("seeds")))
+    held = staged(held, runs=_runs(F.col("__covered"), F.col("__lines"), min_words))
     return held.drop("__key", "__hashes", "__covered", "seeds")
 
 
@@ -158,4 +163,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     found = repeated_runs(docs, min_words, doc_id, text)
     gone = F.aggregate(F.coalesce("runs", F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)")), F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"] + 1)
     kept = F.coalesce(_kept(F.col(text), F.col("__lines"), F.col("runs")), F.col(text))
-    return found.withColumns({text: kept, "removed_lines": gone}).select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")
+    done = staged(found.drop("removed_lines"), **{"__kept": kept, "removed_lines": gone}).drop(text).withColumnRenamed("__kept", text)
+    return done.select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")

@@ -127,7 +127,7 @@ def test_query(spark, sf):
 
 
 def test_lines_make_up_the_text(spark):
-    texts = ["a. b! c? d\n\ne", " x. ", "\n", ".. a", "é. ü\r\nz"]
+    texts = ["x\x01. y\n\nz", "a. b! c? d\n\ne", " x. ", "\n", ".. a", "é. ü\r\nz"]
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = frame.select("text", F.array_join(ld.lines_of(F.col("text")), "").alias("again")).collect()
-    assert all(r.text == r.again for r in got)
+    got = frame.select("text", ld.lines_of(F.col("text")).alias("lines")).collect()
+    assert all(r.text == "".join(r.lines) and r.lines == lines(r.text) for r in got)
