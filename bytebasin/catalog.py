@@ -1,10 +1,6 @@
 """All queries of the library by name, with their equivalents in SQL."""
 
-from __future__ import annotations
+from bytebasin.plans import metric_queries, region_queries  # noqa: F401
+from bytebasin.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
