@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytebasin.llm.common import staged
+from bytebasin.llm.common import ensure_checkpoints, shared_folder, staged
 
 #: A line ends after its line breaks, or where a sentence ends and a space follows; it keeps what ends it.
 LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
 #: A character that marks line ends for a while; a text that has it is cut by the pattern instead.
 _MARK = "\x01"
-#: Words from which a line is a fingerprint by itself; words from which a repeated run is deleted.
-LONG_LINE, MIN_WORDS = 25, 25
+#: Characters from which a line is a fingerprint by itself (fewer than 25 words have); words from which a repeated run
+#: is deleted.
+LONG_LINE, MIN_WORDS = 90, 25
 #: Bits that a neighbour's hash is cut to where it travels with a fingerprint, four to a long.
 _CUT = 0xFFFF
 
@@ -56,7 +57,7 @@ def _neighbours(hashes: Column, at: Column, length: Column) -> Column:
     return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
 
 
-def _fingerprints(hashes: Column, grams: Column, words: Column) -> Column:
+def _fingerprints(lines: Column, hashes: Column, grams: Column) -> Column:
     """(mark, at, length) of the fingerprints: in every two neighbouring pairs the one of lesser hash, and long lines."""
     n = F.size(grams)
 
@@ -67,7 +68,7 @@ def _fingerprints(hashes: Column, grams: Column, words: Column) -> Column:
         return F.when(g.isNotNull() & least, F.struct(g.alias("mark"), i.alias("at"), F.lit(2).alias("length")))
 
     pairs = F.filter(F.transform(grams, pair), lambda x: x.isNotNull())
-    long = F.filter(F.transform(words, lambda w, i: F.when(w >= LONG_LINE, F.struct(F.get(hashes, i).alias("mark"), i.alias("at"), F.lit(1).alias("length")))), lambda x: x["mark"].isNotNull())
+    long = F.filter(F.transform(lines, lambda x, i: F.when(F.length(x) >= LONG_LINE, F.struct(F.get(hashes, i).alias("mark"), i.alias("at"), F.lit(1).alias("length")))), lambda x: x["mark"].isNotNull())
     return F.concat(pairs, long)
 
 
@@ -81,6 +82,16 @@ def _cut_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return staged(out, __hashes=F.transform("__lines", line_hash))
 
 
+def _marks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(mark, id, of, at, length, near) of every fingerprint."""
+    cut = _cut_lines(docs, doc_id, text).where(F.size("__lines") > 0).select("__key", "__hashes", "__lines")
+    after = F.slice("__hashes", 2, F.size("__hashes"))
+    grams = F.slice(F.zip_with("__hashes", after, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b))), 1, F.size("__hashes") - 1)
+    places = staged(cut, __grams=grams)
+    places = places.select("__key.*", "__hashes", F.inline(_fingerprints(F.col("__lines"), F.col("__hashes"), F.col("__grams"))))
+    return places.select("mark", "id", "of", "at", "length", _neighbours(F.col("__hashes"), F.col("at"), F.col("length")).alias("near"))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``__lines`` and ``runs``: first and last line of every run to delete, by place.
 
@@ -91,21 +102,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     is any repeated line of ``LONG_LINE`` words; its ends are found by extension from where a fingerprint first stands.
     Lines compare by 64-bit hashes, the two on either side of a fingerprint by 16 bits.
 
-    Fingerprints are counted before the shuffle, and each occurrence is joined with the first alone, so a line that a
-    third of the documents share makes no pairs among them; what meets in one task is a document's own lines.
+    Fingerprints are written to the shared folder once and counted before the shuffle; each occurrence is joined with
+    the first alone, so a line that a third of the documents share makes no pairs among them; what meets in one task is
+    a document's own lines.
     """
-    cut = _cut_lines(docs, doc_id, text)
-    places = staged(cut.where(F.size("__lines") > 0).select("__key", "__hashes", "__lines"), __words=F.transform("__lines", line_words)).drop("__lines")
-    after = F.slice("__hashes", 2, F.size("__hashes"))
-    grams = F.slice(F.zip_with("__hashes", after, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b))), 1, F.size("__hashes") - 1)
-    places = staged(places, __grams=grams)
-    places = places.select("__key", "__hashes", F.explode(_fingerprints(F.col("__hashes"), F.col("__grams"), F.col("__words"))).alias("f"))
-    place = F.struct(F.col("__key.id"), F.col("__key.of"), F.col("f.at"), F.col("f.length"))
-    marks = places.select("f.mark", place.alias("place"), _neighbours(F.col("__hashes"), F.col("f.at"), F.col("f.length")).alias("near"))
-    firsts = marks.groupBy("mark").agg(F.min(F.struct("place", "near")).alias("first"), F.max("place").alias("last"))
-    firsts = firsts.where(F.col("last") > F.col("first.place")).select("mark", F.col("first.place").alias("first"), F.col("first.near").alias("near"))
-    later = marks.select("mark", "place").join(firsts, "mark").where(F.col("place") > F.col("first"))
-    seeds = later.groupBy("place.id", "place.of").agg(F.collect_set(F.struct(F.col("place.at").alias("at"), F.col("place.length").alias("length"), "near")).alias("seeds"))
+    ensure_checkpoints(docs.sparkSession)
+    spark = docs.sparkSession
+    folder = shared_folder(spark, "line-marks")
+    _marks(docs, doc_id, text).write.option("compression", "zstd").parquet(folder)
+    marks = spark.read.parquet(folder)
+    # only marks that occur again go on, and they are few: counts are hashed and summed before the shuffle
+    again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    place = F.struct("id", "of", "at", "length")
+    met = marks.join(again, "mark").select("mark", place.alias("place"), "near").checkpoint()
+    firsts = met.groupBy("mark").agg(F.min(F.struct("place", "near")).alias("first")).select("mark", F.col("first.place").alias("first"), F.col("first.near").alias("first_near"))
+    later = met.select("mark", "place").join(firsts, "mark").where(F.col("place") > F.col("first"))
+    seeds = later.groupBy("place.id", "place.of").agg(F.collect_set(F.struct("place.at", "place.length", F.col("first_near").alias("near"))).alias("seeds"))
     seeds = seeds.select(F.struct("id", "of").alias("__seed_key"), "seeds")
     held = docs.withColumn("__key", _key(doc_id, text))
     held = held.join(seeds, F.col("__key").eqNullSafe(F.col("__seed_key")), "left").drop("__seed_key")

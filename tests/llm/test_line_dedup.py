@@ -34,7 +34,7 @@ def bounds(docs):
                 if window in seen_windows:
                     must |= set(range(i, i + 3))
                 seen_windows.add(window)
-            if len(mine[i].split()) >= ld.LONG_LINE and k in seen_lines:
+            if len(mine[i]) >= ld.LONG_LINE and k in seen_lines:
                 must.add(i)
             if k:
                 seen_lines.add(k)
@@ -42,9 +42,9 @@ def bounds(docs):
         for i in sorted(must):
             runs.append([i]) if not runs or runs[-1][-1] != i - 1 else runs[-1].append(i)
         for r in runs:
-            if len(r) > 2 and len(mine[r[0]].split()) < ld.LONG_LINE:
+            if len(r) > 2 and len(mine[r[0]]) < ld.LONG_LINE:
                 r = r[1:]
-            if len(r) > 1 and len(mine[r[-1]].split()) < ld.LONG_LINE:
+            if len(r) > 1 and len(mine[r[-1]]) < ld.LONG_LINE:
                 r = r[:-1]
             if sum(len(mine[i].split()) for i in r) >= ld.MIN_WORDS:
                 need |= set(r)
