@@ -26,6 +26,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``shared_folder`` named, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
     """``checkpoint()`` writes to ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
     context = spark.sparkContext

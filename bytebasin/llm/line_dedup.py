@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytebasin.llm.common import ensure_checkpoints, shared_folder, staged
+from bytebasin.llm.common import drop_folder, ensure_checkpoints, shared_folder, staged
 
 #: A line ends after its line breaks, or where a sentence ends and a space follows; it keeps what ends it.
 LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
@@ -115,6 +115,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     place = F.struct("id", "of", "at", "length")
     met = marks.join(again, "mark").select("mark", place.alias("place"), "near").checkpoint()
+    drop_folder(spark, folder)  # the checkpoint does not read it
     firsts = met.groupBy("mark").agg(F.min(F.struct("place", "near")).alias("first")).select("mark", F.col("first.place").alias("first"), F.col("first.near").alias("first_near"))
     later = met.select("mark", "place").join(firsts, "mark").where(F.col("place") > F.col("first"))
     seeds = later.groupBy("place.id", "place.of").agg(F.collect_set(F.struct("place.at", "place.length", F.col("first_near").alias("near"))).alias("seeds"))
