@@ -41,7 +41,8 @@ def little_endian(data: Column, offset: Column | int, width: int) -> Column:
     """The unsigned number of ``width`` bytes at an offset, null beyond the end; 64-bit numbers wrap."""
     offset = F.lit(offset) if isinstance(offset, int) else offset
     part = F.substring(data, (offset + 1).cast("int"), F.lit(width))
-    return F.when(F.length(part) == width, F.conv(F.hex(F.reverse(part)), 16, 10).cast("decimal(20,0)").cast("long"))
+    pairs = F.concat(*[F.substring(F.hex(part), 2 * i + 1, 2) for i in reversed(range(width))])
+    return F.when(F.length(part) == width, F.conv(pairs, 16, 10).cast("decimal(20,0)").cast("long"))
 
 
 def byte_values(data: Column) -> Column:

@@ -13,9 +13,9 @@ from bytebasin.registry import query
 from bytebasin.sources import tables as tb
 
 #: A row for each byte of the documents that the SQL can name one by one.
-BYTES = """WITH hexed AS (SELECT doc_id AS name, hex(encode(text)) AS h, octet_length(encode(text)) AS size FROM documents),
-bytes AS (SELECT name, size, pos, strpos('0123456789ABCDEF', h[2 * pos + 1]) * 16 - 16 + strpos('0123456789ABCDEF', h[2 * pos + 2]) - 1 AS byte
-FROM (SELECT name, size, h, unnest(range(0, size)) AS pos FROM hexed))"""
+BYTES = """WITH hexed AS (SELECT doc_id AS name, regexp_extract_all(hex(encode(text)), '..') AS pairs, octet_length(encode(text)) AS size FROM documents),
+bytes AS (SELECT name, size, pos, strpos('0123456789ABCDEF', left(pair, 1)) * 16 - 16 + strpos('0123456789ABCDEF', right(pair, 1)) - 1 AS byte
+FROM (SELECT name, size, unnest(pairs) AS pair, unnest(range(0, size)) AS pos FROM hexed))"""
 ENTROPY = "log2(sum(c)) - sum(c * log2(c)) / sum(c)"
 
 

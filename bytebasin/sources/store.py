@@ -16,7 +16,7 @@ RUNLOG_SUFFIX = "_gpu_mem"
 
 
 def read_blobs(spark: SparkSession, folder: str, max_length: int | None = None, pattern: str = "*") -> DataFrame:
-    """(path, name, data, size) of every file under a folder, cut to a prefix if asked."""
+    """(path, name, data, size) of every file under a folder, cut to a prefix if asked; empty files have no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     data = F.substring("content", 1, max_length) if max_length else F.col("content")
     return files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), data.alias("data"), F.length(data).cast("long").alias("size"))

@@ -62,7 +62,7 @@ def packer(folder: str, per_shard: int) -> Callable[[DataFrame, int], None]:
 
 def windowed_metrics(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
     """Count, mean and greatest value by event type and tumbling window; with ``late`` for a stream."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     found = rows.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean_rate"), F.max("value").alias("max_level"))
     return found.select("event_type", F.col("w.start").alias("start"), "n", "mean_rate", "max_level")
 
