@@ -132,3 +132,35 @@ def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = tb.samples(spark, sf_dir).withColumn("label", F.coalesce("label", F.lit(0)))
     scored = store.score_blobs(samples, lambda blobs: [(len(b.decode()), len(b)) for b in blobs])
     return scored.select("name", "label", F.col("logits")[0].alias("a"), F.col("logits")[1].alias("b"))
+
+
+@query(D + " SELECT count(*) AS rows, CAST(count(DISTINCT name) AS BIGINT) AS names, CAST(0 AS BIGINT) AS over FROM docs")
+def byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next fit by bytes: every row has a shard, and no shard of several rows is over its budget."""
+    rows = rk.shards_by_bytes(packed(spark, sf_dir).drop("shard"), 65536)
+    by_shard = rows.groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    over = by_shard.where("n > 1 AND size > 65536").agg(F.count("*").alias("over"))
+    return rows.agg(F.count("*").alias("rows"), F.count_distinct("name").alias("names")).crossJoin(over)
+
+
+@query("""SELECT p_partkey AS name, CASE WHEN p_size & 32 <> 0 THEN 'CODE' WHEN p_size & 16 <> 0 THEN 'DATA' ELSE 'OTHER' END AS class, (p_size & 8) <> 0 AS writable FROM part""")
+def section_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section classes, three bits of a size standing for the flags to execute, read and write."""
+    from bytebasin.operators import layout
+
+    size = F.col("p_size").cast("long")
+    bits = {32: layout.EXECUTE, 16: layout.READ, 8: layout.WRITE}
+    flags = F.lit(0).cast("long")
+    for bit, flag in bits.items():
+        flags = flags + F.when(size.bitwiseAND(F.lit(bit).cast("long")) != 0, F.lit(flag).cast("long")).otherwise(F.lit(0).cast("long"))
+    parts = tb.read(spark, sf_dir, "part").withColumn("flags", flags)
+    return parts.select(F.col("p_partkey").alias("name"), layout.section_class(F.col("flags")).alias("class"), (F.col("flags") >= layout.WRITE).alias("writable"))
+
+
+@query("""SELECT p_partkey AS name, label, CAST(p_size AS BIGINT) AS "start", CAST(p_size + 10 AS BIGINT) AS "end" FROM part, (SELECT unnest(['MEM_EXECUTE', 'MEM_READ', 'MEM_WRITE']) AS label, unnest([1, 2, 4]) AS bit) WHERE p_size & bit <> 0""")
+def flagged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every flag that a section carries."""
+    from bytebasin.operators import layout
+
+    parts = tb.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").cast("long").alias("flags"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + 10).cast("long").alias("end"))
+    return layout.flag_ranges(parts, {"MEM_EXECUTE": 1, "MEM_READ": 2, "MEM_WRITE": 4})
