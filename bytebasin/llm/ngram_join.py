@@ -36,7 +36,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -159,6 +159,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
             ids, found, signatures, bands = zip(*out) if out else ((), (), (), ())
             # an integer column with nulls must not pass through floats
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "node": pd.array(found, dtype="Int64"), "signature": pd.Series(signatures, dtype=object), "bands": pd.Series(bands, dtype=object)})
+        _WORDS.clear()  # the worker lives on after its task
 
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
     found = rows.mapInPandas(sketch, "doc_id string, node long, signature binary, bands array<long>")
@@ -209,6 +210,7 @@ def _verified(parts: DataFrame, docs: DataFrame, threshold: float, n: int) -> Da
             same = [np.uint64(xxhash.xxh3_64_intdigest(g.tobytes())).astype(np.int64) == node for g, node in zip(sets, batch["node"])]
             out = batch[["node", "label"]].assign(grams=[g.tobytes() for g in sets])
             yield out[np.array(same, bool)]
+        _WORDS.clear()
 
     sets = texts.select("node", "label", "text").mapInPandas(grams, "node long, label long, grams binary")
     # rows that repeat a representative's id and text meet here as one

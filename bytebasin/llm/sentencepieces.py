@@ -188,8 +188,8 @@ def _encoded(encoder: PieceEncoder, text: str, spans: bool = True) -> tuple:
     n = len(text.encode())
     full = [processor.bos_id(), *ids, processor.eos_id()]
     if not spans:
-        return full, start, end, processor.decode(full)
-    return full, np.concatenate([[0], start, [n]]), np.concatenate([[0], end, [n]]), processor.decode(full)
+        return np.array(full, np.int32), start, end, processor.decode(full)
+    return np.array(full, np.int32), np.concatenate([[0], start, [n]]), np.concatenate([[0], end, [n]]), processor.decode(full)
 
 
 def with_piece_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

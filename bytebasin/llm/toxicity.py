@@ -28,7 +28,9 @@ PRIOR, MIN_Z, MIN_ODDS, MIN_SHARE, MAX_FEATURES, COST = 10.0, 3.0, 3.5, 0.02, 20
 #: Lengths of the beginnings of words that are features, beside whole words.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Words whose scores a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Features that a task counts before it hands its counts on.
+FLUSH = 100_000
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -133,12 +135,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRA
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         having: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted() -> Iterator[pd.DataFrame]:
+            for y, counter in enumerate(having):
+                n = np.fromiter(counter.values(), np.int64, len(counter))
+                none = np.zeros_like(n)
+                yield pd.DataFrame({"feature": pd.Series(list(counter), dtype=object), "toxic": n if y else none, "other": none if y else n})
+                counter.clear()
+
         for batch in batches:
             for y, t in zip(batch["label"], batch["text"]):
                 having[y].update({f for w in set(tokens_of(t)) if w for f in features_of(w)})
                 having[y][""] += 1
-        every = having[0].keys() | having[1].keys()
-        yield pd.DataFrame([(f, having[1][f], having[0][f]) for f in every], columns=["feature", "toxic", "other"])
+                if len(having[y]) > FLUSH:
+                    yield from counted()
+        yield from counted()
 
     counts = training.mapInPandas(count, "feature string, toxic long, other long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -228,5 +239,6 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", int
                 passages = [{"start": s, "end": e, "score": x, "expected": m.scale * n * math.exp(-m.rate * x)} for s, e, x in segments]
                 found.append((m.probability(m.evidence([x for _, _, x in segments], n)), passages))
             yield pd.DataFrame(found, columns=["score", "passages"])
+        m.scores.clear()  # the worker lives on after its task
 
     return docs.withColumn(into, scan(F.col(text)))
