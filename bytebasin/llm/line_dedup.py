@@ -111,12 +111,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     folder = shared_folder(spark, "line-marks")
     _marks(docs, doc_id, text).write.option("compression", "zstd").parquet(folder)
     marks = spark.read.parquet(folder)
-    # only marks that occur again go on, and they are few: counts are hashed and summed before the shuffle
-    again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # only marks that occur again go on, and they are few: counts are hashed and summed before the shuffle. What is
+    # aggregated is checkpointed, so that both sides of the joins are plain shuffles and Spark can split a hot mark
+    again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark").checkpoint()
     place = F.struct("id", "of", "at", "length")
     met = marks.join(again, "mark").select("mark", place.alias("place"), "near").checkpoint()
     drop_folder(spark, folder)  # the checkpoint does not read it
-    firsts = met.groupBy("mark").agg(F.min(F.struct("place", "near")).alias("first")).select("mark", F.col("first.place").alias("first"), F.col("first.near").alias("first_near"))
+    firsts = met.groupBy("mark").agg(F.min(F.struct("place", "near")).alias("first")).select("mark", F.col("first.place").alias("first"), F.col("first.near").alias("first_near")).checkpoint()
     later = met.select("mark", "place").join(firsts, "mark").where(F.col("place") > F.col("first"))
     seeds = later.groupBy("place.id", "place.of").agg(F.collect_set(F.struct("place.at", "place.length", F.col("first_near").alias("near"))).alias("seeds"))
     seeds = seeds.select(F.struct("id", "of").alias("__seed_key"), "seeds")
