@@ -34,8 +34,8 @@ FLUSH = 100_000
 
 
 def tokens_of(text: str | None) -> list[str]:
-    """The words of ``words_of`` as strings."""
-    return text.encode().translate(TABLE).decode().split(" ") if text else []
+    """The words of ``words_of`` as strings, cut at white space beyond ASCII too."""
+    return text.encode().translate(TABLE).decode().split() if text else []
 
 
 def features_of(word: str) -> list[str]:
@@ -51,7 +51,7 @@ class _Scores(dict):
 
     def __missing__(self, word: str) -> float:
         found = [self.weights[f] for f in features_of(word) if f in self.weights]
-        score = max(found, key=lambda w: abs(w[1]))[0] if found and word else 0.0
+        score = max(found, key=lambda w: abs(w[1]))[0] if found else 0.0
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = score
@@ -145,7 +145,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRA
 
         for batch in batches:
             for y, t in zip(batch["label"], batch["text"]):
-                having[y].update({f for w in set(tokens_of(t)) if w for f in features_of(w)})
+                having[y].update({f for w in set(tokens_of(t)) for f in features_of(w)})
                 having[y][""] += 1
                 if len(having[y]) > FLUSH:
                     yield from counted()
