@@ -57,7 +57,7 @@ def _neighbours(hashes: Column, at: Column, length: Column) -> Column:
     return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
 
 
-def _fingerprints(lines: Column, hashes: Column, grams: Column) -> Column:
+def _fingerprints(lines: Column, hashes: Column, places: Column, grams: Column) -> Column:
     """(mark, at, length) of the fingerprints: in every two neighbouring pairs the one of lesser hash, and long lines."""
     n = F.size(grams)
 
@@ -68,7 +68,7 @@ def _fingerprints(lines: Column, hashes: Column, grams: Column) -> Column:
         return F.when(g.isNotNull() & least, F.struct(g.alias("mark"), i.alias("at"), F.lit(2).alias("length")))
 
     pairs = F.filter(F.transform(grams, pair), lambda x: x.isNotNull())
-    long = F.filter(F.transform(lines, lambda x, i: F.when(F.length(x) >= LONG_LINE, F.struct(F.get(hashes, i).alias("mark"), i.alias("at"), F.lit(1).alias("length")))), lambda x: x["mark"].isNotNull())
+    long = F.filter(F.transform(places, lambda p, i: F.when(F.length(F.get(lines, p)) >= LONG_LINE, F.struct(F.get(hashes, i).alias("mark"), i.alias("at"), F.lit(1).alias("length")))), lambda x: x["mark"].isNotNull())
     return F.concat(pairs, long)
 
 
@@ -76,19 +76,25 @@ def _key(doc_id: str, text: str) -> Column:
     return F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("of"))
 
 
+def _with_hashes(docs: DataFrame) -> DataFrame:
+    """Documents with ``__hashes`` of the lines that are not blank, and ``__places``, where in ``__lines`` those are."""
+    solid = F.filter(F.transform("__lines", lambda x, i: F.struct(line_hash(x).alias("hash"), i.alias("place"))), lambda x: x["hash"].isNotNull())
+    out = staged(docs, __solid=solid)
+    return staged(out, __hashes=F.col("__solid.hash"), __places=F.col("__solid.place")).drop("__solid")
+
+
 def _cut_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Documents with ``__key`` (id and a hash of the text), ``__lines`` and ``__hashes``."""
-    out = staged(docs.withColumn("__key", _key(doc_id, text)), __lines=lines_of(F.col(text)))
-    return staged(out, __hashes=F.transform("__lines", line_hash))
+    """Documents with ``__key`` (id and a hash of the text), ``__lines``, ``__hashes`` and ``__places``."""
+    return _with_hashes(staged(docs.withColumn("__key", _key(doc_id, text)), __lines=lines_of(F.col(text))))
 
 
 def _marks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(mark, id, of, at, length, near) of every fingerprint."""
-    cut = _cut_lines(docs, doc_id, text).where(F.size("__lines") > 0).select("__key", "__hashes", "__lines")
+    cut = _cut_lines(docs, doc_id, text).where(F.size("__hashes") > 0).select("__key", "__hashes", "__places", "__lines")
     after = F.slice("__hashes", 2, F.size("__hashes"))
-    grams = F.slice(F.zip_with("__hashes", after, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b))), 1, F.size("__hashes") - 1)
+    grams = F.slice(F.zip_with("__hashes", after, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), 1, F.size("__hashes") - 1)
     places = staged(cut, __grams=grams)
-    places = places.select("__key.*", "__hashes", F.inline(_fingerprints(F.col("__lines"), F.col("__hashes"), F.col("__grams"))))
+    places = places.select("__key.*", "__hashes", F.inline(_fingerprints(F.col("__lines"), F.col("__hashes"), F.col("__places"), F.col("__grams"))))
     return places.select("mark", "id", "of", "at", "length", _neighbours(F.col("__hashes"), F.col("at"), F.col("length")).alias("near"))
 
 
@@ -97,7 +103,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
 
     A run is a stretch of lines, with ``min_words`` words or more, each of which belongs to a repetition of lines found
     earlier: in a document of smaller id (a null id is the smallest; of one id, the text of smaller hash is earlier), or
-    earlier in the same text. Rows alike in id and text count as one document and fare alike. Blank lines match nothing.
+    earlier in the same text. Rows alike in id and text count as one document and fare alike. Blank lines match
+    nothing and part nothing: lines are paired without them, and a run carries those between its lines.
     Of a repeated stretch of three lines or more all but, at worst, its first and its last one is always found, and so
     is any repeated line of ``LONG_LINE`` words; its ends are found by extension from where a fingerprint first stands.
     Lines compare by 64-bit hashes, the two on either side of a fingerprint by 16 bits.
@@ -124,14 +131,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     held = docs.withColumn("__key", _key(doc_id, text))
     held = held.join(seeds, F.col("__key").eqNullSafe(F.col("__seed_key")), "left").drop("__seed_key")
     held = staged(held, __lines=F.when(F.col("seeds").isNotNull(), lines_of(F.col(text))))
-    held = staged(held, __hashes=F.transform("__lines", line_hash))
+    held = _with_hashes(held)
     held = staged(held, __covered=_covered(F.col("__hashes"), F.col("seeds")))
-    held = staged(held, runs=_runs(F.col("__covered"), F.col("__lines"), min_words))
-    return held.drop("__key", "__hashes", "__covered", "seeds")
+    held = staged(held, runs=_runs(F.col("__covered"), F.col("__places"), F.col("__lines"), min_words))
+    return held.drop("__key", "__hashes", "__places", "__covered", "seeds")
 
 
 def _covered(hashes: Column, seeds: Column) -> Column:
-    """Places that the seeds and their extensions both ways cover, rising."""
+    """Places, among the lines that are not blank, that the seeds and their extensions both ways cover, rising."""
 
     def like(seed: Column, at: Column, slot: int) -> Column:
         mine = F.when((at >= 0) & (at < F.size(hashes)), F.get(hashes, at))
@@ -146,11 +153,11 @@ def _covered(hashes: Column, seeds: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(seeds, reach))))
 
 
-def _runs(covered: Column, lines: Column, min_words: int) -> Column:
-    """Stretches of covered places in a row that have enough words."""
+def _runs(covered: Column, places: Column, lines: Column, min_words: int) -> Column:
+    """Stretches of covered places in a row that have enough words, as places among all lines: blank lines between go too."""
     starts = F.filter(covered, lambda x, i: (i == 0) | (x != F.get(covered, i - 1) + 1))
     ends = F.filter(covered, lambda x, i: (i == F.size(covered) - 1) | (x != F.get(covered, i + 1) - 1))
-    runs = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+    runs = F.zip_with(starts, ends, lambda s, e: F.struct(F.get(places, s).alias("start"), F.get(places, e).alias("end")))
 
     def enough(run: Column) -> Column:
         inside = F.slice(lines, run["start"] + 1, run["end"] - run["start"] + 1)

@@ -131,3 +131,14 @@ def test_lines_make_up_the_text(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
     got = frame.select("text", ld.lines_of(F.col("text")).alias("lines")).collect()
     assert all(r.text == "".join(r.lines) and r.lines == lines(r.text) for r in got)
+
+
+def test_blank_lines_part_nothing(spark):
+    rng = random.Random(7)
+    said = [sentence(rng, 6) for _ in range(12)]
+    whole = "\r\n\r\n".join(said)
+    apart = "\n \n".join(said)
+    docs = [(1, whole), (2, whole), (3, apart), (4, "Own words.\n\t\n" + apart + "\n \nOther words."), (5, "\r\n\r\n \n")]
+    rows = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.text, r.removed_lines) for r in rows}
+    assert got == {1: (whole, 0), 2: ("", 23), 3: ("", 23), 4: ("Own words.\n\t\n \nOther words.", 23), 5: (docs[4][1], 0)}
