@@ -1,8 +1,7 @@
 """Removal of later repeated runs of lines, in DataFrame functions alone.
 
-Winnowing over line hashes: lines are hashed in pairs, and of every two neighbouring pairs the one of lesser hash is a
-fingerprint, so that documents which share three lines in a row share a fingerprint of them; a long line is one by
-itself. Each fingerprint's occurrences are joined with its first one; the hashes beside it extend the match both ways;
+Fingerprints over line hashes: lines are hashed in pairs, and every pair is a fingerprint, so that documents which share
+two lines in a row share a fingerprint of them; a long line is one by itself. Each fingerprint's occurrences are joined with its first one; the hashes beside it extend the match both ways;
 runs that are long enough are deleted from the later place.
 """
 
@@ -17,8 +16,8 @@ from bytebasin.llm.common import drop_folder, ensure_checkpoints, shared_folder,
 LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
 #: A character that marks line ends for a while; a text that has it is cut by the pattern instead.
 _MARK = "\x01"
-#: Characters from which a line is a fingerprint by itself (fewer than 25 words have); words from which a repeated run
-#: is deleted.
+#: Characters from which a line is a fingerprint by itself, as is one of ``MIN_WORDS`` words; words from which a repeated
+#: run is deleted.
 LONG_LINE, MIN_WORDS = 90, 25
 #: Bits that a neighbour's hash is cut to where it travels with a fingerprint, four to a long.
 _CUT = 0xFFFF
@@ -57,19 +56,19 @@ def _neighbours(hashes: Column, at: Column, length: Column) -> Column:
     return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
 
 
-def _fingerprints(lines: Column, hashes: Column, places: Column, grams: Column) -> Column:
-    """(mark, at, length) of the fingerprints: in every two neighbouring pairs the one of lesser hash, and long lines."""
-    n = F.size(grams)
+def _fingerprints(lines: Column, hashes: Column, places: Column, min_words: int) -> Column:
+    """(mark, at, length) of the fingerprints: every pair of neighbouring lines, and every line long enough to go by itself."""
 
-    def pair(g: Column, i: Column) -> Column:
-        # the least of the window that ends here, or of the one that begins here; the later one of two alike
-        before, behind = F.get(grams, i - 1), F.get(grams, i + 1)
-        least = (n == 1) | ((i > 0) & (before.isNull() | (g <= before))) | ((i < n - 1) & (behind.isNull() | (g < behind)))
-        return F.when(g.isNotNull() & least, F.struct(g.alias("mark"), i.alias("at"), F.lit(2).alias("length")))
+    def mark(hash: Column, at: Column, length: int) -> Column:
+        return F.struct(hash.alias("mark"), at.alias("at"), F.lit(length).alias("length"))
 
-    pairs = F.filter(F.transform(grams, pair), lambda x: x.isNotNull())
-    long = F.filter(F.transform(places, lambda p, i: F.when(F.length(F.get(lines, p)) >= LONG_LINE, F.struct(F.get(hashes, i).alias("mark"), i.alias("at"), F.lit(1).alias("length")))), lambda x: x["mark"].isNotNull())
-    return F.concat(pairs, long)
+    def single(place: Column, i: Column) -> Column:
+        line = F.get(lines, place)
+        return F.when((F.length(line) >= LONG_LINE) | (line_words(line) >= min_words), mark(F.get(hashes, i), i, 1))
+
+    firsts = F.slice(hashes, 1, F.size(hashes) - 1)
+    pairs = F.transform(firsts, lambda h, i: mark(F.xxhash64(h, F.get(hashes, i + 1)), i, 2))
+    return F.concat(pairs, F.filter(F.transform(places, single), lambda x: x.isNotNull()))
 
 
 def _key(doc_id: str, text: str) -> Column:
@@ -88,13 +87,10 @@ def _cut_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return _with_hashes(staged(docs.withColumn("__key", _key(doc_id, text)), __lines=lines_of(F.col(text))))
 
 
-def _marks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _marks(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
     """(mark, id, of, at, length, near) of every fingerprint."""
     cut = _cut_lines(docs, doc_id, text).where(F.size("__hashes") > 0).select("__key", "__hashes", "__places", "__lines")
-    after = F.slice("__hashes", 2, F.size("__hashes"))
-    grams = F.slice(F.zip_with("__hashes", after, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))), 1, F.size("__hashes") - 1)
-    places = staged(cut, __grams=grams)
-    places = places.select("__key.*", "__hashes", F.inline(_fingerprints(F.col("__lines"), F.col("__hashes"), F.col("__places"), F.col("__grams"))))
+    places = cut.select("__key.*", "__hashes", F.inline(_fingerprints(F.col("__lines"), F.col("__hashes"), F.col("__places"), min_words)))
     return places.select("mark", "id", "of", "at", "length", _neighbours(F.col("__hashes"), F.col("at"), F.col("length")).alias("near"))
 
 
@@ -105,8 +101,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     earlier: in a document of smaller id (a null id is the smallest; of one id, the text of smaller hash is earlier), or
     earlier in the same text. Rows alike in id and text count as one document and fare alike. Blank lines match
     nothing and part nothing: lines are paired without them, and a run carries those between its lines.
-    Of a repeated stretch of three lines or more all but, at worst, its first and its last one is always found, and so
-    is any repeated line of ``LONG_LINE`` words; its ends are found by extension from where a fingerprint first stands.
+    Every repeated stretch of two lines or more is found whole, as each of its pairs is a fingerprint with a first
+    occurrence of its own, and so is any repeated line of ``LONG_LINE`` characters or of ``min_words`` words.
     Lines compare by 64-bit hashes, the two on either side of a fingerprint by 16 bits.
 
     Fingerprints are written to the shared folder once and counted before the shuffle; each occurrence is joined with
@@ -116,7 +112,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     ensure_checkpoints(docs.sparkSession)
     spark = docs.sparkSession
     folder = shared_folder(spark, "line-marks")
-    _marks(docs, doc_id, text).write.option("compression", "zstd").parquet(folder)
+    _marks(docs, min_words, doc_id, text).write.option("compression", "zstd").parquet(folder)
     marks = spark.read.parquet(folder)
     # only marks that occur again go on, and they are few: counts are hashed and summed before the shuffle. What is
     # aggregated is checkpointed, so that both sides of the joins are plain shuffles and Spark can split a hot mark

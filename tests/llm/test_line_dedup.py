@@ -142,3 +142,28 @@ def test_blank_lines_part_nothing(spark):
     rows = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     got = {r.doc_id: (r.text, r.removed_lines) for r in rows}
     assert got == {1: (whole, 0), 2: ("", 23), 3: ("", 23), 4: ("Own words.\n\t\n \nOther words.", 23), 5: (docs[4][1], 0)}
+
+
+def test_two_lines_and_ends_in_other_contexts(spark):
+    rng = random.Random(8)
+
+    def words(n, k=5):
+        return " ".join("".join(rng.choices("abcdefghij", k=k)) for _ in range(n)).capitalize() + "."
+
+    docs, want = [], {}
+    for i in range(40):  # two lines of 13 words, with other lines around them each time
+        pair = [words(13), words(13)]
+        own = [[words(4) for _ in range(4)] for _ in range(2)]
+        docs += [(2 * i, "\n".join([*own[0][:2], *pair, *own[0][2:]])), (2 * i + 1, "\n".join([*own[1][:2], *pair, *own[1][2:]]))]
+        want[2 * i], want[2 * i + 1] = docs[-2][1], "\n".join(own[1])
+    for i in range(100, 400, 10):  # a pair that stood elsewhere first, within a passage of 27 words that two more share
+        passage = [words(6), *[words(7), words(8)], words(6)]
+        own = [words(4) for _ in range(6)]
+        docs += [(i, "\n".join([own[0], *passage[1:3], own[1]])), (i + 1, "\n".join([own[2], *passage, own[3]])), (i + 2, "\n".join([own[4], *passage, own[5]]))]
+        want |= {docs[-3][0]: docs[-3][1], docs[-2][0]: docs[-2][1], docs[-1][0]: own[4] + "\n" + own[5]}
+    short = words(25, 2)  # enough words in fewer characters than LONG_LINE
+    docs += [(500, f"{words(3)}\n{short}\n{words(3)}"), (501, f"A.\n{short}\nB.")]
+    want |= {500: docs[-2][1], 501: "A.\nB."}
+    assert len(short) < ld.LONG_LINE
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
