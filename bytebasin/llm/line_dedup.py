@@ -1,8 +1,8 @@
 """Removal of later repeated runs of lines, in DataFrame functions alone.
 
 Fingerprints over line hashes: lines are hashed in pairs, and every pair is a fingerprint, so that documents which share
-two lines in a row share a fingerprint of them; a long line is one by itself. Each fingerprint's occurrences are joined with its first one; the hashes beside it extend the match both ways;
-runs that are long enough are deleted from the later place.
+two lines in a row share a fingerprint of them; a long line is one by itself. Each fingerprint's occurrences are joined
+with its first one; the places that later ones cover make up runs, and those that are long enough are deleted.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ _MARK = "\x01"
 #: Characters from which a line is a fingerprint by itself, as is one of ``MIN_WORDS`` words; words from which a repeated
 #: run is deleted.
 LONG_LINE, MIN_WORDS = 90, 25
-#: Bits that a neighbour's hash is cut to where it travels with a fingerprint, four to a long.
-_CUT = 0xFFFF
 
 
 def lines_of(text: Column) -> Column:
@@ -45,17 +43,6 @@ def line_words(line: Column) -> Column:
     return F.when(plain != "", F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).otherwise(0)
 
 
-def _neighbours(hashes: Column, at: Column, length: Column) -> Column:
-    """The hashes two and one before a fingerprint, one and two behind it, each cut to 16 bits, in one long; 0 for none."""
-
-    def cut(place: Column) -> Column:
-        h = F.when((place >= 0) & (place < F.size(hashes)), F.get(hashes, place))
-        return F.coalesce(h.bitwiseAND(F.lit(_CUT)), F.lit(0).cast("long"))
-
-    parts = [F.shiftleft(cut(p), 16 * i) for i, p in enumerate((at - 2, at - 1, at + length, at + length + 1))]
-    return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])
-
-
 def _fingerprints(lines: Column, hashes: Column, places: Column, min_words: int) -> Column:
     """(mark, at, length) of the fingerprints: every pair of neighbouring lines, and every line long enough to go by itself."""
 
@@ -66,7 +53,7 @@ def _fingerprints(lines: Column, hashes: Column, places: Column, min_words: int)
         line = F.get(lines, place)
         return F.when((F.length(line) >= LONG_LINE) | (line_words(line) >= min_words), mark(F.get(hashes, i), i, 1))
 
-    firsts = F.slice(hashes, 1, F.size(hashes) - 1)
+    firsts = F.slice(hashes, 1, F.greatest(F.lit(0), F.size(hashes) - 1))
     pairs = F.transform(firsts, lambda h, i: mark(F.xxhash64(h, F.get(hashes, i + 1)), i, 2))
     return F.concat(pairs, F.filter(F.transform(places, single), lambda x: x.isNotNull()))
 
@@ -88,10 +75,10 @@ def _cut_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _marks(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
-    """(mark, id, of, at, length, near) of every fingerprint."""
+    """(mark, id, of, at, length) of every fingerprint."""
     cut = _cut_lines(docs, doc_id, text).where(F.size("__hashes") > 0).select("__key", "__hashes", "__places", "__lines")
-    places = cut.select("__key.*", "__hashes", F.inline(_fingerprints(F.col("__lines"), F.col("__hashes"), F.col("__places"), min_words)))
-    return places.select("mark", "id", "of", "at", "length", _neighbours(F.col("__hashes"), F.col("at"), F.col("length")).alias("near"))
+    marks = _fingerprints(F.col("__lines"), F.col("__hashes"), F.col("__places"), min_words)
+    return cut.select("__key.*", F.inline(marks)).select("mark", "id", "of", "at", "length")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,7 +90,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     nothing and part nothing: lines are paired without them, and a run carries those between its lines.
     Every repeated stretch of two lines or more is found whole, as each of its pairs is a fingerprint with a first
     occurrence of its own, and so is any repeated line of ``LONG_LINE`` characters or of ``min_words`` words.
-    Lines compare by 64-bit hashes, the two on either side of a fingerprint by 16 bits.
+    Lines compare by 64-bit hashes, and none goes but by a fingerprint that it is in.
 
     Fingerprints are written to the shared folder once and counted before the shuffle; each occurrence is joined with
     the first alone, so a line that a third of the documents share makes no pairs among them; what meets in one task is
@@ -118,35 +105,24 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "do
     # aggregated is checkpointed, so that both sides of the joins are plain shuffles and Spark can split a hot mark
     again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark").checkpoint()
     place = F.struct("id", "of", "at", "length")
-    met = marks.join(again, "mark").select("mark", place.alias("place"), "near").checkpoint()
+    met = marks.join(again, "mark").select("mark", place.alias("place")).checkpoint()
     drop_folder(spark, folder)  # the checkpoint does not read it
-    firsts = met.groupBy("mark").agg(F.min(F.struct("place", "near")).alias("first")).select("mark", F.col("first.place").alias("first"), F.col("first.near").alias("first_near")).checkpoint()
-    later = met.select("mark", "place").join(firsts, "mark").where(F.col("place") > F.col("first"))
-    seeds = later.groupBy("place.id", "place.of").agg(F.collect_set(F.struct("place.at", "place.length", F.col("first_near").alias("near"))).alias("seeds"))
+    firsts = met.groupBy("mark").agg(F.min("place").alias("first")).checkpoint()
+    later = met.join(firsts, "mark").where(F.col("place") > F.col("first"))
+    seeds = later.groupBy("place.id", "place.of").agg(F.collect_set(F.struct("place.at", "place.length")).alias("seeds"))
     seeds = seeds.select(F.struct("id", "of").alias("__seed_key"), "seeds")
     held = docs.withColumn("__key", _key(doc_id, text))
     held = held.join(seeds, F.col("__key").eqNullSafe(F.col("__seed_key")), "left").drop("__seed_key")
     held = staged(held, __lines=F.when(F.col("seeds").isNotNull(), lines_of(F.col(text))))
     held = _with_hashes(held)
-    held = staged(held, __covered=_covered(F.col("__hashes"), F.col("seeds")))
+    held = staged(held, __covered=_covered(F.col("seeds")))
     held = staged(held, runs=_runs(F.col("__covered"), F.col("__places"), F.col("__lines"), min_words))
     return held.drop("__key", "__hashes", "__places", "__covered", "seeds")
 
 
-def _covered(hashes: Column, seeds: Column) -> Column:
-    """Places, among the lines that are not blank, that the seeds and their extensions both ways cover, rising."""
-
-    def like(seed: Column, at: Column, slot: int) -> Column:
-        mine = F.when((at >= 0) & (at < F.size(hashes)), F.get(hashes, at))
-        return F.coalesce(mine.bitwiseAND(F.lit(_CUT)) == F.shiftrightunsigned(seed["near"], 16 * slot).bitwiseAND(F.lit(_CUT)), F.lit(False))
-
-    def reach(seed: Column) -> Column:
-        at, end = seed["at"], seed["at"] + seed["length"]
-        before = F.when(~like(seed, at - 1, 1), 0).when(~like(seed, at - 2, 0), 1).otherwise(2)
-        behind = F.when(~like(seed, end, 2), 0).when(~like(seed, end + 1, 3), 1).otherwise(2)
-        return F.sequence(at - before, end - 1 + behind)
-
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(seeds, reach))))
+def _covered(seeds: Column) -> Column:
+    """Places, among the lines that are not blank, that the seeds cover, rising."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(seeds, lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))))
 
 
 def _runs(covered: Column, places: Column, lines: Column, min_words: int) -> Column:

@@ -167,3 +167,16 @@ def test_two_lines_and_ends_in_other_contexts(spark):
     assert len(short) < ld.LONG_LINE
     got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
     assert got == want
+
+
+def test_unique_lines_beside_a_run_stay(spark):
+    rng = random.Random(9)
+    run = "\n".join(sentence(rng, 14) for _ in range(3))
+    bits = F.xxhash64(F.lower(F.col("line"))).bitwiseAND(F.lit(0xFFFF))
+    lines = spark.range(400_000).select(F.concat(F.lit("Own line "), F.col("id").cast("string"), F.lit(".")).alias("line"))
+    first = "The line beside."
+    like = lines.where(bits == spark.createDataFrame([(first,)], "line string").select(bits).first()[0]).first().line
+    none = lines.where(bits == 0).first().line
+    docs = [(1, f"{first}\n{run}"), (2, f"{like}\n{run}\nEnd."), (3, f"{none}\n{run}\n{none}")]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: f"{like}\nEnd.", 3: f"{none}\n{none}"}
