@@ -20,7 +20,7 @@ _PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_
 #: U+0130 grows when lower-cased.
 _ODD = re.compile("[^\x00-įı-ſ]")
 #: A full stop or comma that follows another mark belongs to its pre-token.
-_MARKS = re.compile("[^\\s0-9a-zß-ÿ][.,][ \\n]")
+_MARKS = re.compile("[^\\s0-9a-zß-öø-ÿ][.,][ \\n]")
 #: White space to ``str.split`` but not to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 

@@ -37,6 +37,15 @@ def test_word_encoder_is_the_library(spark, sf, library):
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_every_latin_character_before_a_mark_is_the_library(library):
+    ends = (". ", ", ", ".\n", "! ", "., ")
+    texts = [f"{before}{chr(c)}{end}2 b" for c in range(0x180) for before in ("6 ", "a") for end in ends]
+    encoder = WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    got = [np.frombuffer(b"".join(p), encoder.dtype).tolist() for p in encoder.pieces(texts)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [t for t, g, w in zip(texts, got, want) if g != w] == []
+
+
 def test_counts(spark, sf, library):
     texts = TEXTS + corpus(spark, sf)
     got = {r.doc_id: r for r in token_counts.with_token_counts(rows(spark, texts), tokenizer_file("word_bpe_49k.json"), limit=5).collect()}
