@@ -164,32 +164,30 @@ class PieceEncoder:
         return start[stops - widths], end[stops - 1]
 
 
-def with_pieces(docs: DataFrame, path: str, text: str = "text", spans: bool = True) -> DataFrame:
+def with_pieces(docs: DataFrame, path: str, text: str = "text", decoded: bool = True) -> DataFrame:
     """``docs`` with a column ``pieces``: ``ids`` (begin and end ids included), ``starts``, ``ends`` (source bytes of
     each id, begin and end ids having empty spans) and ``decoded``.
 
-    Every whole text is encoded; a null text counts as empty and has the begin and end ids alone. ``spans=False`` leaves
-    the two span lists empty. A column named ``pieces`` is replaced; others stay. No shuffle.
+    Every whole text is encoded; a null text counts as empty and has the begin and end ids alone. ``decoded=False``
+    leaves ``decoded`` null. A column named ``pieces`` is replaced; others stay. No shuffle.
     """
 
     @F.pandas_udf("ids array<int>, starts array<int>, ends array<int>, decoded string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = PieceEncoder(path)
         for batch in batches:
-            yield pd.DataFrame([_encoded(encoder, t, spans) for t in batch], columns=["ids", "starts", "ends", "decoded"])
+            yield pd.DataFrame([_encoded(encoder, t, decoded) for t in batch], columns=["ids", "starts", "ends", "decoded"])
 
     return docs.withColumn("pieces", encode(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _encoded(encoder: PieceEncoder, text: str, spans: bool = True) -> tuple:
+def _encoded(encoder: PieceEncoder, text: str, decoded: bool = True) -> tuple:
     processor = encoder.processor
     ids = processor.encode(text)
-    start, end = encoder.spans(text, np.array(ids, int)) if spans else (np.zeros(0, int),) * 2
+    start, end = encoder.spans(text, np.array(ids, int))
     n = len(text.encode())
     full = [processor.bos_id(), *ids, processor.eos_id()]
-    if not spans:
-        return np.array(full, np.int32), start, end, processor.decode(full)
-    return np.array(full, np.int32), np.concatenate([[0], start, [n]]), np.concatenate([[0], end, [n]]), processor.decode(full)
+    return np.array(full, np.int32), np.concatenate([[0], start, [n]]), np.concatenate([[0], end, [n]]), processor.decode(full) if decoded else None
 
 
 def with_piece_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -45,10 +45,10 @@ def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with begin and end ids."""
+    """Token ids of every document, with begin and end ids, and the source bytes that each id stands for."""
     common.limit_arrow_rows(spark)
-    found = sentencepieces.with_pieces(docs, tokenizer_file("piece_bpe_32k.model"), spans=False)
-    return found.select("doc_id", "lang", "source", F.size("pieces.ids").cast("long").alias("n_tokens"), F.col("pieces.ids").alias("ids"))
+    found = sentencepieces.with_pieces(docs, tokenizer_file("piece_bpe_32k.model"), decoded=False)
+    return found.select("doc_id", "lang", "source", F.size("pieces.ids").cast("long").alias("n_tokens"), "pieces.ids", "pieces.starts", "pieces.ends")
 
 
 STAGES = [

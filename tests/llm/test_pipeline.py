@@ -7,7 +7,8 @@ from test_decontaminate import windows
 from test_ngram_join import expected as classes
 
 import corpus_pipeline as cp
-from bytebasin.llm import toxicity
+from bytebasin.llm import sentencepieces, toxicity
+from bytebasin.llm.queries import tokenizer_file
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,15 @@ def test_stages_take_empty_and_odd_tables(spark, sf, documents):
     for docs in (documents.limit(0), odd):
         for _, stage in cp.STAGES:
             assert stage(spark, docs, sf).count() == docs.count()
+
+
+def test_pieces_have_spans(spark, sf, documents):
+    texts = ["ﬁne  Ⅳ ½ text", "日本語\u3000x", "", None, "a  b   c"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], documents.schema)
+    got = {r.doc_id: r for r in cp.to_pieces(spark, docs, sf).collect()}
+    want = {r.doc_id: r.pieces for r in sentencepieces.with_pieces(docs, tokenizer_file("piece_bpe_32k.model")).collect()}
+    for i, t in enumerate(texts):
+        raw, r = (t or "").encode(), got[i]
+        assert (r.ids, r.starts, r.ends) == (want[i].ids, want[i].starts, want[i].ends)
+        assert len(r.starts) == len(r.ends) == len(r.ids) == r.n_tokens and r.starts[-1] == r.ends[-1] == len(raw)
+        assert {b for s, e in zip(r.starts, r.ends) for b in range(s, e)} == set(range(len(raw))), t
