@@ -1,8 +1,11 @@
 """Removal of later repeated runs of lines, in DataFrame functions alone.
 
-Fingerprints over line hashes: lines are hashed in pairs, and every pair is a fingerprint, so that documents which share
-two lines in a row share a fingerprint of them; a long line is one by itself. Each fingerprint's occurrences are joined
-with its first one; the places that later ones cover make up runs, and those that are long enough are deleted.
+Winnowing over line hashes. From every line a window reaches forward until it holds ``min_words`` words, and the least
+line hash in it is selected as a fingerprint. Stretches of lines that agree in that many words hold a window in common,
+and so select the same line of it: no repetition is without a fingerprint. Fingerprints that occur once go; around the
+others matches are extended both ways, by windows that grow to the right line by line. Each window is met with its first
+occurrence among all documents, whichever that is for it, so a match is followed to its very ends in every earlier
+document that has it; what later occurrences cover is deleted.
 """
 
 from __future__ import annotations
@@ -16,9 +19,8 @@ from bytebasin.llm.common import drop_folder, ensure_checkpoints, shared_folder,
 LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
 #: A character that marks line ends for a while; a text that has it is cut by the pattern instead.
 _MARK = "\x01"
-#: Characters from which a line is a fingerprint by itself, as is one of ``MIN_WORDS`` words; words from which a repeated
-#: run is deleted.
-LONG_LINE, MIN_WORDS = 90, 25
+#: Words from which a repeated stretch of lines is deleted.
+MIN_WORDS = 25
 
 
 def lines_of(text: Column) -> Column:
@@ -31,130 +33,157 @@ def lines_of(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.filter(parts, lambda x: x != "")).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
 
 
-def line_hash(line: Column) -> Column:
-    """Hash of a line without regard to case and outer white space; null for a blank line."""
-    plain = F.lower(F.btrim(line, F.lit(" \t\r\n")))
-    return F.when(plain != "", F.xxhash64(plain))
+def plain(line: Column) -> Column:
+    """What a line is compared by: no case, no outer white space; empty for a blank line."""
+    return F.lower(F.btrim(line, F.lit(" \t\r\n")))
 
 
-def line_words(line: Column) -> Column:
-    """Words of a line: one more than the spaces within it."""
-    plain = F.btrim(line, F.lit(" \t\r\n"))
-    return F.when(plain != "", F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).otherwise(0)
+def words_in(line: Column) -> Column:
+    """Words of a plain line that is not blank: one more than the spaces within it."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _fingerprints(lines: Column, hashes: Column, places: Column, min_words: int) -> Column:
-    """(mark, at, length) of the fingerprints: every pair of neighbouring lines, and every line long enough to go by itself."""
+def _key(doc_id: str, text: str) -> Column:
+    return F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("of"))
 
-    def mark(hash: Column, at: Column, length: int) -> Column:
-        return F.struct(hash.alias("mark"), at.alias("at"), F.lit(length).alias("length"))
 
-    def single(place: Column, i: Column) -> Column:
-        line = F.get(lines, place)
-        return F.when((F.length(line) >= LONG_LINE) | (line_words(line) >= min_words), mark(F.get(hashes, i), i, 1))
+def _placed(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``owner``, the line that each word is in, and ``begins``, the first word of each line."""
+    out = staged(lines, owner=F.flatten(F.transform("words", lambda n, i: F.array_repeat(i, n))))
+    places = F.sequence(F.lit(0), F.size("owner") - 1)  # there is a line, so there is a word
+    return staged(out, begins=F.filter(places, lambda p: (p == 0) | (F.get("owner", p) != F.get("owner", p - 1))))
 
-    firsts = F.slice(hashes, 1, F.greatest(F.lit(0), F.size(hashes) - 1))
-    pairs = F.transform(firsts, lambda h, i: mark(F.xxhash64(h, F.get(hashes, i + 1)), i, 2))
-    return F.concat(pairs, F.filter(F.transform(places, single), lambda x: x.isNotNull()))
 
+def _window_end(start: Column, min_words: int) -> Column:
+    """Last line of the shortest window from line ``start`` on with ``min_words`` words; null where the text ends first."""
+    return F.get("owner", F.get("begins", start) + (min_words - 1))
 
-def _key(doc_id: str, text: str) -> Column:
-    return F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("of"))
 
+def _least(start: Column, end: Column) -> Column:
+    """Line of the least hash from ``start`` to ``end``, the first of equal ones."""
+    hashes = F.slice("hashes", start + 1, end - start + 1)
+    return (start - 1 + F.array_position(hashes, F.array_min(hashes))).cast("int")
+
+
+def _fingerprints(selected: Column) -> Column:
+    """(at, first, last): each selected line and the windows that select it, which begin at neighbouring lines."""
+    lines = F.sequence(F.lit(0), F.size(selected) - 1)
+    firsts = F.filter(lines, lambda i: (i == 0) | (F.get(selected, i) != F.get(selected, i - 1)))
+
+    def one(first: Column, i: Column) -> Column:
+        last = F.coalesce(F.get(firsts, i + 1), F.size(selected)) - 1
+        return F.struct(F.get(selected, first).alias("at"), first.alias("first"), last.alias("last"))
+
+    return F.transform(firsts, one)
 
-def _with_hashes(docs: DataFrame) -> DataFrame:
-    """Documents with ``__hashes`` of the lines that are not blank, and ``__places``, where in ``__lines`` those are."""
-    solid = F.filter(F.transform("__lines", lambda x, i: F.struct(line_hash(x).alias("hash"), i.alias("place"))), lambda x: x["hash"].isNotNull())
-    out = staged(docs, __solid=solid)
-    return staged(out, __hashes=F.col("__solid.hash"), __places=F.col("__solid.place")).drop("__solid")
 
+def _hashed_lines(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
+    """(id, of, hashes, words, fingerprints) of every document that has a window; lines that are not blank count alone."""
+    cut = staged(docs.select(_key(doc_id, text).alias("key"), F.col(text).alias("text")), solid=F.filter(F.transform(lines_of(F.col("text")), plain), lambda x: x != ""))
+    cut = cut.where(F.size("solid") > 0).select("key", "solid")
+    out = staged(cut, hashes=F.transform("solid", lambda x: F.xxhash64(x)), words=F.transform("solid", words_in)).drop("solid")
+    out = _placed(out.where(F.aggregate("words", F.lit(0), lambda total, n: total + n) >= min_words))
+    ends = F.transform("begins", lambda b: F.get("owner", b + (min_words - 1)))
+    out = staged(out, ends=F.filter(ends, lambda e: e.isNotNull()))  # those of the last lines are null
+    out = staged(out, selected=F.transform("ends", lambda e, i: _least(i, e)))
+    return staged(out, fingerprints=_fingerprints(F.col("selected"))).select("key.*", "hashes", "words", "fingerprints")
 
-def _cut_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Documents with ``__key`` (id and a hash of the text), ``__lines``, ``__hashes`` and ``__places``."""
-    return _with_hashes(staged(docs.withColumn("__key", _key(doc_id, text)), __lines=lines_of(F.col(text))))
 
+def _windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """(window, id, of, start, end) around the fingerprints whose windows begin within ``ranges``.
 
-def _marks(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
-    """(mark, id, of, at, length) of every fingerprint."""
-    cut = _cut_lines(docs, doc_id, text).where(F.size("__hashes") > 0).select("__key", "__hashes", "__places", "__lines")
-    marks = _fingerprints(F.col("__lines"), F.col("__hashes"), F.col("__places"), min_words)
-    return cut.select("__key.*", F.inline(marks)).select("mark", "id", "of", "at", "length")
+    From each line goes the shortest window with enough words, and longer ones for as long as they would have too few
+    words without their first line. In a repeated stretch with enough words every line is in one of these.
+    """
+
+    def grown(start: Column) -> Column:
+        end = _window_end(start, min_words)
+        most = F.coalesce(_window_end(start + 1, min_words), F.size("hashes")) - 1
+        return F.transform(F.sequence(end, F.greatest(end, most)), lambda e: window(start, e))
+
+    def window(start: Column, end: Column) -> Column:
+        return F.struct(F.xxhash64(F.slice("hashes", start + 1, end - start + 1)).alias("window"), start.alias("start"), end.alias("end"))
+
+    starts = F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"])))
+    placed = staged(_placed(lines), starts=starts)
+    return placed.select("id", "of", F.inline(F.flatten(F.transform("starts", grown)))).select("window", "id", "of", "start", "end")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``__lines`` and ``runs``: first and last line of every run to delete, by place.
+def repetitions(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, of, covered): for each document with repeated lines the windows (start, end) that later occurrences cover.
 
-    A run is a stretch of lines, with ``min_words`` words or more, each of which belongs to a repetition of lines found
-    earlier: in a document of smaller id (a null id is the smallest; of one id, the text of smaller hash is earlier), or
-    earlier in the same text. Rows alike in id and text count as one document and fare alike. Blank lines match
-    nothing and part nothing: lines are paired without them, and a run carries those between its lines.
-    Every repeated stretch of two lines or more is found whole, as each of its pairs is a fingerprint with a first
-    occurrence of its own, and so is any repeated line of ``LONG_LINE`` characters or of ``min_words`` words.
-    Lines compare by 64-bit hashes, and none goes but by a fingerprint that it is in.
+    ``of`` is a hash of the text; places count the lines that are not blank. A window is a later occurrence where the
+    same lines stand earlier: in a document of smaller id (a null id is the smallest; of one id, the text of smaller
+    hash is earlier), or earlier in the same text. Rows alike in id and text count as one document.
 
-    Fingerprints are written to the shared folder once and counted before the shuffle; each occurrence is joined with
-    the first alone, so a line that a third of the documents share makes no pairs among them; what meets in one task is
-    a document's own lines.
+    Only fingerprints are shuffled at first, about two for each window's length of lines; they are counted before the
+    shuffle. Every occurrence is joined with one row for its hash, so a line or a passage that a third of the documents
+    share makes no pairs among them, and both sides of each join are plain shuffles that Spark can split. What meets in
+    one task is a document's own lines.
     """
-    ensure_checkpoints(docs.sparkSession)
     spark = docs.sparkSession
-    folder = shared_folder(spark, "line-marks")
-    _marks(docs, min_words, doc_id, text).write.option("compression", "zstd").parquet(folder)
-    marks = spark.read.parquet(folder)
-    # only marks that occur again go on, and they are few: counts are hashed and summed before the shuffle. What is
-    # aggregated is checkpointed, so that both sides of the joins are plain shuffles and Spark can split a hot mark
+    ensure_checkpoints(spark)
+    folder = shared_folder(spark, "line-hashes")
+    _hashed_lines(docs, min_words, doc_id, text).write.option("compression", "zstd").parquet(f"{folder}/lines")
+    lines = spark.read.parquet(f"{folder}/lines")
+
+    marked = F.transform("fingerprints", lambda f: F.struct(F.get("hashes", f["at"]).alias("mark"), f["first"].alias("first"), f["last"].alias("last")))
+    marks = lines.select("id", "of", F.inline(marked))
     again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark").checkpoint()
-    place = F.struct("id", "of", "at", "length")
-    met = marks.join(again, "mark").select("mark", place.alias("place")).checkpoint()
+    ranges = marks.join(again, "mark").groupBy("id", "of").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    mine = ranges.select(F.col("id").alias("r_id"), F.col("of").alias("r_of"), "ranges")
+    met = lines.join(mine, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("of") == F.col("r_of"))).select("id", "of", "hashes", "words", "ranges")
+    _windows(met, min_words).write.option("compression", "zstd").parquet(f"{folder}/windows")
+
+    windows = spark.read.parquet(f"{folder}/windows")
+    place = F.struct("id", "of", "start")
+    firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first").checkpoint()
+    later = windows.join(firsts, "window").where(place > F.col("first"))
+    covered = later.groupBy("id", "of").agg(F.collect_set(F.struct("start", "end")).alias("covered")).checkpoint()
     drop_folder(spark, folder)  # the checkpoint does not read it
-    firsts = met.groupBy("mark").agg(F.min("place").alias("first")).checkpoint()
-    later = met.join(firsts, "mark").where(F.col("place") > F.col("first"))
-    seeds = later.groupBy("place.id", "place.of").agg(F.collect_set(F.struct("place.at", "place.length")).alias("seeds"))
-    seeds = seeds.select(F.struct("id", "of").alias("__seed_key"), "seeds")
-    held = docs.withColumn("__key", _key(doc_id, text))
-    held = held.join(seeds, F.col("__key").eqNullSafe(F.col("__seed_key")), "left").drop("__seed_key")
-    held = staged(held, __lines=F.when(F.col("seeds").isNotNull(), lines_of(F.col(text))))
-    held = _with_hashes(held)
-    held = staged(held, __covered=_covered(F.col("seeds")))
-    held = staged(held, runs=_runs(F.col("__covered"), F.col("__places"), F.col("__lines"), min_words))
-    return held.drop("__key", "__hashes", "__places", "__covered", "seeds")
-
+    return covered
 
-def _covered(seeds: Column) -> Column:
-    """Places, among the lines that are not blank, that the seeds cover, rising."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(seeds, lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))))
 
+def _runs(places: Column, solid: Column) -> Column:
+    """Runs of neighbouring places, as first and last places among all lines: blank lines between two of them go too."""
+    starts = F.filter(places, lambda x, i: (i == 0) | (x != F.get(places, i - 1) + 1))
+    ends = F.filter(places, lambda x, i: (i == F.size(places) - 1) | (x != F.get(places, i + 1) - 1))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(F.get(solid, s).alias("start"), F.get(solid, e).alias("end")))
 
-def _runs(covered: Column, places: Column, lines: Column, min_words: int) -> Column:
-    """Stretches of covered places in a row that have enough words, as places among all lines: blank lines between go too."""
-    starts = F.filter(covered, lambda x, i: (i == 0) | (x != F.get(covered, i - 1) + 1))
-    ends = F.filter(covered, lambda x, i: (i == F.size(covered) - 1) | (x != F.get(covered, i + 1) - 1))
-    runs = F.zip_with(starts, ends, lambda s, e: F.struct(F.get(places, s).alias("start"), F.get(places, e).alias("end")))
 
-    def enough(run: Column) -> Column:
-        inside = F.slice(lines, run["start"] + 1, run["end"] - run["start"] + 1)
-        return F.aggregate(inside, F.lit(0), lambda total, x: total + line_words(x)) >= min_words
+def _kept(lines: Column, runs: Column) -> Column:
+    """The lines outside the runs, joined."""
 
-    return F.filter(runs, enough)
+    def begin(i: Column) -> Column:
+        return F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["end"] + 1)
 
-
-def _kept(text: Column, lines: Column, runs: Column) -> Column:
-    """The text without its runs."""
-    before = F.transform(runs, lambda r, i: F.slice(lines, F.when(i == 0, F.lit(1)).otherwise(F.get(runs, i - 1)["end"] + 2), r["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get(runs, i - 1)["end"] + 1)))
+    before = F.transform(runs, lambda r, i: F.slice(lines, begin(i) + 1, r["start"] - begin(i)))
     last = F.element_at(runs, -1)["end"]
     rest = F.slice(lines, last + 2, F.greatest(F.lit(0), F.size(lines) - last - 1))
-    return F.when(F.size(runs) > 0, F.concat(F.array_join(F.flatten(before), ""), F.array_join(rest, ""))).otherwise(text)
+    return F.concat(F.array_join(F.flatten(before), ""), F.array_join(rest, ""))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with later repeated runs deleted from ``text``, and ``removed_lines``, how many lines went.
-
-    See ``repeated_runs``. Documents whose text is deleted whole stay, with an empty text; null and empty texts and
-    documents without repetition stay as they are. An empty table gives an empty table. Columns beginning with two
-    underscores, ``runs`` and ``seeds`` are used inside.
+    """``docs`` with later repeated lines deleted from ``text``, and ``removed_lines``, how many lines went.
+
+    A line goes exactly when it is in a stretch of lines with ``min_words`` words or more that stands earlier too: in a
+    document of smaller id (null ids come first, one id's texts by a hash), or further up in the same text. Lines
+    compare by 64-bit hashes without case and outer white space, blank lines count for nothing, and those between two
+    lines that go go with them. Rows alike in id and text are one document and fare alike. A document whose text is
+    deleted whole stays with an empty text; null and empty texts and those without repetition stay as they are. An
+    empty table gives an empty table. Other columns stay, whatever their names; a column ``removed_lines`` is replaced.
     """
-    found = repeated_runs(docs, min_words, doc_id, text)
-    gone = F.aggregate(F.coalesce("runs", F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)")), F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"] + 1)
-    kept = F.coalesce(_kept(F.col(text), F.col("__lines"), F.col("runs")), F.col(text))
-    done = staged(found.drop("removed_lines"), **{"__kept": kept, "removed_lines": gone}).drop(text).withColumnRenamed("__kept", text)
-    return done.select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")
+    # columns get numbers for a while, so that no name of theirs meets one in use here
+    number = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*number.values()).withColumns({"key": _key(number[doc_id], number[text]), "text": F.col(number[text])})
+    found = repetitions(docs, min_words, doc_id, text).select(F.struct("id", "of").alias("of_key"), "covered")
+    held = rows.join(found, F.col("key").eqNullSafe(F.col("of_key")), "left").drop("key", "of_key")
+    held = staged(held, lines=F.when(F.col("covered").isNotNull(), lines_of(F.col("text"))))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("covered", lambda w: F.sequence(w["start"], w["end"])))))
+    solid = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: plain(F.get("lines", i)) != "")
+    held = staged(held, places=places, solid=F.when(F.col("covered").isNotNull(), solid)).drop("covered")
+    held = staged(held, runs=_runs(F.col("places"), F.col("solid"))).drop("places", "solid")
+    gone = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"] + 1)
+    whole = F.coalesce(_kept(F.col("lines"), F.col("runs")), F.col("text"))
+    kept = [(whole if c == text else F.col(n)).alias(c) for c, n in number.items() if c != "removed_lines"]
+    return held.select(*kept, F.coalesce(gone, F.lit(0).cast("long")).alias("removed_lines"))

@@ -1,8 +1,10 @@
-"""Line dedup against a plain search of windows of lines."""
+"""Line dedup against a plain search of all matches."""
 
 import random
 import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from bytebasin.llm import line_dedup as ld
@@ -17,55 +19,58 @@ def plain(line):
     return line.strip().lower()
 
 
-def bounds(docs):
-    """By document: places that have to go (in windows of lines found earlier, in runs with enough words), and places
-    that may (lines found earlier, or beside such ones)."""
-    order = sorted(docs, key=lambda d: d[0])
-    seen_windows, seen_lines, out = set(), set(), {}
-    for number, text in order:
+def words(key):
+    return key.count(" ") + 1
+
+
+def expected(docs, least=ld.MIN_WORDS):
+    """Text left and lines gone by document, docs being (id, text, order among texts of one id).
+
+    Every place is held against all earlier places with the same line, and the match is followed as far as it goes.
+    """
+    order = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, d[2]))
+    seen, out = {}, {}
+    for number, text, _ in order:
         mine = lines(text)
-        keys = [plain(x) for x in mine]
-        must, may = set(), set()
-        for i, k in enumerate(keys):
-            if k in seen_lines:
-                may.add(i)
-            window = tuple(keys[i : i + 3])
-            if len(window) == 3 and all(window):
-                if window in seen_windows:
-                    must |= set(range(i, i + 3))
-                seen_windows.add(window)
-            if len(mine[i]) >= ld.LONG_LINE and k in seen_lines:
-                must.add(i)
-            if k:
-                seen_lines.add(k)
-        runs, need = [], set()
-        for i in sorted(must):
-            runs.append([i]) if not runs or runs[-1][-1] != i - 1 else runs[-1].append(i)
-        for r in runs:
-            if len(r) > 2 and len(mine[r[0]]) < ld.LONG_LINE:
-                r = r[1:]
-            if len(r) > 1 and len(mine[r[-1]]) < ld.LONG_LINE:
-                r = r[:-1]
-            if sum(len(mine[i].split()) for i in r) >= ld.MIN_WORDS:
-                need |= set(r)
-        out[number] = (mine, need, may)
+        solid = [i for i, x in enumerate(mine) if plain(x)]
+        keys = [plain(mine[i]) for i in solid]
+        covered = set()
+        for p, k in enumerate(keys):
+            for other, q in seen.setdefault(k, []):
+                if p and q and keys[p - 1] == other[q - 1]:
+                    continue  # part of a longer match
+                n = 0
+                while p + n < len(keys) and q + n < len(other) and keys[p + n] == other[q + n]:
+                    n += 1
+                if sum(map(words, keys[p : p + n])) >= least:
+                    covered |= set(range(p, p + n))
+            seen[k].append((keys, p))
+        gone = {solid[p] for p in covered}
+        for p in covered:
+            if p + 1 in covered:  # blank lines between
+                gone |= set(range(solid[p], solid[p + 1]))
+        out[number, text] = ("".join(x for i, x in enumerate(mine) if i not in gone) if gone else text, len(gone))
     return out
 
 
-def check(docs, got):
-    """What is left is the text without a set of lines between the two bounds; compared by words."""
-    for number, (mine, need, may) in bounds(docs).items():
-        left = got[number].split()
-        rest = "".join(x for i, x in enumerate(mine) if i not in need).split()
-        sure = "".join(x for i, x in enumerate(mine) if i not in may).split()
-        assert is_subsequence(left, "".join(mine).split()), number
-        assert is_subsequence(sure, left), number
-        assert len(left) <= len(rest), (number, len(left), len(rest))
+def check(docs, rows):
+    """``rows`` are (id, text, removed lines) of what is left, ``docs`` (id, text)."""
+    of = ranked(docs)
+    want = expected([(*d, of[d]) for d in docs])
+    assert sorted(rows, key=str) == sorted([(d[0], *want[d]) for d in docs], key=str)
+
 
+def ranked(docs):
+    """Order of the texts of one id: by the hash that Spark gives them."""
+    from pyspark.sql import SparkSession
 
-def is_subsequence(a, b):
-    it = iter(b)
-    return all(x in it for x in a)
+    once = Counter(number for number, _ in set(docs))
+    of = dict.fromkeys(docs, 0)
+    many = [d for d in of if once[d[0]] > 1]
+    if many:
+        frame = SparkSession.active().createDataFrame(many, "id long, text string")
+        of |= {(r.id, r.text): r.of for r in frame.select("id", "text", F.xxhash64("text").alias("of")).collect()}
+    return of
 
 
 def sentence(rng, n):
@@ -84,8 +89,9 @@ def test_planted_passages(spark):
             own[at:at] = [passages[i % 5] + sep.strip(" ")]
         docs.append((i, rng.choice(["\n", " "]).join(own)))
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
-    got = {r.doc_id: r.text for r in ld.dedup_lines(frame).collect()}
-    check(docs, got)
+    rows = ld.dedup_lines(frame).collect()
+    check(docs, [tuple(r) for r in rows])
+    got = {r.doc_id: r.text for r in rows}
     first = {}
     for i, t in docs:
         if i % 3 == 0:
@@ -99,12 +105,40 @@ def test_planted_passages(spark):
             assert got[i] == t
 
 
-def test_few_lines_repeated_at_random(spark):
-    rng = random.Random(6)
-    pool = [sentence(rng, n) for n in (2, 3, 5, 8, 9, 17, 30)] + ["", "  "]
-    docs = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 25)))) for i in range(80)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    check(docs, {r.doc_id: r.text for r in ld.dedup_lines(frame).collect()})
+@pytest.mark.parametrize("seed", range(4))
+def test_few_lines_repeated_at_random(spark, seed):
+    rng = random.Random(seed)
+    pool = [sentence(rng, n) for n in (1, 1, 2, 3, 5, 8, 9, 11, 17, 24, 25, 30)] + ["", "  "]
+    docs = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 25)))) for i in range(70)]
+    docs += [(rng.randint(0, 90), "\n".join(rng.choices(pool[:8], k=rng.randint(5, 60)))) for _ in range(30)] + [(None, docs[3][1]), (None, docs[4][1]), (5, docs[6][1]), (5, docs[6][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    check(docs, [tuple(r) for r in ld.dedup_lines(frame).collect()])
+
+
+def test_passages_cut_at_random_out_of_others(spark):
+    """Matches of all lengths, a passage's pieces standing first in different documents and contexts."""
+    rng = random.Random(12)
+    books = [[sentence(rng, rng.choice([2, 4, 7, 12, 20])) for _ in range(40)] for _ in range(3)]
+    docs = []
+    for _ in range(150):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            book = rng.choice(books)
+            at = rng.randint(0, 39)
+            text += book[at : at + rng.randint(1, 9)] + [sentence(rng, rng.randint(1, 9)) for _ in range(rng.randint(0, 2))]
+        docs.append((rng.randint(0, 10**9), rng.choice(["\n", " ", "\n\n"]).join(text)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    check(docs, [tuple(r) for r in ld.dedup_lines(frame).collect()])
+
+
+def test_clashing_names(spark):
+    long = "word " * 30 + "end."
+    names = ["seeds", "runs", "lines", "covered", "row", "key", "__key", "places"]
+    docs = [(i, long, *[f"{n} {i}" for n in names]) for i in range(3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    rows = ld.dedup_lines(frame)
+    assert rows.columns == [*frame.columns, "removed_lines"]
+    assert sorted(map(tuple, rows.collect())) == [(*d[:1], d[1] if d[0] == 0 else "", *d[2:], int(d[0] > 0)) for d in docs]
 
 
 def test_edges(spark):
@@ -121,9 +155,7 @@ def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows = op1_line_dedup(spark, sf)
     assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
-    got = {r.doc_id: r.text for r in rows.collect()}
-    assert len(got) == len(docs)
-    check(docs, got)
+    check(docs, [(r.doc_id, r.text, r.removed_lines) for r in rows.collect()])
 
 
 def test_lines_make_up_the_text(spark):
@@ -161,10 +193,9 @@ def test_two_lines_and_ends_in_other_contexts(spark):
         own = [words(4) for _ in range(6)]
         docs += [(i, "\n".join([own[0], *passage[1:3], own[1]])), (i + 1, "\n".join([own[2], *passage, own[3]])), (i + 2, "\n".join([own[4], *passage, own[5]]))]
         want |= {docs[-3][0]: docs[-3][1], docs[-2][0]: docs[-2][1], docs[-1][0]: own[4] + "\n" + own[5]}
-    short = words(25, 2)  # enough words in fewer characters than LONG_LINE
+    short = words(25, 2)  # enough words in few characters
     docs += [(500, f"{words(3)}\n{short}\n{words(3)}"), (501, f"A.\n{short}\nB.")]
     want |= {500: docs[-2][1], 501: "A.\nB."}
-    assert len(short) < ld.LONG_LINE
     got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
     assert got == want
 
