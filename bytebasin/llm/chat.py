@@ -51,11 +51,19 @@ def fold_events(events: DataFrame) -> DataFrame:
     tail = F.filter("parts", lambda p: (p["kind"] == DELTA) & (last.isNull() | (F.struct(p["seq"], p["kind"], p["role"], p["text"]) > last) | (p["seq"] > last["seq"])))
     text = F.concat(F.coalesce(last["text"], F.lit("")), F.array_join(F.transform(tail, lambda p: p["text"]), ""))
     messages = folded.select("conv_id", "turn", "seq", "n", F.element_at("parts", 1)["role"].alias("role"), text.alias("text"))
-    cuts = log.where(F.col("kind") == REGENERATE).groupBy("conv_id").agg(F.collect_list(F.struct("turn", "seq")).alias("cuts"))
-    taken_back = F.exists(F.coalesce(F.col("cuts"), F.expr("CAST(array() AS ARRAY<STRUCT<turn: BIGINT, seq: BIGINT>>)")), lambda c: (c["turn"] < F.col("turn")) & (c["seq"] > F.col("seq")))
-    same = F.col("c.conv_id").eqNullSafe(F.col("m.conv_id"))
-    kept = messages.alias("m").join(cuts.alias("c"), same, "left").where(~F.coalesce(taken_back, F.lit(False)))
-    return kept.select(*[F.col(f"m.{c}") for c in messages.columns])
+    # what a message has to look at: the last regeneration logged of all blocks of turns before its own, and those of the
+    # turns of its own block; a block has a bounded number of turns
+    block = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK)
+    regenerated = F.when(F.col("kind") == REGENERATE, F.col("seq"))
+    turns = log.groupBy("conv_id", block.alias("block"), "turn").agg(F.max(regenerated).alias("cut"))
+    blocks = turns.groupBy("conv_id", "block").agg(F.max("cut").alias("last"), F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("turn", "cut"))).alias("cuts"))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = blocks.withColumn("before", F.max("last").over(earlier)).where("before IS NOT NULL OR size(cuts) > 0")
+    mine = messages.withColumn("block", block).alias("m")
+    same = F.col("c.conv_id").eqNullSafe(F.col("m.conv_id")) & (F.col("c.block") == F.col("m.block"))
+    near = F.exists("c.cuts", lambda c: (c["turn"] < F.col("m.turn")) & (c["cut"] > F.col("m.seq")))
+    taken_back = F.coalesce(F.col("c.before") > F.col("m.seq"), F.lit(False)) | F.coalesce(near, F.lit(False))
+    return mine.join(blocks.alias("c"), same, "left").where(~taken_back).select(*[F.col(f"m.{c}") for c in messages.columns])
 
 
 def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -63,7 +71,8 @@ def render(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> Data
 
     A turn is OPEN, its role, a line break, its text, CLOSE. ``loss`` has for every turn of a role in ``learn`` the
     turn's index and the code points, counted from its OPEN, where its text starts and ends. Turns go by ``turn``,
-    ``seq`` and ``n``; they are joined in blocks first, so that a long conversation's work is spread.
+    ``seq`` and ``n``; they are joined in blocks first, so that a long conversation's work is spread. No message gives no
+    row; texts and roles are not null, as ``fold_events`` gives them.
     """
     role = F.regexp_replace(F.regexp_replace(escaped(F.col("role")), r"\\", r"\\\\"), "\n", r"\\n")
     head = F.concat(F.lit(OPEN), role, F.lit("\n"))
@@ -88,7 +97,8 @@ def format_events(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) ->
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, ``turns`` (role and text of each, unescaped) and ``learnt`` (the texts under the loss mask, unescaped).
 
-    Everything comes from ``formatted`` and ``loss`` as ``render`` gives them.
+    Everything comes from ``formatted`` and ``loss`` as ``render`` gives them; a conversation without turns has none, a
+    null ``formatted`` gives nulls, an empty table an empty one.
     """
     pieces = F.split(F.col("formatted"), r"<\|end\|>\n", -1)
     rows = formatted.select("conv_id", F.slice(pieces, 1, F.size(pieces) - 1).alias("pieces"), "loss")

@@ -16,6 +16,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytebasin.llm.common import ensure_checkpoints, give_back, kept, staged
 from bytebasin.llm.words import word_spans, words_of
 
 WINDOW = 10
@@ -121,63 +122,69 @@ class SuffixAutomaton:
         return spans, items
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple[str, str]]]:
-    """Items in blocks whose words are counted first, so that what is broadcast has a bound."""
+def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, str]]]:
+    """Items in blocks whose words are counted first: the driver holds, and sends, one block at a time."""
     known = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + total // (2 * BLOCK_WORDS)
-    if n == 1:
-        return [[tuple(r) for r in known.collect()]]
-    numbered = known.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [[tuple(r) for r in numbered.where(F.col("block") == b).select("item", "text").collect()] for b in range(n)]
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    for b in range(n):
+        yield [tuple(r) for r in known.where(block == b).collect()]
 
 
-_KEPT: dict = {}
+def _matcher(shipped: Broadcast, window: int, cut: tuple[int, float] | None = None):
+    """A column function that matches texts against one block of items.
 
-
-def _automaton(key: str, rows: list[tuple[str, str]], window: int) -> SuffixAutomaton:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = SuffixAutomaton([(item, words_of(text)) for item, text in rows], window)
-    return _KEPT[key]
-
-
-def _matcher(shipped: Broadcast, window: int):
-    """A column function that matches texts against one block of items."""
+    With ``cut`` (least words of a stretch, most coverage) it also gives the text without its stretches: null where
+    there is nothing to delete, and ``keep`` tells whether the rest is worth keeping.
+    """
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("n_words long, spans array<struct<start: int, end: int>>, items array<string>")
+    @F.pandas_udf("n_words long, spans array<struct<start: int, end: int>>, items array<string>, clean string, keep boolean")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(key, shipped.value, window)
+        automaton = kept(("automaton", key), lambda: SuffixAutomaton([(item, words_of(text)) for item, text in shipped.value], window))
         for batch in batches:
             found = []
             for t in batch:
                 words = words_of(t)
                 spans, owners = automaton.hits(words)
-                found.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted(owners)))
-            yield pd.DataFrame(found, columns=["n_words", "spans", "items"])
+                clean, keep = _cut(t, len(words), spans, *cut) if cut else (None, True)
+                found.append((len(words), [{"start": s, "end": e} for s, e in spans], sorted(owners), clean, keep))
+            yield pd.DataFrame(found, columns=["n_words", "spans", "items", "clean", "keep"])
+        give_back()
 
     return match
 
 
+def _cut(text: str | None, n_words: int, spans: list[tuple[int, int]], min_words: int, max_coverage: float) -> tuple[str | None, bool]:
+    long = [(s, e) for s, e in spans if e - s >= min_words]
+    return removed(text, long) if long else None, sum(e - s for s, e in long) <= n_words * max_coverage
+
+
 def with_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "hits") -> DataFrame:
     """``docs`` with ``into``: ``n_words``, ``spans`` (first and past-the-last word of each hit stretch) and ``items``.
 
     A window is ``window`` consecutive words of an item, or a shorter item whole. Null and wordless texts have no words
-    and no hits; null item ids or texts count for nothing; items of one id are one. A column named ``into`` is replaced,
-    others and repeated rows stay. No shuffle: blocks of items of bounded size are broadcast in turn to all documents.
+    and no hits; null item ids or texts count for nothing; items of one id are one; without items nothing is hit. A
+    column named ``into`` is replaced, others and repeated rows stay. No shuffle: a block of items of bounded size is
+    broadcast to all documents. Further blocks are further passes, each checkpointed before the next, so that a worker
+    holds one block's automaton and the driver one block's items.
     """
-    spark = docs.sparkSession
-    out = docs.drop(into)
+    ensure_checkpoints(docs.sparkSession)
+    more = "__more"
+    while more in docs.columns:
+        more += "_"
+    out = None
     for rows in _blocks(items, item_id, item_text):
-        mine = _matcher(spark.sparkContext.broadcast(rows), window)(F.col(text))
-        if into not in out.columns:
-            out = out.withColumn(into, mine)
+        mine = _matcher(docs.sparkSession.sparkContext.broadcast(rows), window)(F.col(text))
+        if out is None:
+            found = docs.withColumn(into, mine)
+            out = found.withColumn(into, F.struct(*[F.col(f"{into}.{c}").alias(c) for c in ("n_words", "spans", "items")]))
             continue
-        out = out.withColumn("__more", mine)
-        both = F.array_sort(F.concat(f"{into}.spans", "__more.spans"))
-        merged = F.struct(F.col(f"{into}.n_words").alias("n_words"), _merged(both).alias("spans"), F.array_sort(F.array_union(f"{into}.items", "__more.items")).alias("items"))
-        out = out.withColumn(into, merged).drop("__more")
+        out = out.checkpoint().withColumn(more, mine)
+        both = F.array_sort(F.concat(f"{into}.spans", f"{more}.spans"))
+        merged = F.struct(F.col(f"{into}.n_words").alias("n_words"), _merged(both).alias("spans"), F.array_sort(F.array_union(f"{into}.items", f"{more}.items")).alias("items"))
+        out = out.withColumn(into, merged).drop(more)
     return out
 
 
@@ -213,18 +220,32 @@ def removed(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[done:]]).decode()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, min_words: int = 1, max_coverage: float = 0.5, text: str = "text", **how) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, min_words: int = 1, max_coverage: float = 0.5, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without hit stretches of at least ``min_words`` words; documents hit beyond ``max_coverage`` of their
-    words go whole. Documents without hits stay as they are; columns stay.
-    """
-    found = with_hits(docs, items, text=text, into="__hits", **how)
-    spans = F.filter("__hits.spans", lambda s: s["end"] - s["start"] >= min_words)
-    n_hit = F.aggregate(spans, F.lit(0), lambda total, s: total + s["end"] - s["start"])
+    words go whole. Documents without hits stay as they are, null, empty and wordless texts and repeated rows among
+    them; columns stay, whatever their names. An empty table gives an empty table.
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([removed(t, [(s["start"], s["end"]) for s in found]) if len(found) else t for t, found in zip(texts, spans)], dtype=object)
-
-    found = found.withColumn("__spans", spans).where(n_hit <= F.col("__hits.n_words") * max_coverage)
-    clean = F.when(F.size("__spans") > 0, cut(F.col(text), F.col("__spans"))).otherwise(F.col(text))
-    return found.withColumn(text, clean).select(*docs.columns)
+    A benchmark of one block is matched and cut in one pass; for a larger one the hits of all blocks are merged first.
+    """
+    ensure_checkpoints(docs.sparkSession)
+    hits = "__hits"
+    while hits in docs.columns:
+        hits += "_"
+    how = (min_words, max_coverage)
+    blocks = _blocks(items, item_id, item_text)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        matched = docs.withColumn(hits, _matcher(docs.sparkSession.sparkContext.broadcast(first), window, how)(F.col(text)))
+    else:
+        all_hits = with_hits(docs, items, window, text, item_id, item_text, into=hits).checkpoint()
+
+        @F.pandas_udf("clean string, keep boolean")
+        def cut(texts: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
+            rows = [_cut(t, n, [(s["start"], s["end"]) for s in spans], *how) for t, n, spans in zip(texts, found["n_words"], found["spans"])]
+            return pd.DataFrame(rows, columns=["clean", "keep"])
+
+        matched = all_hits.withColumn(hits, cut(F.col(text), F.col(hits)))
+    # computed once: a filter on a function's result would have the function run again below it
+    found = staged(matched, **{hits: F.col(hits)})
+    return found.where(F.col(f"{hits}.keep")).withColumn(text, F.coalesce(f"{hits}.clean", text)).select(*docs.columns)

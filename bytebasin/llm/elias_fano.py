@@ -8,67 +8,61 @@ import numpy as np
 
 #: One sampled position of the upper bits for so many values.
 SAMPLE = 256
-_HEAD = struct.Struct("<QQB")
+_HEAD = struct.Struct("<QQ")
 
 
 class EliasFano:
-    """Values v_0 <= v_1 <= ... below or at ``universe``: low bits packed, high bits in unary, sampled for select.
+    """Values v_0 <= v_1 <= ... from 0 on: low bits packed, high bits in unary, sampled for select.
 
-    It takes about 2 + log2(universe / n) bits a value; an empty sequence is allowed.
+    It takes about 2 + log2(greatest / n) bits a value, and a quarter of a bit for the samples, which are stored with
+    it: nothing is unpacked to be read. An empty sequence is allowed.
     """
 
-    def __init__(self, n: int, universe: int, low: np.ndarray, upper: np.ndarray):
-        self.n, self.universe, self.low, self.upper = n, universe, low, upper
-        self.bits = self.low_bits(n, universe)
-        ones = np.unpackbits(upper, bitorder="little", count=None)
-        self.samples = np.flatnonzero(ones)[::SAMPLE].astype("<u8")
+    def __init__(self, n: int, greatest: int, low: bytes, upper: bytes, samples: np.ndarray):
+        self.n, self.greatest, self.low, self.upper, self.samples = n, greatest, low, upper, samples
+        self.bits = self.low_bits(n, greatest)
 
     @staticmethod
-    def low_bits(n: int, universe: int) -> int:
-        return max(0, (universe // n).bit_length() - 1) if n else 0
+    def low_bits(n: int, greatest: int) -> int:
+        return max(0, (greatest // n).bit_length() - 1) if n else 0
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, "<u8")
-        n, universe = len(values), int(values[-1]) if len(values) else 0
-        bits = cls.low_bits(n, universe)
+        n, greatest = len(values), int(values[-1]) if len(values) else 0
+        bits = cls.low_bits(n, greatest)
         low = ((values[:, None] >> np.arange(bits, dtype="<u8")) & np.uint64(1)).astype(np.uint8)
-        upper = np.zeros(n + (universe >> bits) + 1, np.uint8)
-        upper[(values >> np.uint64(bits)).astype("i8") + np.arange(n)] = 1
-        return cls(n, universe, np.packbits(low, bitorder="little"), np.packbits(upper, bitorder="little"))
+        ones = (values >> np.uint64(bits)).astype("i8") + np.arange(n)
+        upper = np.zeros(n + (greatest >> bits) + 1, np.uint8)
+        upper[ones] = 1
+        return cls(n, greatest, np.packbits(low, bitorder="little").tobytes(), np.packbits(upper, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u8"))
 
     def to_bytes(self) -> bytes:
-        return _HEAD.pack(self.n, self.universe, 0) + self.low.tobytes() + self.upper.tobytes()
+        return _HEAD.pack(self.n, self.greatest) + self.low + self.upper + self.samples.tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> EliasFano:
-        n, universe, _ = _HEAD.unpack_from(raw)
-        body, cut = np.frombuffer(raw, np.uint8, offset=_HEAD.size), (n * cls.low_bits(n, universe) + 7) // 8
-        return cls(n, universe, body[:cut], body[cut:])
+        n, greatest = _HEAD.unpack_from(raw)
+        bits = cls.low_bits(n, greatest)
+        low = _HEAD.size + (n * bits + 7) // 8
+        upper = low + (n + (greatest >> bits) + 8) // 8
+        return cls(n, greatest, raw[_HEAD.size : low], raw[low:upper], np.frombuffer(raw, "<u8", offset=upper))
 
     def select(self, i: int) -> int:
         """The i-th value: from the nearest sample on, by bytes' bit counts, then within a byte."""
         at = int(self.samples[i // SAMPLE])
         left = i % SAMPLE
         byte = at >> 3
-        word = int(self.upper[byte]) & (0xFF << (at & 7)) & 0xFF
+        word = self.upper[byte] & (0xFF << (at & 7)) & 0xFF
         while (ones := word.bit_count()) <= left:
             left -= ones
             byte += 1
-            word = int(self.upper[byte])
+            word = self.upper[byte]
         for _ in range(left):
             word &= word - 1
         high = (byte << 3) + (word & -word).bit_length() - 1 - i
-        low = 0
-        for k in range(self.bits):
-            bit = i * self.bits + k
-            low |= (int(self.low[bit >> 3]) >> (bit & 7) & 1) << k
-        return high << self.bits | low
-
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        high = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n] - np.arange(self.n)
         if not self.bits:
-            return high.astype("i8")
-        low = np.unpackbits(self.low, bitorder="little", count=self.n * self.bits).reshape(self.n, self.bits)
-        return (high.astype("i8") << self.bits) + low.astype("i8") @ (1 << np.arange(self.bits, dtype="i8"))
+            return high
+        first = i * self.bits
+        part = int.from_bytes(self.low[first >> 3 : (first + self.bits + 7) >> 3], "little")
+        return high << self.bits | part >> (first & 7) & (1 << self.bits) - 1

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytebasin.llm.common import bucket_of, cut_points
+from bytebasin.llm.common import kept, ordered_ranges
 from bytebasin.llm.words import words_of
 
 SAMPLES = 64
@@ -101,14 +101,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-_KEPT: dict[int, WeightedSampler] = {}
-
-
 def _sampler(samples: int) -> WeightedSampler:
-    if samples not in _KEPT:
-        _KEPT.clear()
-        _KEPT[samples] = WeightedSampler(samples)
-    return _KEPT[samples]
+    return kept(("sampler", samples), lambda: WeightedSampler(samples))
 
 
 def with_fingerprints(docs: DataFrame, samples: int = SAMPLES, text: str = "text", into: str = "fingerprint") -> DataFrame:
@@ -135,26 +129,30 @@ def with_neighbour_likeness(docs: DataFrame, samples: int = SAMPLES, doc_id: str
     """Each document against its edited text and against the next document, in descending ``doc_id``.
 
     Columns ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``,
-    ``near_next``. Rows of one id go by text; null ids come last; after the last document comes the first (one document
-    alone follows itself). One shuffle, by ranges of ids; the first row of a range also goes to the range before it, so
-    that no task waits for another. The driver holds a number or two for each range.
+    ``near_next``. Rows of one id go by a hash of the text, falling like the ids; null ids come last; after the last
+    document comes the first (one document alone follows itself). One shuffle, by ranges of (id, hash), so that many
+    rows of one id are dealt too; the first row of a range also goes to the range before it, so that no task waits for
+    another. A row for each range is broadcast.
     """
     spark = docs.sparkSession
-    cuts = cut_points(docs, doc_id, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    last = len(cuts)
     key = F.col("doc_id")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # ranges count down with the id; rows without an id are in the last one
-    rows = rows.withColumn("range", F.when(key.isNull(), F.lit(last)).otherwise(F.lit(last) - bucket_of(key, cuts)))
-    heads = {r["range"]: r["head"] for r in rows.groupBy("range").agg(F.max("doc_id").alias("head")).collect()}
-    order = sorted(heads)
-    to = [(r, heads[r], order[i - 1]) for i, r in enumerate(order)]  # the first range's head goes to the last one
-    targets = F.array(*[F.when((F.col("range") == r) & key.eqNullSafe(F.lit(h).cast("long")), F.lit(t)) for r, h, t in to]) if to else F.lit(None).cast("array<int>")
-    extra = F.transform(F.filter(targets, lambda t: t.isNotNull()), lambda t: F.struct(t.alias("range"), F.lit(True).alias("guest")))
-    own = F.array(F.struct(F.col("range").cast("int").alias("range"), F.lit(False).alias("guest")))
-    dealt = rows.select("doc_id", "text", F.explode(F.concat(own, F.coalesce(extra, F.expr("CAST(array() AS ARRAY<STRUCT<range: INT, guest: BOOLEAN>>)")))).alias("to"))
-    dealt = dealt.select("doc_id", "text", "to.range", "to.guest").repartitionById(last + 1, F.col("range"))
-    dealt = dealt.sortWithinPartitions("guest", key.desc_nulls_last(), "text")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("tie"))
+    rows, n = ordered_ranges(rows, "doc_id", "tie", max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # ranges count down with the id; rows without an id are in the last ones
+    heads = rows.groupBy("range").agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect()
+    heads = {r["range"]: (r["head"]["doc_id"], r["head"]["tie"]) for r in heads}
+    keyed, unkeyed = (sorted((r for r, h in heads.items() if (h[0] is None) == none), reverse=True) for none in (False, True))
+    order = [*keyed, *unkeyed]
+    to = [(r, *heads[r], order[i - 1]) for i, r in enumerate(order)]  # the first range's head goes to the last one
+    guests = F.broadcast(spark.createDataFrame(to, "at int, head long, head_tie long, before int"))  # a row for each range
+    met = rows.join(guests, F.col("range") == F.col("at"))
+    first = key.eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))
+    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
+    guest = F.struct(F.col("before").alias("range"), F.lit(True).alias("guest"))
+    dealt = met.select("doc_id", "text", "tie", F.inline(F.when(first, F.array(own, guest)).otherwise(F.array(own))))
+    dealt = dealt.repartitionById(n, F.col("range"))
+    dealt = dealt.sortWithinPartitions("guest", key.desc_nulls_last(), F.col("tie").desc(), "text")
     dealt = dealt.select(key.cast("string").alias("doc_id"), "text", "guest")  # an id with nulls must not pass through floats
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

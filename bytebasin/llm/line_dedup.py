@@ -1,8 +1,8 @@
 """Removal of later repeated runs of lines, in DataFrame functions alone.
 
-Winnowing over line hashes. From every line a window reaches forward until it holds ``min_words`` words, and the least
-line hash in it is selected as a fingerprint. Stretches of lines that agree in that many words hold a window in common,
-and so select the same line of it: no repetition is without a fingerprint. Fingerprints that occur once go; around the
+Winnowing over line hashes. From every line a window reaches forward until it holds ``min_words`` words, or a few lines,
+and the least line hash in it is selected as a fingerprint. Stretches of lines that agree in that many words hold a
+window in common, and so select the same line of it: no repetition is without a fingerprint. Fingerprints that occur once go; around the
 others matches are extended both ways, by windows that grow to the right line by line. Each window is met with its first
 occurrence among all documents, whichever that is for it, so a match is followed to its very ends in every earlier
 document that has it; what later occurrences cover is deleted.
@@ -21,6 +21,10 @@ LINE_END = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
 _MARK = "\x01"
 #: Words from which a repeated stretch of lines is deleted.
 MIN_WORDS = 25
+#: Lines of a window of winnowing at most.
+WINDOW = 4
+#: Lines whose words are added up in one go.
+_BLOCK = 64
 
 
 def lines_of(text: Column) -> Column:
@@ -47,65 +51,73 @@ def _key(doc_id: str, text: str) -> Column:
     return F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("of"))
 
 
-def _placed(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``owner``, the line that each word is in, and ``begins``, the first word of each line."""
-    out = staged(lines, owner=F.flatten(F.transform("words", lambda n, i: F.array_repeat(i, n))))
-    places = F.sequence(F.lit(0), F.size("owner") - 1)  # there is a line, so there is a word
-    return staged(out, begins=F.filter(places, lambda p: (p == 0) | (F.get("owner", p) != F.get("owner", p - 1))))
+def _with_sums(df: DataFrame) -> DataFrame:
+    """``df`` with ``upto``: words before each line, and in the end all words. Sums run within blocks of lines first, so
+    that long texts stay cheap."""
 
+    def block(b: Column) -> Column:
+        return F.slice("words", b * _BLOCK + 1, F.lit(_BLOCK))
 
-def _window_end(start: Column, min_words: int) -> Column:
-    """Last line of the shortest window from line ``start`` on with ``min_words`` words; null where the text ends first."""
-    return F.get("owner", F.get("begins", start) + (min_words - 1))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / _BLOCK).cast("int"))
+    out = staged(df, totals=F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda total, n: total + n)))
+    out = staged(out, before=F.aggregate("totals", F.array(F.lit(0)), lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n)))
 
+    def sums(b: Column) -> Column:
+        return F.aggregate(block(b), F.array(F.get("before", b)), lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
 
-def _least(start: Column, end: Column) -> Column:
-    """Line of the least hash from ``start`` to ``end``, the first of equal ones."""
-    hashes = F.slice("hashes", start + 1, end - start + 1)
-    return (start - 1 + F.array_position(hashes, F.array_min(hashes))).cast("int")
+    # each block's last sum is the next one's first
+    parts = F.flatten(F.transform(blocks, lambda b: F.slice(sums(b), F.lit(1), F.size(block(b)))))
+    return staged(out, upto=F.concat(parts, F.array(F.element_at("before", -1)))).drop("totals", "before")
 
 
-def _fingerprints(selected: Column) -> Column:
-    """(at, first, last): each selected line and the windows that select it, which begin at neighbouring lines."""
-    lines = F.sequence(F.lit(0), F.size(selected) - 1)
-    firsts = F.filter(lines, lambda i: (i == 0) | (F.get(selected, i) != F.get(selected, i - 1)))
+def _selected(start: Column, min_words: int) -> Column:
+    """The line that the window from ``start`` on selects: the first of least hash; null where the text is too short.
 
-    def one(first: Column, i: Column) -> Column:
-        last = F.coalesce(F.get(firsts, i + 1), F.size(selected)) - 1
-        return F.struct(F.get(selected, first).alias("at"), first.alias("first"), last.alias("last"))
-
-    return F.transform(firsts, one)
+    A window has ``min_words`` words or ``WINDOW`` lines, whichever takes fewer lines.
+    """
+    begin = F.get("upto", start)
+    length = F.lit(WINDOW)
+    for n in reversed(range(1, WINDOW)):
+        length = F.when(F.get("upto", start + n) - begin >= min_words, n).otherwise(length)
+    window = F.slice("hashes", start + 1, length)
+    least = (start - 1 + F.array_position(window, F.array_min(window))).cast("int")
+    # fewer lines than a window may have are left: they need the words
+    return F.when((start + WINDOW <= F.size("hashes")) | (F.element_at("upto", -1) - begin >= min_words), least)
 
 
 def _hashed_lines(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
-    """(id, of, hashes, words, fingerprints) of every document that has a window; lines that are not blank count alone."""
-    cut = staged(docs.select(_key(doc_id, text).alias("key"), F.col(text).alias("text")), solid=F.filter(F.transform(lines_of(F.col("text")), plain), lambda x: x != ""))
+    """(id, of, hashes, upto, fingerprints) of every document with enough words; lines that are not blank count alone."""
+    solid = F.filter(F.transform(lines_of(F.col("text")), plain), lambda x: x != "")
+    cut = staged(docs.select(_key(doc_id, text).alias("key"), F.col(text).alias("text")), solid=solid)
     cut = cut.where(F.size("solid") > 0).select("key", "solid")
     out = staged(cut, hashes=F.transform("solid", lambda x: F.xxhash64(x)), words=F.transform("solid", words_in)).drop("solid")
-    out = _placed(out.where(F.aggregate("words", F.lit(0), lambda total, n: total + n) >= min_words))
-    ends = F.transform("begins", lambda b: F.get("owner", b + (min_words - 1)))
-    out = staged(out, ends=F.filter(ends, lambda e: e.isNotNull()))  # those of the last lines are null
-    out = staged(out, selected=F.transform("ends", lambda e, i: _least(i, e)))
-    return staged(out, fingerprints=_fingerprints(F.col("selected"))).select("key.*", "hashes", "words", "fingerprints")
+    out = _with_sums(out).where(F.element_at("upto", -1) >= min_words)
+    selected = F.transform("words", lambda n, i: _selected(i, min_words))
+    return staged(out, fingerprints=F.array_compact(F.array_distinct(selected))).select("key.*", "hashes", "words", "upto", "fingerprints")
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(window, id, of, start, end) around the fingerprints whose windows begin within ``ranges``.
+    """(window, id, of, start, end) around the fingerprints ``met``.
 
-    From each line goes the shortest window with enough words, and longer ones for as long as they would have too few
-    words without their first line. In a repeated stretch with enough words every line is in one of these.
+    From each line whose window may have selected one goes the shortest stretch with enough words, and longer ones for
+    as long as they would have too few words without their first line. In a repeated stretch with enough words every
+    line is in one of these.
     """
 
+    def reach(start: Column) -> Column:
+        return F.get("owner", F.get("upto", start) + (min_words - 1))
+
     def grown(start: Column) -> Column:
-        end = _window_end(start, min_words)
-        most = F.coalesce(_window_end(start + 1, min_words), F.size("hashes")) - 1
-        return F.transform(F.sequence(end, F.greatest(end, most)), lambda e: window(start, e))
+        end = reach(start)
+        most = F.coalesce(reach(start + 1), F.size("hashes")) - 1
+        return F.when(end.isNotNull(), F.transform(F.sequence(end, F.greatest(end, most)), lambda e: window(start, e))).otherwise(none)
 
     def window(start: Column, end: Column) -> Column:
         return F.struct(F.xxhash64(F.slice("hashes", start + 1, end - start + 1)).alias("window"), start.alias("start"), end.alias("end"))
 
-    starts = F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["last"])))
-    placed = staged(_placed(lines), starts=starts)
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<window: BIGINT, start: INT, end: INT>>)")
+    starts = F.array_distinct(F.flatten(F.transform("met", lambda at: F.sequence(F.greatest(F.lit(0), at - (WINDOW - 1)), at))))
+    placed = staged(lines, owner=F.flatten(F.transform("words", lambda n, i: F.array_repeat(i, n))), starts=starts)
     return placed.select("id", "of", F.inline(F.flatten(F.transform("starts", grown)))).select("window", "id", "of", "start", "end")
 
 
@@ -116,8 +128,7 @@ def repetitions(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     same lines stand earlier: in a document of smaller id (a null id is the smallest; of one id, the text of smaller
     hash is earlier), or earlier in the same text. Rows alike in id and text count as one document.
 
-    Only fingerprints are shuffled at first, about two for each window's length of lines; they are counted before the
-    shuffle. Every occurrence is joined with one row for its hash, so a line or a passage that a third of the documents
+    Only fingerprints are shuffled at first, about two for every five lines; they are counted before the shuffle. Every occurrence is joined with one row for its hash, so a line or a passage that a third of the documents
     share makes no pairs among them, and both sides of each join are plain shuffles that Spark can split. What meets in
     one task is a document's own lines.
     """
@@ -127,12 +138,11 @@ def repetitions(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     _hashed_lines(docs, min_words, doc_id, text).write.option("compression", "zstd").parquet(f"{folder}/lines")
     lines = spark.read.parquet(f"{folder}/lines")
 
-    marked = F.transform("fingerprints", lambda f: F.struct(F.get("hashes", f["at"]).alias("mark"), f["first"].alias("first"), f["last"].alias("last")))
-    marks = lines.select("id", "of", F.inline(marked))
+    marks = lines.select("id", "of", F.inline(F.transform("fingerprints", lambda at: F.struct(F.get("hashes", at).alias("mark"), at.alias("at")))))
     again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark").checkpoint()
-    ranges = marks.join(again, "mark").groupBy("id", "of").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    mine = ranges.select(F.col("id").alias("r_id"), F.col("of").alias("r_of"), "ranges")
-    met = lines.join(mine, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("of") == F.col("r_of"))).select("id", "of", "hashes", "words", "ranges")
+    mine = marks.join(again, "mark").groupBy(F.col("id").alias("m_id"), F.col("of").alias("m_of")).agg(F.collect_set("at").alias("met"))
+    same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("of") == F.col("m_of"))
+    met = lines.join(mine, same).select("id", "of", "hashes", "words", "upto", "met")
     _windows(met, min_words).write.option("compression", "zstd").parquet(f"{folder}/windows")
 
     windows = spark.read.parquet(f"{folder}/windows")

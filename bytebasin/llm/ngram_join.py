@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytebasin.llm.common import ensure_checkpoints
+from bytebasin.llm.common import ensure_checkpoints, give_back
 from bytebasin.llm.components import connected_components
 from bytebasin.llm.words import words_of
 
@@ -140,29 +140,30 @@ def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
-    """(doc_id, node, signature, bands) of every document; no node where a text has no words."""
+    """(doc_id, of, node, signature, bands) of every document, ``of`` being a hash of the text; no node where a text has no words."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(ROWS)], np.uint64)
         for batch in batches:
             out = []
-            for number, t in zip(batch["doc_id"], batch["text"]):
+            for t in batch["text"]:
                 grams = shingles(t, n)
                 if not len(grams):
-                    out.append((number, None, None, None))
+                    out.append((None, None, None))
                     continue
                 values = minhash(grams)
                 with np.errstate(over="ignore"):
                     keys = _mixed((values.reshape(BANDS, ROWS).astype(np.uint64) * powers).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _PRIME)
                 node = np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64)
-                out.append((number, node, (values & 0xFFFF).astype("<u2").tobytes(), keys.astype(np.int64)))
-            ids, found, signatures, bands = zip(*out) if out else ((), (), (), ())
+                out.append((node, (values & 0xFFFF).astype("<u2").tobytes(), keys.astype(np.int64)))
+            found, signatures, bands = zip(*out) if out else ((), (), ())
             # an integer column with nulls must not pass through floats
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "node": pd.array(found, dtype="Int64"), "signature": pd.Series(signatures, dtype=object), "bands": pd.Series(bands, dtype=object)})
+            yield batch[["doc_id", "of"]].assign(node=pd.array(found, dtype="Int64"), signature=pd.Series(signatures, batch.index, dtype=object), bands=pd.Series(bands, batch.index, dtype=object))
         _WORDS.clear()  # the worker lives on after its task
+        give_back()
 
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    found = rows.mapInPandas(sketch, "doc_id string, node long, signature binary, bands array<long>")
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
+    found = rows.mapInPandas(sketch, "doc_id string, of long, node long, signature binary, bands array<long>")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -199,10 +200,11 @@ def _likely_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(prune, "a long, b long").union(blocks).distinct()
 
 
-def _verified(parts: DataFrame, docs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(node, root, links) from the exact similarities within each part, ``parts`` being (node, label, rep)."""
-    sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
-    texts = docs.join(parts.select("node", "label", F.col("rep").alias("doc_id")), "doc_id")
+def _gram_sets(parts: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(node, label, grams) of the nodes of ``parts`` (node, label, rep), ``rep`` being (id, hash) of a row with its text."""
+    wanted = parts.select("node", "label", F.col("rep.id").alias("rep_id"), F.col("rep.of").alias("rep_of"))
+    rows = docs.withColumn("of", F.xxhash64("text"))
+    texts = rows.join(wanted, (F.col("of") == F.col("rep_of")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,10 +213,15 @@ def _verified(parts: DataFrame, docs: DataFrame, threshold: float, n: int) -> Da
             out = batch[["node", "label"]].assign(grams=[g.tobytes() for g in sets])
             yield out[np.array(same, bool)]
         _WORDS.clear()
+        give_back()
 
     sets = texts.select("node", "label", "text").mapInPandas(grams, "node long, label long, grams binary")
     # rows that repeat a representative's id and text meet here as one
-    sets = sets.dropDuplicates(["node"])
+    return sets.dropDuplicates(["node"])
+
+
+def _compared(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(node, root, links) from the exact similarities within each block (label, lo, hi, mine, node, grams)."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(batches, ["label", "lo", "hi"]):
@@ -224,11 +231,40 @@ def _verified(parts: DataFrame, docs: DataFrame, threshold: float, n: int) -> Da
                 linked &= block[:, None] != block[None, :]
             counts = linked.sum(axis=1)
             yield pd.DataFrame({"node": ids, "root": _roots(linked, ids), "links": counts})[counts > 0]
+        give_back()
 
-    dealt = _dealt(_in_block_pairs(sets.join(sizes, "label"), "label", "size").select("label", "lo", "hi", "mine", "node", "grams"), ["label", "lo", "hi"])
+    dealt = _dealt(blocks.select("label", "lo", "hi", "mine", "node", "grams"), ["label", "lo", "hi"])
     return dealt.mapInPandas(compare, "node long, root long, links long")
 
 
+def _verified(parts: DataFrame, docs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(node, root, links) from the exact similarities of all pairs within each part."""
+    sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
+    return _compared(_in_block_pairs(_gram_sets(parts, docs, n).join(sizes, "label"), "label", "size"), threshold)
+
+
+def _connected(parts: DataFrame, docs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(node, label) of the classes within each part, without counting links.
+
+    First every block of a part is compared with itself and the part's least node, which takes work in proportion to
+    the nodes. Where that leaves a part in one piece, no other pair can change it; only of the rest all pairs of blocks
+    are compared.
+    """
+    sets = _gram_sets(parts, docs, n).checkpoint()
+    sizes = sets.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("pivot"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+    of = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))
+    alone = sets.join(sizes, "label").select("label", "node", "grams", F.explode(of).alias("lo"))
+    near = _compared(alone.withColumns({"hi": F.col("lo"), "mine": F.col("lo")}), threshold).select(F.col("node").alias("a"), F.col("root").alias("b")).checkpoint()
+    pieces = sets.select("node", "label").join(connected_components(near).withColumnRenamed("label", "piece"), "node", "left")
+    pieces = pieces.withColumn("piece", F.coalesce("piece", "node")).checkpoint()
+    open_parts = pieces.groupBy("label").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi"), F.count("*").alias("size")).where((F.col("lo") != F.col("hi")) & (F.col("size") > BLOCK))
+    rest = _in_block_pairs(sets.join(open_parts.select("label", "size"), "label"), "label", "size").where("lo <> hi")
+    far = _compared(rest, threshold).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return connected_components(near.union(far))
+
+
 def similar(sets: list[bytes], threshold: float) -> np.ndarray:
     """Which pairs of n-gram sets have a Jaccard similarity of ``threshold`` or more, exactly; none with itself."""
     arrays = [np.frombuffer(s, np.uint64) for s in sets]
@@ -251,6 +287,15 @@ def similar(sets: list[bytes], threshold: float) -> np.ndarray:
     return linked
 
 
+def _parts(found: DataFrame, docs: DataFrame, threshold: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes; the parts (node, label, rep) that hold every pair of nodes that may be similar; ids and texts of all rows."""
+    rep = F.min(F.struct(F.col("doc_id").alias("id"), "of")).alias("rep")
+    nodes = found.where("node IS NOT NULL").groupBy("node").agg(rep, F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).checkpoint()
+    likely = connected_components(_likely_pairs(nodes, threshold))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return nodes, likely.join(nodes.select("node", "rep"), "node"), rows
+
+
 def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: ``doc_id``, ``class_id``, ``n_links``, ``n_copies``.
 
@@ -262,16 +307,13 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N
     """
     ensure_checkpoints(docs.sparkSession)
     found = sketches(docs, doc_id, text, n).checkpoint()
-    nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands")).checkpoint()
-    likely = connected_components(_likely_pairs(nodes, threshold))
-    parts = likely.join(nodes.select("node", "rep"), "node")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    nodes, parts, rows = _parts(found, docs, threshold, doc_id, text)
     exact = _verified(parts, rows, threshold, n).checkpoint()
     links = exact.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = connected_components(exact.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    labelled = nodes.select("node", "rep", "n_copies").join(classes, "node", "left").join(links, "node", "left")
-    labelled = labelled.select("node", "rep", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    least = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
+    labelled = nodes.select("node", "least", "n_copies").join(classes, "node", "left").join(links, "node", "left")
+    labelled = labelled.select("node", "least", "n_copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    least = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
     per_node = labelled.join(least, "label").select("node", "class_id", "n_links", "n_copies")
     joined = found.select("doc_id", "node").join(per_node, "node", "left")
     return joined.select(
@@ -281,12 +323,27 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the document of least id of every class, its row once; columns stay.
+    """``docs`` with one row of every class of ``similarity_classes``; columns stay.
 
-    Documents without words are classes of their own and stay, and so do rows without an id. Of rows that share the id
-    of a class's least document, those whose text belongs to the class are one.
+    Of the rows of a class that have an id, the one of least id stays, and of one id the text of least hash; of rows
+    alike in id and text one stays. A row goes by its id and text together: another text under the same id has its own
+    class. Rows without an id stay, all of them, and so do rows without words, which are classes of their own, whatever
+    repeats among them. An empty table gives an empty table. No links are counted.
     """
-    classes = similarity_classes(docs, threshold, n, doc_id, text)
-    gone = classes.where("class_id IS NOT NULL AND doc_id IS NOT NULL AND doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(doc_id) == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates([doc_id, text])
+    ensure_checkpoints(docs.sparkSession)
+    found = sketches(docs, doc_id, text, n).checkpoint()
+    nodes, parts, rows = _parts(found, docs, threshold, doc_id, text)
+    classes = _connected(parts, rows, threshold, n).checkpoint()
+    named = found.where("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "of", "node").join(classes, "node", "left")
+    named = named.select(F.coalesce("label", "node").alias("label"), F.struct(F.col("doc_id").alias("id"), "of").alias("row"))
+    first = named.groupBy("label").agg(F.min("row").alias("first")).select("first.*").checkpoint()
+    wordless = found.where("node IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "of").distinct()
+    stay = first.withColumn("wordless", F.lit(False)).unionByName(wordless.withColumn("wordless", F.lit(True)))
+    # columns get numbers for a while, so that no name of theirs meets one in use here; whole rows are shuffled once
+    number = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    held = docs.toDF(*number.values()).withColumns({"key": F.col(number[doc_id]).cast("long"), "hash": F.xxhash64(number[text])})
+    chosen = held.join(stay, (F.col("key") == F.col("id")) & (F.col("hash") == F.col("of")))
+    once = F.when(F.col("wordless"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    chosen = chosen.withColumn("once", once).dropDuplicates(["key", "hash", "once"])
+    out = chosen.select(*number.values()).unionByName(held.where(F.col("key").isNull()).select(*number.values()))
+    return out.toDF(*docs.columns)

@@ -1,7 +1,8 @@
 """Personal data by patterns, checksums and context, in DataFrame functions alone.
 
-Regular expressions propose spans; Luhn, mod-97 and range checks confirm them; words nearby move their scores. A text
-is cut at a kind's matches, so the lengths of the cuts give the matches' places. No shuffle, no Python.
+Regular expressions propose spans; Luhn, mod-97, range and shape checks confirm them; words nearby move their scores, and
+a span of an added kind stays if its score reaches KEEP, so that a long code is a secret where words say so. A text is cut
+at a kind's matches, so the lengths of the cuts give the matches' places. No shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order of ties, the four base kinds first.
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE = KINDS[:4]
 #: Each pattern takes what its base pattern takes leftmost and without overlap, in linear time: quantifiers don't give
 #: back, and a match may begin only where a run of its first characters does, or where the match before it ended. Of
@@ -21,19 +22,23 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
 #: A character without which a text has no match, where there is one.
 NEEDS = {"email": "@", "phone": "+"}
-#: Score of a confirmed span, what a word of CONTEXT within NEAR characters before it adds, in lower case.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
+#: Score of a confirmed span, what a word of CONTEXT (in lower case) within NEAR characters before it adds, and the score
+#: from which a span of an added kind stays.
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "secret": 0.3}
+BOOST = {"email": 0.1, "ip": 0.1, "card": 0.1, "phone": 0.1, "iban": 0.1, "secret": 0.5}
+NEAR, KEEP = 40, 0.5
 CONTEXT = {
     "email": "mail|contact|write to",
     "ip": r"\bip\b|address|server|host",
     "card": "card|visa|credit|payment",
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank|konto|compte|cuenta",
+    "secret": "token|secret|passw|credential|bearer|auth|api.?key|access.?key|private.?key",
 }
-NEAR, BOOST = 40, 0.1
 #: Matches whose places are added up in one go.
 _BLOCK = 256
 
@@ -75,6 +80,8 @@ def _confirmed(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(9, 15)
     if kind == "iban":
         return F.length(F.regexp_replace(value, " ", "")).between(15, 34) & mod97(value)
+    if kind == "secret":  # no word: letters and digits, and many different ones
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
     return F.lit(True)
 
 
@@ -117,7 +124,8 @@ def with_personal_data(docs: DataFrame, text: str = "text", into: str = "pii") -
 
     Starts and ends count code points, ends are exclusive. Every whole text is searched; a null or empty text has an
     empty array. Spans of different kinds may overlap. A column named ``into`` is replaced; others and repeated rows
-    stay. Base kinds are kept whatever their score; an account number needs its checksum.
+    stay. Base kinds are kept whatever their score, those of an added kind from a score of KEEP on: an account number has it
+    by its checksum, a secret by a word nearby.
     """
     whole = "__pii_text"
     out = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
@@ -130,13 +138,14 @@ def with_personal_data(docs: DataFrame, text: str = "text", into: str = "pii") -
     def scored(order: int, kind: str) -> Column:
         def one(s: Column) -> Column:
             near = F.lower(s["before"]).rlike(CONTEXT[kind])
-            score = F.lit(SCORES[kind]) + F.when(near, F.lit(BOOST)).otherwise(F.lit(0.0))
+            score = F.lit(SCORES[kind]) + F.when(near, F.lit(BOOST[kind])).otherwise(F.lit(0.0))
             return F.struct(s["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.round(score, 2).alias("score"))
 
         empty = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, order: INT, kind: STRING, end: INT, value: STRING, score: DOUBLE>>)")
         return F.coalesce(F.transform(F.col(f"__pii_{kind}"), one), empty)
 
-    spans = F.array_sort(F.concat(*[scored(i, k) for i, k in enumerate(KINDS)]))
+    found = F.filter(F.concat(*[scored(i, k) for i, k in enumerate(KINDS)]), lambda s: (s["order"] < len(BASE)) | (s["score"] >= KEEP))
+    spans = F.array_sort(found)
     out = out.withColumn(into, F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["score"].alias("score"))))
     return out.drop(whole, *[f"__pii_{k}{x}" for k in KINDS for x in ("", "_found", "_cuts")])
 
@@ -150,7 +159,8 @@ def joined(spans: Column) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with every span's value replaced by its kind in angle brackets, spans being by start.
 
-    A span that begins inside one before it is covered by that one's mark, which then reaches to the farther end.
+    A span that begins inside one before it is covered by that one's mark, which then reaches to the farther end. A null
+    text or null spans give null, no spans the text.
     """
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytebasin.llm import chat, common, decontaminate, fingerprints, line_dedup, ngram_join, pii, sentencepieces, token_counts, token_output, toxicity
@@ -76,15 +76,36 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = {f"n_{k}": F.size(of(k)).cast("long") for k in pii.BASE}
     base = of(*pii.BASE)
-    digests = {"base_sha256": F.sha2(pii.joined(base), 256), "spans": pii.joined(F.col("pii"))}
+    scores = F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",")
+    digests = {"base_sha256": F.sha2(pii.joined(base), 256), "spans": pii.joined(F.col("pii")), "scores": scores, "n_spans": F.size("pii").cast("long")}
     return found.select("doc_id", *[c.alias(n) for n, c in (counts | digests).items()])
 
 
+def _as_log(rows: DataFrame) -> DataFrame:
+    """Turns as the events that a chat service would have logged of them: whole messages, messages with a streamed rest,
+    messages edited or regenerated later. Turns that are there twice stay whole messages."""
+    turn, text = F.col("turn"), F.coalesce(F.col("text"), F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest, draft = F.left(text, half), F.substr(text, half + 1), F.reverse(text)
+    alone = F.count("*").over(Window.partitionBy("conv_id", "turn")) == 1
+
+    def event(k: int, kind: str, said: Column) -> Column:
+        return F.struct((turn * 3 + k).cast("long").alias("seq"), F.lit(kind).alias("kind"), said.alias("said"))
+
+    message = F.array(event(0, chat.MESSAGE, text))
+    streamed = F.array(event(0, chat.MESSAGE, first), event(1, chat.DELTA, rest))
+    edited = F.array(event(0, chat.MESSAGE, draft), event(1, chat.EDIT, text))
+    again = F.array(event(0, chat.MESSAGE, draft), event(1, chat.REGENERATE, first), event(2, chat.DELTA, rest))
+    kind = F.pmod(F.coalesce(turn, F.lit(0)), F.lit(4))
+    events = F.when(~F.col("alone") | (kind == 0), message).when(kind == 1, streamed).when(kind == 2, edited).otherwise(again)
+    return rows.withColumn("alone", alone).select("conv_id", "turn", "role", F.inline(events)).withColumnRenamed("said", "text")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
-    events = rows.unionByName(more).withColumns({"seq": F.col("turn"), "kind": F.lit(chat.MESSAGE)})
+    events = _as_log(rows.unionByName(more))
     formatted = chat.format_events(events)
     back = chat.read_back(formatted.withColumn("conv_id", F.struct("conv_id", F.length("formatted").cast("long").alias("chars"))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

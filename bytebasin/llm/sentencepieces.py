@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytebasin.llm.common import give_back, kept
+
 SPACE = "▁".encode()
 
 
@@ -164,19 +166,25 @@ class PieceEncoder:
         return start[stops - widths], end[stops - 1]
 
 
+def _encoder(path: str) -> PieceEncoder:
+    return kept(("pieces", path), lambda: PieceEncoder(path))
+
+
 def with_pieces(docs: DataFrame, path: str, text: str = "text", decoded: bool = True) -> DataFrame:
     """``docs`` with a column ``pieces``: ``ids`` (begin and end ids included), ``starts``, ``ends`` (source bytes of
     each id, begin and end ids having empty spans) and ``decoded``.
 
     Every whole text is encoded; a null text counts as empty and has the begin and end ids alone. ``decoded=False``
-    leaves ``decoded`` null. A column named ``pieces`` is replaced; others stay. No shuffle.
+    leaves ``decoded`` null. A column named ``pieces`` is replaced; others and repeated rows stay. An empty table gives
+    an empty table. No shuffle; a worker hands on a few documents at a time.
     """
 
     @F.pandas_udf("ids array<int>, starts array<int>, ends array<int>, decoded string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             yield pd.DataFrame([_encoded(encoder, t, decoded) for t in batch], columns=["ids", "starts", "ends", "decoded"])
+        give_back()
 
     return docs.withColumn("pieces", encode(F.coalesce(F.col(text), F.lit(""))))
 
@@ -187,17 +195,21 @@ def _encoded(encoder: PieceEncoder, text: str, decoded: bool = True) -> tuple:
     start, end = encoder.spans(text, np.array(ids, int))
     n = len(text.encode())
     full = [processor.bos_id(), *ids, processor.eos_id()]
-    return np.array(full, np.int32), np.concatenate([[0], start, [n]]), np.concatenate([[0], end, [n]]), processor.decode(full) if decoded else None
+    starts, ends = (np.concatenate([[0], x, [n]]).astype(np.int32) for x in (start, end))
+    return np.array(full, np.int32), starts, ends, processor.decode(full) if decoded else None
 
 
 def with_piece_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with the digests of the same encoding: ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and
     ``covered_bytes``, the source bytes that the pieces' spans cover. Ids and texts stay in the worker.
+
+    A null text counts as empty: two ids, no byte covered. Columns by these four names are replaced; others, whatever
+    their names, and repeated rows stay. An empty table gives an empty table. No shuffle.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             rows = []
             for t in batch:
@@ -206,7 +218,11 @@ def with_piece_digests(docs: DataFrame, path: str, text: str = "text") -> DataFr
                 covered = int((end - np.maximum(start, np.maximum.accumulate(np.concatenate([[0], end[:-1]])))).clip(0).sum())
                 rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), covered))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
+        give_back()
 
-    out = docs.withColumn("_digest", digest(F.coalesce(F.col(text), F.lit(""))))
+    into = "__digest"
+    while into in docs.columns:
+        into += "_"
+    out = docs.withColumn(into, digest(F.coalesce(F.col(text), F.lit(""))))
     names = ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
-    return out.withColumns({n: F.col(f"_digest.{n}") for n in names}).drop("_digest")
+    return out.withColumns({n: F.col(f"{into}.{n}") for n in names}).drop(into)

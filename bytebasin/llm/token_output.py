@@ -1,8 +1,10 @@
 """Token ids as binary shard files with Elias-Fano document boundaries.
 
-A shard file holds, in this order: the ids of its documents in a row (16 or 32 bits each, little-endian); the document
-ids (64 bits each, null as the least number); the Elias-Fano form of the documents' ends; a JSON footer with the lengths of these parts; the footer's length (4 bytes) and the magic. Shards hold
-rising ranges of document ids, so a document's global start is its shard's start plus a select on the shard.
+A shard file holds, in this order: the ids of its documents in a row (16 or 32 bits each, little-endian); the Elias-Fano
+form of the documents' ends; that of the document ids, counted from the least one; a JSON footer with the lengths of
+these parts, the least document id and the number of documents without an id, which come last; the footer's length (4
+bytes) and the magic. Shards hold rising ranges of document ids, so a document's global start is its shard's start plus
+a select on the shard.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytebasin.llm.common import bucket_of, cut_points
+from bytebasin.llm.common import give_back, kept
 from bytebasin.llm.elias_fano import EliasFano
-from bytebasin.llm.word_bpe import WordEncoder, kept_encoder
+from bytebasin.llm.word_bpe import WordEncoder
 
 MAGIC = b"EFTOKENS"
-_NULL = np.iinfo(np.int64).min
 #: Ids read from a shard at a time.
 _READ = 4 << 20
+#: Rows that the reader hands on at a time.
+_ROWS = 4096
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -38,45 +41,46 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     """Encode every whole text, append ``end_id`` and write shard files to ``folder`` in ascending ``doc_id`` order.
 
     ``folder`` must be shared by the executors (any file system that Arrow opens). Null or empty texts are an
-    ``end_id`` alone; rows with one ``doc_id`` follow each other by text, and null ids come last; other columns are not
-    read. One shuffle, by ranges of ``doc_id`` whose cuts are all the driver gets. A task writes its file under a name
-    of its own attempt and then renames it, so lost executors and speculative copies do no harm. Returns the manifest,
-    a small record for each shard; an empty table gives none.
+    ``end_id`` alone; rows with one ``doc_id`` follow each other by a hash of the text, and null ids come last; other
+    columns are not read. One shuffle, by ranges of (``doc_id``, hash), so that many rows of one id are dealt too. A task
+    writes a file named after its own attempt and the manifest names the files of the attempts that counted, so lost
+    executors and speculative copies do no harm. Returns the manifest, a small record for each shard; an empty table
+    gives none.
     """
     spark = docs.sparkSession
-    cuts = cut_points(docs, doc_id, shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("shard", bucket_of(F.col("doc_id"), cuts)).repartitionById(len(cuts) + 1, F.col("shard"))
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL)))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(shards or max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order, "text")
+    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", F.spark_partition_id().alias("shard"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, (fs, base) = kept_encoder(path, lambda: WordEncoder(path)), _open(folder)
+        encoder, (fs, base) = kept(("ids", path), lambda: WordEncoder(path)), _open(folder)
         end = np.array([end_id], encoder.dtype).tobytes()
-        out, ids, sizes, task = None, [], [], TaskContext.get()
+        out, ids, sizes, none, task = None, [], [], 0, TaskContext.get()
         for batch in batches:
             if not len(batch):
                 continue
             if out is None:
                 shard = int(batch["shard"].iloc[0])
                 fs.create_dir(base, recursive=True)
-                name = posixpath.join(base, f"shard-{shard:06d}.eft")
-                mine = f"{name}.attempt-{task.taskAttemptId()}"
-                out = fs.open_output_stream(mine)
-            ids.append(batch["doc_id"].to_numpy("i8"))
+                name = f"shard-{shard:06d}-{task.taskAttemptId()}.eft"
+                out = fs.open_output_stream(posixpath.join(base, name))
+            ids.append(batch["doc_id"].to_numpy("i8")[~batch["none"].to_numpy(bool)])
+            none += int(batch["none"].sum())
             for pieces in encoder.pieces(batch["text"].tolist()):
                 out.write(raw := b"".join(pieces) + end)
                 sizes.append(len(raw) // encoder.dtype.itemsize)
         if out is None:
             return
-        ends = np.cumsum(sizes)
-        parts = [np.concatenate(ids).astype("<i8").tobytes(), EliasFano.of(ends).to_bytes()]
-        foot = {"shard": shard, "n_docs": len(sizes), "n_tokens": int(ends[-1]), "id_bytes": encoder.dtype.itemsize, "parts": [len(p) for p in parts]}
+        ends, numbers = np.cumsum(sizes), np.concatenate(ids)
+        least = int(numbers[0]) if len(numbers) else 0
+        parts = [EliasFano.of(ends).to_bytes(), EliasFano.of(numbers.astype("u8") - np.uint64(least % (1 << 64))).to_bytes()]
+        foot = {"n_docs": len(sizes), "n_tokens": int(ends[-1]), "id_bytes": encoder.dtype.itemsize, "least": least, "none": none, "parts": [len(p) for p in parts]}
         raw = json.dumps(foot).encode()
         out.write(b"".join([*parts, raw, struct.pack("<I", len(raw)), MAGIC]))
         out.close()
-        fs.move(mine, name)
-        yield pd.DataFrame([{"shard": shard, "n_docs": foot["n_docs"], "n_tokens": foot["n_tokens"], "file": posixpath.basename(name)}])
+        give_back()
+        yield pd.DataFrame([{"shard": shard, "n_docs": foot["n_docs"], "n_tokens": foot["n_tokens"], "file": name}])
 
     found = rows.mapInPandas(write, "shard int, n_docs long, n_tokens long, file string").collect()
     manifest, start = [], 0
@@ -100,13 +104,20 @@ class TokenShard:
         self.footer = json.loads(self.file.read_at(length, size - 12 - length))
         at = self.footer["n_tokens"] * self.footer["id_bytes"]
         first, second = self.footer["parts"]
-        self.doc_ids = np.frombuffer(self.file.read_at(first, at), "<i8")
-        self.ends = EliasFano.from_bytes(self.file.read_at(second, at + first))
+        self.ends = EliasFano.from_bytes(self.file.read_at(first, at))
+        self.numbers = EliasFano.from_bytes(self.file.read_at(second, at + first))
+        self.n_docs = self.footer["n_docs"]
         self.dtype = np.dtype(f"<u{self.footer['id_bytes']}")
 
+    def doc_id(self, i: int) -> int | None:
+        return self.footer["least"] + self.numbers.select(i) if i < self.numbers.n else None
+
+    def end(self, i: int) -> int:
+        """Where the i-th document's ids end within the shard, by select; they start where those before it end."""
+        return self.ends.select(i) if i >= 0 else 0
+
     def span(self, i: int) -> tuple[int, int]:
-        """Start and end of the i-th document's ids within the shard, by select."""
-        return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
+        return self.end(i - 1), self.end(i)
 
     def ids(self, start: int, end: int) -> np.ndarray:
         width = self.dtype.itemsize
@@ -116,7 +127,7 @@ class TokenShard:
 def read_token_shards(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
     """Per document: ``doc_id``, global ``start``, ``n_tokens``, ``ids_crc32`` of its ids as 32-bit numbers.
 
-    A task for each shard, which reads a few MB of ids at a time.
+    A task for each shard. Boundaries come from select, document by document, and a few MB of ids are read at a time.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not manifest:
@@ -125,22 +136,24 @@ def read_token_shards(spark: SparkSession, folder: str, manifest: list[dict]) ->
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, start in zip(batch["file"], batch["start"]):
-                shard = TokenShard(posixpath.join(folder, file))
-                ends = shard.ends.values()
-                begins = np.concatenate([[0], ends[:-1]])
-                first = 0
-                while first < len(ends):
-                    last = max(first + 1, int(np.searchsorted(ends, begins[first] + _READ, "right")))
-                    ids = shard.ids(int(begins[first]), int(ends[last - 1])).astype("<u4")
-                    cuts = (ends[first : last - 1] - begins[first]).tolist()
-                    docs = pd.Series(shard.doc_ids[first:last])
-                    yield pd.DataFrame({
-                        "doc_id": docs.astype("Int64").mask(docs == _NULL),
-                        "start": begins[first:last] + start,
-                        "n_tokens": ends[first:last] - begins[first:last],
-                        "ids_crc32": [zlib.crc32(x) for x in np.split(ids, cuts)],
-                    })
-                    first = last
+                shard, found, held, begin = TokenShard(posixpath.join(folder, file)), [], 0, 0
+                for i in range(shard.n_docs):
+                    end = shard.end(i)
+                    if not i or end > held:
+                        first, held = begin, max(end, min(begin + _READ, shard.footer["n_tokens"]))
+                        ids = shard.ids(first, held).astype("<u4")
+                    crc = zlib.crc32(ids[begin - first : end - first])
+                    found.append((shard.doc_id(i), begin + start, end - begin, crc))
+                    begin = end
+                    if len(found) == _ROWS:
+                        yield _rows(found)
+                        found = []
+                yield _rows(found)
+
+    def _rows(found: list[tuple]) -> pd.DataFrame:
+        numbers, *others = zip(*found) if found else ((), (), (), ())
+        # an integer column with nulls must not pass through floats
+        return pd.DataFrame({"doc_id": pd.array(numbers, "Int64"), **dict(zip(("start", "n_tokens", "ids_crc32"), (pd.Series(x, dtype="int64") for x in others)))})
 
     files = spark.createDataFrame([(m["file"], m["start"]) for m in manifest], "file string, start long")
     return files.repartition(len(manifest)).mapInPandas(read, schema)

@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Words and their beginnings get log-odds between toxic and other training documents under a Dirichlet prior; a word
-scores as the feature of its own that stands out most, and costs a little if none does. A linear scan finds every maximal segment of a document. Segment scores of documents that
-are not toxic follow an extreme-value law, whose parameters turn a score and a document's length into an expected
+scores as the feature of its own that stands out most, and costs a little if none does. A linear scan finds every maximal
+segment of a document. Segment scores of documents that are not toxic follow an extreme-value law, whose parameters turn a score and a document's length into an expected
 number of such segments by chance; a logistic curve turns a document's evidence into a probability.
 """
 
@@ -18,13 +18,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytebasin.llm.common import drop_folder, give_back, shared_folder
 from bytebasin.llm.words import TABLE
 
 #: Labelled documents that a model is fitted on at most, taken in the order of a hash of their ids.
 MAX_TRAINING = 20_000
-#: Strength of the prior in documents; least z and log-odds of a scoring feature; the least share of documents of its side that
-#: have it; at most so many scoring features; what a word without one costs.
-PRIOR, MIN_Z, MIN_ODDS, MIN_SHARE, MAX_FEATURES, COST = 10.0, 3.0, 3.5, 0.02, 20_000, 0.1
+#: Strength of the prior in documents; least z and log-odds of a scoring feature; the least share of documents of its side
+#: that have it, which bounds how many there are: 50 times the features of a document of mean length; what a word without
+#: one costs.
+PRIOR, MIN_Z, MIN_ODDS, MIN_SHARE, COST = 10.0, 3.0, 3.5, 0.02, 0.1
+#: A segment is a passage if no more than so many as good ones are expected by chance in a document of its length.
+MAX_EXPECTED = 0.05
 #: Lengths of the beginnings of words that are features, beside whole words.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Words whose scores a worker keeps.
@@ -123,15 +127,29 @@ def held_out(doc_id: str = "doc_id"):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """A model from labelled documents outside the held-out fold, ``max_training`` of them at most.
 
-    Null labels, ids and texts teach nothing; an id with both labels counts as toxic. Features are counted by task and
-    then by Spark; the driver gets the scoring ones (``MAX_FEATURES`` at most) and a few numbers for each training
-    document. Without both labels the model scores every text alike.
+    Null labels, ids and texts teach nothing; an id with both labels counts as toxic. The training texts, which
+    ``max_training`` bounds, are written to the shared folder once. Features are counted by task and then by Spark; the
+    driver gets the scoring ones and a few numbers for each training document. Without both labels the model scores
+    every text alike.
     """
+    spark = docs.sparkSession
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(max_training)
+    known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label")).withColumn("hash", F.xxhash64("id"))
+    n = known.count()
+    if n > max_training:  # of hashes spread evenly so many are below the cut, and hardly more: few rows are sorted
+        share = (max_training + 10 * math.sqrt(max_training)) / n
+        known = known.where(F.col("hash") < F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
+    known = known.orderBy("hash", "id").limit(max_training).select("id", "label")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    training = rows.join(F.broadcast(known), "id").select("label", "text")  # at most max_training ids
+    folder = shared_folder(spark, "toxicity")
+    rows.join(F.broadcast(known), "id").select("label", "text").write.parquet(folder)  # at most max_training ids
+    model = _fitted(spark.read.parquet(folder))
+    drop_folder(spark, folder)
+    return model
+
+
+def _fitted(training: DataFrame) -> ToxicityModel:
+    """The model of training rows (label, text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         having: tuple[Counter, Counter] = (Counter(), Counter())
@@ -150,6 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRA
                 if len(having[y]) > FLUSH:
                     yield from counted()
         yield from counted()
+        give_back()
 
     counts = training.mapInPandas(count, "feature string, toxic long, other long")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
@@ -164,7 +183,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRA
     z = odds / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
     chosen = counts.where("feature <> ''").withColumn("odds", odds).withColumn("z", z).where(F.abs("odds") >= MIN_ODDS)
     chosen = chosen.where(((F.col("z") >= MIN_Z) & (F.col("toxic") >= MIN_SHARE * n1)) | ((F.col("z") <= -MIN_Z) & (F.col("other") >= MIN_SHARE * n0)))
-    features = chosen.orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES).collect()
+    features = chosen.select("feature", "odds", "z").collect()
     counts.unpersist()
     model = ToxicityModel({r["feature"]: (float(r["odds"]), float(r["z"])) for r in features})
 
@@ -223,7 +242,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "toxicity") -> DataFrame:
     """``docs`` with ``into``: ``score`` and ``passages`` (first and past-the-last word, score, chance expectation).
 
-    Whole texts are scanned; a null or empty text has no passage and the score of no evidence. A column named ``into``
+    Whole texts are scanned; passages are the segments of which ``MAX_EXPECTED`` at most are expected by chance, and the
+    score comes from all. A null or empty text has no passage and the score of no evidence. A column named ``into``
     is replaced; others and repeated rows stay. No shuffle; the model that is sent has a bounded size.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -236,9 +256,11 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", int
             for t in batch:
                 words = tokens_of(t)
                 n, segments = len(words), m.segments(words)
-                passages = [{"start": s, "end": e, "score": x, "expected": m.scale * n * math.exp(-m.rate * x)} for s, e, x in segments]
+                expected = [(s, e, x, m.scale * n * math.exp(-m.rate * x)) for s, e, x in segments]
+                passages = [{"start": s, "end": e, "score": x, "expected": k} for s, e, x, k in expected if k <= MAX_EXPECTED]
                 found.append((m.probability(m.evidence([x for _, _, x in segments], n)), passages))
             yield pd.DataFrame(found, columns=["score", "passages"])
         m.scores.clear()  # the worker lives on after its task
+        give_back()
 
     return docs.withColumn(into, scan(F.col(text)))

@@ -35,18 +35,6 @@ def chunks(text: str) -> list[str] | None:
     return text.split()
 
 
-#: Encoders of this worker process by key: a later task finds the caches as an earlier one left them.
-_KEPT: dict = {}
-
-
-def kept_encoder(key, make) -> WordEncoder:
-    """The worker's encoder for ``key``, made on first use; the one before it is let go."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = make()
-    return _KEPT[key]
-
-
 class WordEncoder:
     """Bytes of ids (little-endian, 16 bits where the vocabulary fits) for texts, with a bounded cache.
 

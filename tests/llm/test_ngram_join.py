@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bytebasin.llm import ngram_join as nj
 from bytebasin.llm.components import connected_components
@@ -94,11 +95,77 @@ def test_query(spark, sf):
     assert sorted(map(tuple, op2_ngram_join(spark, sf).collect()), key=str) == expected(docs)
 
 
+def ranked(spark, docs):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r.doc_id, r.text): r.of for r in frame.select("doc_id", "text", F.xxhash64("text").alias("of")).collect()}
+
+
+def one_of_each(spark, docs):
+    """Rows that have to stay: of each class of all rows that have an id the first by id and hash, and all other rows."""
+    of, named = ranked(spark, docs), {}
+    classes = class_of([t for _, t in docs])
+    out = []
+    for number, text in docs:
+        if number is None or not words_of(text):
+            out.append((number, text))
+        else:
+            named.setdefault(classes[text], set()).add((number, of[number, text], text))
+    return sorted(out + [(n, t) for n, _, t in map(min, named.values())], key=str)
+
+
+def class_of(texts, threshold=0.8):
+    """A representative for each text, alike within a class: all pairs are compared."""
+    nodes = sorted({sets(t) for t in texts if words_of(t)}, key=sorted)
+    root = list(range(len(nodes)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(nodes):
+        for j in range(i):
+            c = len(a & nodes[j])
+            if c >= threshold * (len(a) + len(nodes[j]) - c):
+                root[find(i)] = find(j)
+    at = {s: i for i, s in enumerate(nodes)}
+    return {t: find(at[sets(t)]) for t in texts if words_of(t)}
+
+
 def test_one_of_each_class(spark):
     base = " ".join(f"w{i}" for i in range(60))
-    docs = [(4, base), (2, base + " x"), (9, base), (7, "alone here with a few words"), (8, None), (10, ""), (2, base + " x")]
-    kept = nj.one_of_each_class(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, base + " x"), (7, "alone here with a few words"), (8, None), (10, "")], key=str)
+    docs = [(4, base), (2, base + " x"), (9, base), (7, "alone here with a few words"), (8, None), (8, None), (10, ""), (10, ""), (2, base + " x"), (None, base), (None, base), (None, None)]
+    docs += [(1, "a text of its own"), (2, "another text under an id that goes"), (4, "yet another one"), (9, "yet another one")]
+    frame = spark.createDataFrame([(*d, "o", 1) for d in docs], "doc_id long, text string, `of` string, label int")
+    kept = nj.one_of_each_class(frame)
+    assert kept.columns == frame.columns
+    want = [(2, base + " x"), (7, docs[3][1]), (8, None), (8, None), (10, ""), (10, ""), (None, base), (None, base), (None, None), (1, docs[12][1]), (2, docs[13][1]), (4, docs[14][1])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str) == one_of_each(spark, docs)
+    assert nj.one_of_each_class(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [8, 256])
+def test_one_of_each_class_at_random(spark, monkeypatch, block):
+    """Large groups, chains of near copies whose ends are far apart, repeated and null ids."""
+    monkeypatch.setattr(nj, "SMALL", 3)
+    monkeypatch.setattr(nj, "BLOCK", block)
+    rng = random.Random(block)
+    texts = near_copies(rng, 3, 1) + near_copies(rng, 1, 90) + near_copies(rng, 6, 12) + [None, "", "?!"]
+    chain = [f"w{rng.randint(0, 5000)}" for _ in range(90)]
+    for i in range(40):
+        chain[2 * i] = f"y{i}"
+        texts.append(" ".join(chain))
+    docs = [(rng.choice([None, *range(150)]), t) for t in texts for _ in range(rng.choice([1, 1, 2]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, nj.one_of_each_class(frame).collect()), key=str) == one_of_each(spark, docs)
+
+
+def test_near_copy_without_an_id(spark):
+    base = [f"w{i}" for i in range(80)]
+    other = [*base[:40], "x", *base[41:]]
+    docs = [(None, " ".join(base)), (None, " ".join(base)), (5, " ".join(other)), (None, "w1 w2 w3"), (None, " ".join(other + ["end"]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(frame) == expected(docs) and [r[1] for r in got(frame)].count(5) == 4
 
 
 def test_minhash_estimates_similarity():
