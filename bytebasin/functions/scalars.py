@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def starts_with_magic(data: Column, magics: tuple[bytes, ...]) -> Column:
@@ -45,9 +48,10 @@ def little_endian(data: Column, offset: Column | int, width: int) -> Column:
     return F.when(F.length(part) == width, F.conv(pairs, 16, 10).cast("decimal(20,0)").cast("long"))
 
 
-def byte_values(data: Column) -> Column:
-    """The bytes of a blob as an array of numbers."""
-    return F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def byte_values(blobs: pd.Series) -> pd.Series:
+    """The bytes of a blob as an array of numbers; a null blob has none."""
+    return pd.Series([np.frombuffer(b or b"", np.uint8).astype(np.int32) for b in blobs], dtype=object)
 
 
 def patch_size(length: Column, size: int | None = None, count: int | None = None) -> tuple[Column, Column]:

@@ -49,40 +49,43 @@ def with_empty_structures(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.select("batch", "label", "slot", "name", "values").unionByName(fill)
 
 
-def salt_plan(frequencies: dict[int, float], rows: int) -> dict[int, tuple[int, int]]:
-    """(base, copies) of each key: copies in proportion to its frequency, a power of two, all fitting into ``rows``.
+def salt_plan(frequencies: dict[int, float], rows: int, first: int | None = None) -> dict[int, tuple[int, int]]:
+    """(base, copies) of each key: copies in proportion to its frequency, a power of two each.
 
-    The nearest power of two is taken, a tie going up, 1 at least; while the copies beyond the first are more than the
-    rows to spare, keys with more than one copy are halved in turn, in the order of the keys.
+    The budget is ``rows`` less one row for each key, which every key keeps for itself. A key's share of it goes to the
+    nearest power of two, a tie going up, 1 at least. While all copies together are more than the budget, keys with more
+    than one are halved in turn, in the order of the keys. Copies of keys that have several lie one after another from
+    ``first`` on, by default behind the greatest key; a key with one copy is its own base.
     """
-    keys, spare = sorted(frequencies), rows - len(frequencies)
-    if spare < 0:
-        raise ValueError("fewer rows than keys")
+    keys, budget = sorted(frequencies), rows - len(frequencies)
+    if len(keys) > budget:
+        raise ValueError("too few rows for the keys")
     total = sum(frequencies.values()) or 1.0
     copies = {}
     for k in keys:
-        share, power = frequencies[k] / total * rows, 1
-        while power * 2 <= share:
-            power *= 2
-        copies[k] = power * 2 if share > 1 and share - power >= 2 * power - share else power
-    while sum(m - 1 for m in copies.values()) > spare:
+        share, low = frequencies[k] / total * budget, 1
+        while low * 2 <= share:
+            low *= 2
+        copies[k] = low if share <= 1 or share - low < 2 * low - share else low * 2
+    while sum(copies.values()) > budget:
         for k in keys:
-            if copies[k] > 1:
-                copies[k] //= 2
-            if sum(m - 1 for m in copies.values()) <= spare:
+            if sum(copies.values()) <= budget:
                 break
-    plan, base = {}, 0
+            copies[k] = max(1, copies[k] // 2)
+    plan, base = {}, first if first is not None else max(keys, default=-1) + 1
     for k in keys:
-        plan[k] = (base, copies[k])
-        base += copies[k]
+        plan[k] = (base, copies[k]) if copies[k] > 1 else (k, 1)
+        base += copies[k] if copies[k] > 1 else 0
     return plan
 
 
-def salted(tokens: DataFrame, plan: DataFrame, stride: int) -> DataFrame:
-    """``salted``: base + ((pos + row * stride) & (copies - 1)) of every token with more than one copy.
+def salted(tokens: DataFrame, plan: dict[int, tuple[int, int]], stride: int) -> DataFrame:
+    """``salted``: base + ((pos + row * stride) & (copies - 1)) of every token with several copies; others stay.
 
-    ``plan`` is (token, base, copies), a row for each distinct key; a token that is not in it stays as it is.
+    Only keys with several copies are sent around: fewer than the rows that the plan was made for.
     """
-    joined = tokens.join(F.broadcast(plan), "token", "left")
+    several = [(k, base, copies) for k, (base, copies) in plan.items() if copies > 1]
+    table = tokens.sparkSession.createDataFrame(several, "token long, base long, copies long")
+    joined = tokens.join(F.broadcast(table), "token", "left")
     turn = (F.col("pos") + F.col("row") * stride).bitwiseAND(F.col("copies") - 1)
     return joined.withColumn("salted", F.coalesce(F.col("base") + turn, F.col("token").cast("long"))).drop("base", "copies")

@@ -16,7 +16,8 @@ def check_dataset(sizes: DataFrame, meta: DataFrame) -> DataFrame:
     )
     pairs = both.select(kind.alias("check"), F.col("idx").cast("string").alias("key")).where("check IS NOT NULL")
     names = sizes.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated name").alias("check"), F.col("name").cast("string").alias("key"))
-    span = sizes.agg(F.max("idx").alias("top")).where("top IS NOT NULL").select(F.explode(F.sequence(F.lit(0).cast("long"), "top")).alias("idx"))
+    top = sizes.agg(F.max("idx")).first()[0]
+    span = sizes.sparkSession.range(0, (-1 if top is None else top) + 1).withColumnRenamed("id", "idx")
     gaps = span.join(sizes.select("idx"), "idx", "left_anti").select(F.lit("missing idx").alias("check"), F.col("idx").cast("string").alias("key"))
     return pairs.unionByName(names).unionByName(gaps)
 

@@ -149,50 +149,103 @@ def runs(positions: DataFrame, keys: Iterable[str] = ("name",)) -> DataFrame:
 def segments(regions: DataFrame) -> DataFrame:
     """Disjoint segments between all boundaries of a blob, with the masks of what covers them joined.
 
-    A segment belongs to a range when it begins within it; ranges are dealt by the segments they span, so the join has
-    a row for each pair that meets and none besides.
+    A sweep: ranges of one bit are merged, so a bit turns at the start and at the end of each, and the mask of a segment
+    is what has turned an odd number of times before it. No range meets another one.
     """
-    edges = regions.select("name", F.explode(F.array("start", "end")).alias("start")).distinct()
-    cut = edges.withColumn("end", F.lead("start").over(Window.partitionBy("name").orderBy("start"))).where("end IS NOT NULL")
-    r = regions.select(F.col("name").alias("n"), F.col("start").alias("s"), F.col("end").alias("e"), "mask")
-    met = cut.join(r, (F.col("name") == F.col("n")) & (F.col("start") >= F.col("s")) & (F.col("start") < F.col("e")))
-    return met.groupBy("name", "start", "end").agg(F.bit_or("mask").alias("mask"))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("mask", k) == 1))
+    by_bit = merge(regions.where("end > start").select("name", "start", "end", bit.alias("bit")), ["name", "bit"])
+    turns = by_bit.select("name", F.explode(F.array("start", "end")).alias("start"), F.expr("shiftleft(1L, bit)").alias("turn"))
+    edges = regions.select("name", F.explode(F.array("start", "end")).alias("start"), F.lit(0).cast("long").alias("turn"))
+    order = Window.partitionBy("name").orderBy("start")
+    points = turns.unionByName(edges).groupBy("name", "start").agg(F.bit_xor("turn").alias("turn"))
+    mask = F.bit_xor("turn").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return points.select("name", "start", F.lead("start").over(order).alias("end"), mask.alias("mask")).where("end IS NOT NULL AND mask <> 0")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str = "name", bucket: int = 64, how: str = "inner") -> DataFrame:
-    """Pairs of ranges of one key that overlap, as (left columns, r_ columns); ``left_semi`` keeps left rows that do.
+#: Sizes of the buckets in which ranges are met: the least, and how many times larger each next one is.
+LEAST_BUCKET, GROWTH = 64, 16
 
-    Both sides are cut at multiples of ``bucket`` and joined by key and bucket, a pair being taken in the bucket where
-    the later of the two begins: an equality join with a small residue in place of a product.
-    """
 
-    def cut(df: DataFrame) -> DataFrame:
-        return df.where("end > start").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
+def _bucket_sizes(*tables: DataFrame) -> list[int]:
+    """Bucket sizes up to the length of the longest range."""
+    longest = max(t.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0 for t in tables)
+    sizes = [LEAST_BUCKET]
+    while sizes[-1] < longest:
+        sizes.append(sizes[-1] * GROWTH)
+    return sizes
+
+
+def _in_buckets(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """Ranges with ``__own``, the least size that holds their length, and a row for each bucket (``__size``, ``__b``) of
+    this and every larger size that they touch: two of a size at most, however long they are."""
+    length = F.col("end") - F.col("start")
+    own = F.filter(F.array(*[F.lit(s).cast("long") for s in sizes]), lambda s: s >= length)
+    rows = df.where("end > start").withColumn("__sizes", own).withColumn("__own", F.get("__sizes", F.lit(0)))
+    rows = rows.withColumn("__size", F.explode("__sizes")).drop("__sizes")
+    return rows.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / F.col("__size")), F.floor((F.col("end") - 1) / F.col("__size")))))
+
 
-    r = cut(right.select(*[F.col(c).alias(c if c in ("start", "end") else f"r_{c}") for c in right.columns]))
-    r = r.withColumnsRenamed({"start": "r_start", "end": "r_end", "__b": "r__b"})
+def overlap_join(left: DataFrame, right: DataFrame, key: str = "name", how: str = "inner") -> DataFrame:
+    """Pairs of ranges of one key that overlap, as (left columns, r_ columns); ``left_semi`` keeps left rows that do.
+
+    Ranges are met by key and bucket, in buckets as large as the longer range of a pair needs, and a pair is taken in the
+    bucket where the later of the two begins: an equality join with a small residue in place of a product, in which a
+    long range takes no more rows than a short one.
+    """
+    sizes = _bucket_sizes(left, right)
+    r = _in_buckets(right.select(*[F.col(c).alias(c if c in ("start", "end") else f"r_{c}") for c in right.columns]), sizes)
+    r = r.withColumnsRenamed({"start": "r_start", "end": "r_end", "__b": "r__b", "__own": "r__own", "__size": "r__size"})
     lft = left if how == "inner" else left.withColumn("__id", F.monotonically_increasing_id())
-    where = (F.col(key) == F.col(f"r_{key}")) & (F.col("__b") == F.col("r__b")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
-    where &= F.col("__b") == F.floor(F.greatest("start", "r_start") / bucket)
+    where = (F.col(key) == F.col(f"r_{key}")) & (F.col("__size") == F.col("r__size")) & (F.col("__b") == F.col("r__b"))
+    where &= (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")) & (F.col("__size") == F.greatest("__own", "r__own"))
+    where &= F.col("__b") == F.floor(F.greatest("start", "r_start") / F.col("__size"))
     if how == "inner":
-        return cut(left).join(r, where).drop("__b", "r__b")
-    return cut(lft).join(r, where, "left_semi").dropDuplicates(["__id"]).drop("__id", "__b")
+        return _in_buckets(left, sizes).join(r, where).drop("__b", "r__b", "__own", "r__own", "__size", "r__size")
+    return _in_buckets(lft, sizes).join(r, where, "left_semi").dropDuplicates(["__id"]).drop("__id", "__b", "__own", "__size")
+
+
+def point_join(points: DataFrame, regions: DataFrame, key: str = "name") -> DataFrame:
+    """Points (key, pos, ...) with every range of their key that holds them; a range is met in buckets of its own size."""
+    sizes = _bucket_sizes(regions)
+    cut = _in_buckets(regions, sizes).where(F.col("__size") == F.col("__own")).drop("__own")
+    dealt = points.withColumn("__size", F.explode(F.array(*[F.lit(s).cast("long") for s in sizes])))
+    dealt = dealt.withColumn("__b", F.floor(F.col("pos") / F.col("__size")))
+    return dealt.join(cut, [key, "__size", "__b"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).drop("__b", "__size")
 
 
-def point_join(points: DataFrame, regions: DataFrame, key: str = "name", bucket: int = 64) -> DataFrame:
-    """Points (key, pos, ...) with every range of their key that holds them."""
-    cut = regions.where("end > start").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
-    dealt = points.withColumn("__b", F.floor(F.col("pos") / bucket))
-    return dealt.join(cut, [key, "__b"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).drop("__b")
+def _piece(start: Column, end: Column) -> Column:
+    return F.substring(F.col("data"), (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def cut_pieces(samples: DataFrame, regions: DataFrame, *columns: Column | str) -> DataFrame:
+    """(name, columns, piece): the bytes of every range.
+
+    A blob is joined once with all its ranges, which are put together first, and cut in its row: it isn't copied for
+    each of them.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in columns]
+    row = F.struct(F.struct(*columns).alias("of"), "start", "end")
+    ranges = regions.groupBy("name").agg(F.collect_list(row).alias("ranges"))
+    met = samples.select("name", "data").join(ranges, "name")
+    pieces = F.transform("ranges", lambda r: F.struct(r["of"].alias("of"), _piece(r["start"], r["end"]).alias("piece")))
+    return met.select("name", F.inline(pieces)).select("name", "of.*", "piece")
 
 
 def slice_blobs(samples: DataFrame, regions: DataFrame, keys: Iterable[str] = ("name", "label")) -> DataFrame:
-    """The bytes of a key's ranges one after another in ``ord``; ranges of no bytes give empty pieces."""
-    keys = list(keys)
-    piece = F.expr("substring(data, CAST(start + 1 AS INT), CAST(end - start AS INT))")
-    pieces = regions.join(samples.select("name", "data"), "name").select(*keys, "ord", piece.alias("piece"))
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "piece")))
-    return pieces.groupBy(*keys).agg(F.aggregate(ordered, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["piece"])).alias("data"))
+    """The bytes of a key's ranges one after another in ``ord``; ranges of no bytes give empty pieces.
+
+    ``keys`` begin with the name. Ranges are put together by blob first, so that a blob is joined once and cut in its row.
+    """
+    _, *others = keys
+    ranges = regions.groupBy("name", *others).agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end"))).alias("ranges"))
+    by_name = ranges.groupBy("name").agg(F.collect_list(F.struct(F.struct("name", *others).alias("of"), "ranges")).alias("groups"))
+
+    def joined(group: Column) -> Column:
+        return F.aggregate(group["ranges"], F.lit(b"").cast("binary"), lambda acc, r: F.concat(acc, _piece(r["start"], r["end"])))
+
+    cut = F.transform("groups", lambda g: F.struct(g["of"].alias("of"), joined(g).alias("data")))
+    met = samples.select("name", "data").join(by_name, "name")
+    return met.select(F.inline(cut)).select("of.*", "data")
 
 
 def region_order(regions: DataFrame, batch: Column, length: Column | None = None) -> DataFrame:

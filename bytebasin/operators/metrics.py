@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytebasin.operators.ranking import running_sums
+
 
 def confusion(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts and accuracy, precision, recall and F1, denominators being 1 at least (so F1 is 2pr / max(p + r, 1))."""
@@ -16,12 +18,10 @@ def confusion(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def _thresholds(scores: DataFrame) -> DataFrame:
-    """Running true and false positives by distinct score from above; rows are distinct scores, not samples."""
+    """Running true and false positives by distinct score from above, summed up in ranges of scores."""
     by_score = scores.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
-    order = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    running = by_score.withColumns({"tp": F.sum("p").over(order), "fp": F.sum("n").over(order)})
-    back = Window.orderBy(F.col("score").desc())
-    return running.withColumns({"tp0": F.lag("tp", 1, 0.0).over(back), "fp0": F.lag("fp", 1, 0.0).over(back)})
+    running = running_sums(by_score, [F.col("score").desc()], "p", "n")
+    return running.select("score", F.col("sum_p").alias("tp"), F.col("sum_n").alias("fp"), (F.col("sum_p") - F.col("p")).alias("tp0"), (F.col("sum_n") - F.col("n")).alias("fp0"))
 
 
 def auroc(scores: DataFrame) -> DataFrame:

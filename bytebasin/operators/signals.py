@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytebasin.operators.stats import entropy_of, positions
+from bytebasin.operators.stats import as_bytes
+
+#: Windows of a blob whose counts are held at a time.
+CHUNK = 4096
 
 
 def check_window(radius: int, stride: int) -> None:
@@ -20,53 +23,57 @@ def window_valid(size: Column, radius: int) -> Column:
     return size > 2 * radius + 1
 
 
-def window_entropy(samples: DataFrame, radius: int, stride: int) -> DataFrame:
-    """(name, k, start, end, entropy): a row for each window of 2 * radius + 1 bytes, and the positions its value fills.
+def _entropies(x: np.ndarray, radius: int, stride: int) -> np.ndarray:
+    """Entropy of every window of a blob.
 
-    Window k begins at k * stride; its value fills ``stride`` positions from its centre on. Bytes are counted by the
-    segment between window edges first and only those counts go to the windows that hold the segment. Blobs that are
-    too short have no row.
+    Bytes are counted by the segments between window edges, and windows are differences of running counts; a chunk of
+    windows goes at a time, so that memory stays bounded. With stride 1 each byte value has its own running count.
     """
-    check_window(radius, stride)
-    valid = samples.where(window_valid(F.col("size"), radius))
-    # edges lie at multiples of the stride, and at those moved by the window's length
     width = 2 * radius + 1
-    segment = F.struct(F.floor(F.col("pos") / stride).alias("a"), F.floor((F.col("pos") - width) / stride).alias("b"))
-    counts = positions(valid).withColumn("seg", segment).groupBy("name", "seg", "byte").agg(F.count("*").alias("n"))
-    last = valid.select("name", "size", (F.ceil((F.col("size") - 2 * radius) / stride) - 1).alias("last"))
-    spread = counts.join(last, "name").withColumns({"lo": F.greatest(F.lit(0).cast("long"), F.col("seg.b") + 1), "hi": F.least("last", F.col("seg.a"))})
-    spread = spread.where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
-    by_window = spread.groupBy("name", "size", "k", "byte").agg(F.sum("n").alias("n"))
-    found = by_window.groupBy("name", "size", "k").agg(entropy_of(F.col("n")).alias("entropy"))
-    start = F.col("k") * stride + radius
-    return found.select("name", "k", start.alias("start"), F.least(start + stride, "size").alias("end"), "entropy")
+    n = -(-(len(x) - 2 * radius) // stride)
+    table = np.arange(width + 1) * np.log2(np.maximum(1, np.arange(width + 1)))
+    if stride < 8:
+        total = np.zeros(len(x) - width + 1)
+        for value in np.unique(x):
+            seen = np.concatenate([[0], np.cumsum(x == value)])
+            total += table[seen[width:] - seen[:-width]]
+        # the last window may begin where less than a stride is left: it is one of those at every place
+        return np.log2(width) - total[::stride][:n] / width
+    out = np.empty(n)
+    for lo in range(0, n, CHUNK):
+        starts = np.arange(lo, min(n, lo + CHUNK)) * stride
+        edges = np.unique(np.concatenate([starts, starts + width]))
+        part = x[edges[0] : edges[-1]]
+        cell = np.searchsorted(edges, np.arange(edges[0], edges[0] + len(part)), "right") - 1
+        counts = np.bincount(cell * 256 + part, minlength=(len(edges) - 1) * 256).reshape(-1, 256)
+        upto = np.vstack([np.zeros((1, 256), counts.dtype), counts.cumsum(axis=0)])
+        windows = upto[np.searchsorted(edges, starts + width)] - upto[np.searchsorted(edges, starts)]
+        out[lo : lo + len(starts)] = np.log2(width) - table[windows].sum(axis=1) / width
+    return out
 
 
-def rolling_entropy(samples: DataFrame, radius: int) -> DataFrame:
-    """(name, start, entropy) with stride 1: histograms updated byte by byte, in Arrow batches of blobs.
+def window_entropy(samples: DataFrame, radius: int, stride: int) -> DataFrame:
+    """(name, k, start, end, entropy): a row for each window of 2 * radius + 1 bytes, and the positions its value fills.
 
-    Every byte value's count in every window comes from a running count, so a window costs what changes in it.
+    Window k begins at k * stride; its value fills ``stride`` positions from its centre on. A blob's windows are found
+    in its row, in Arrow batches: no shuffle. Blobs that are too short have no row.
     """
-    import numpy as np
-    import pandas as pd
+    check_window(radius, stride)
 
-    check_window(radius, 1)
-    width = 2 * radius + 1
+    @F.pandas_udf("array<double>")
+    def windows(blobs: pd.Series) -> pd.Series:
+        return pd.Series([_entropies(as_bytes(b), radius, stride) for b in blobs], dtype=object)
 
-    def roll(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.arange(width + 1) * np.log2(np.maximum(1, np.arange(width + 1)))
-        for batch in batches:
-            for name, data in zip(batch["name"], batch["data"]):
-                x = np.frombuffer(data, np.uint8)
-                total = np.zeros(len(x) - width + 1)
-                for value in np.unique(x):
-                    seen = np.concatenate([[0], np.cumsum(x == value)])
-                    total += table[seen[width:] - seen[:-width]]
-                h = np.log2(width) - total / width
-                yield pd.DataFrame({"name": name, "start": np.arange(len(h)) + radius, "entropy": h})
+    valid = samples.where(window_valid(F.col("size"), radius))
+    found = valid.select("name", "size", F.posexplode(windows("data")).alias("k", "entropy"))
+    start = F.col("k").cast("long") * stride + radius
+    return found.select("name", F.col("k").cast("long").alias("k"), start.alias("start"), F.least(start + stride, "size").alias("end"), "entropy")
 
-    valid = samples.where(window_valid(F.length("data"), radius)).select("name", "data")
-    return valid.mapInPandas(roll, "name long, start long, entropy double")
+
+def rolling_entropy(samples: DataFrame, radius: int) -> DataFrame:
+    """(name, start, entropy) with stride 1: every byte value's count in every window comes from a running count."""
+    sized = samples.select("name", "data", F.length("data").cast("long").alias("size"))
+    return window_entropy(sized, radius, 1).select("name", "start", "entropy")
 
 
 def high_entropy(entropy: Column, least: float = 7.0) -> Column:
@@ -75,7 +82,8 @@ def high_entropy(entropy: Column, least: float = 7.0) -> Column:
 
 
 def patch_maxima(signal: DataFrame, patch: int) -> DataFrame:
-    """(name, patch, value, pos): the greatest value of every patch and its first position."""
+    """(name, patch, value, pos): the greatest value of every patch of a signal in rows (name, pos, value), and its first
+    position."""
     rows = signal.withColumn("patch", F.floor(F.col("pos") / patch))
     return rows.groupBy("name", "patch").agg(F.max("value").alias("value"), F.min(F.struct((-F.col("value")).alias("v"), "pos"))["pos"].alias("pos"))
 
@@ -85,6 +93,27 @@ def maxima(signal: DataFrame) -> DataFrame:
     return signal.groupBy("name").agg(F.max("value").alias("value"), F.min(F.struct((-F.col("value")).alias("v"), "pos"))["pos"].alias("pos"))
 
 
+def byte_patch_maxima(samples: DataFrame, patch: int | None = None) -> DataFrame:
+    """(name, patch, value, pos) of blobs, whose bytes are the signal; without ``patch`` a blob is one patch.
+
+    Found in the blob's row: no shuffle. A blob without bytes has no row.
+    """
+
+    @F.pandas_udf("array<struct<value: long, pos: long>>")
+    def greatest(blobs: pd.Series) -> pd.Series:
+        out = []
+        for b in blobs:
+            x = as_bytes(b).astype(np.int16)
+            size = patch or max(1, len(x))
+            rows = np.pad(x, (0, -len(x) % size), constant_values=-1).reshape(-1, size)
+            at = rows.argmax(axis=1) if len(rows) else np.zeros(0, int)
+            out.append([{"value": v, "pos": p} for v, p in zip(rows[np.arange(len(rows)), at].tolist(), (at + np.arange(len(rows)) * size).tolist())])
+        return pd.Series(out, dtype=object)
+
+    found = samples.where(F.length("data") > 0).select("name", F.posexplode(greatest("data")).alias("patch", "m"))
+    return found.select("name", F.col("patch").cast("long").alias("patch"), "m.value", "m.pos")
+
+
 def patch_centres(patches: DataFrame, longest: int) -> DataFrame:
     """``rel``, the centre of patch j of n, and ``abs``, the same as a share of the longest sequence."""
     rel = (F.col("patch") + 0.5) / F.col("n_patches")

@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
-def positions(samples: DataFrame) -> DataFrame:
-    """A row for every byte: (name, pos, byte). Only these two columns of ``samples`` are read."""
-    pairs = F.regexp_extract_all(F.hex("data"), F.lit("(..)"), F.lit(1))
-    rows = samples.select("name", F.posexplode(pairs).alias("pos", "pair"))
-    return rows.select("name", F.col("pos").cast("long").alias("pos"), F.conv("pair", 16, 10).cast("int").alias("byte"))
+def as_bytes(data: bytes | None) -> np.ndarray:
+    return np.frombuffer(data or b"", np.uint8)
 
 
-def histogram(samples: DataFrame) -> DataFrame:
-    """How often each byte occurs in each blob: (name, byte, n); counted before the shuffle."""
-    return positions(samples).groupBy("name", "byte").agg(F.count("*").alias("n"))
+@F.pandas_udf(ArrayType(LongType()))
+def _counts(blobs: pd.Series) -> pd.Series:
+    return pd.Series([np.bincount(as_bytes(b), minlength=256) for b in blobs], dtype=object)
+
+
+@F.pandas_udf(DoubleType())
+def _entropies(blobs: pd.Series) -> pd.Series:
+    return pd.Series([entropy_of(np.bincount(as_bytes(b))) if b else None for b in blobs], dtype="float64")
+
+
+def entropy_of(counts: np.ndarray) -> float:
+    """Shannon entropy in bits of counts."""
+    c = counts[counts > 0].astype(float)
+    return float(np.log2(c.sum()) - (c * np.log2(c)).sum() / c.sum())
 
 
-def entropy_of(n: Column) -> Column:
-    """Aggregate: Shannon entropy in bits of counts."""
-    n = n.cast("double")
-    return F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)
+def histogram(samples: DataFrame) -> DataFrame:
+    """How often each byte occurs in each blob: (name, byte, n). A blob's bytes are counted in its row: no shuffle."""
+    rows = samples.select("name", F.posexplode(_counts("data")).alias("byte", "n"))
+    return rows.where("n > 0")
 
 
 def entropy(samples: DataFrame) -> DataFrame:
-    """Entropy of every blob that has bytes."""
-    return histogram(samples).groupBy("name").agg(entropy_of(F.col("n")).alias("entropy"))
+    """(name, entropy) of every blob that has bytes. No shuffle."""
+    return samples.select("name", _entropies("data").alias("entropy")).where("entropy IS NOT NULL")
 
 
 def byte_distribution(samples: DataFrame) -> DataFrame:
-    """Probability of every byte over all blobs: 256 rows at most."""
-    counts = positions(samples).groupBy("byte").agg(F.count("*").alias("n"))
+    """Probability of every byte over all blobs: 256 rows at most, and as many from each task."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            for b in batch["data"]:
+                total += np.bincount(as_bytes(b), minlength=256)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"byte": at.astype(np.int32), "n": total[at]})
+
+    counts = samples.select("data").mapInPandas(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select("byte", "n", (F.col("n") / F.col("total")).alias("p"))
 
@@ -41,7 +63,19 @@ def shard_statistics(samples: DataFrame) -> DataFrame:
 
 
 def size_summary(samples: DataFrame) -> DataFrame:
-    return samples.agg(F.sum("size").alias("total"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.avg("size").alias("avg_size"), F.median("size").alias("median_size"))
+    """Total, least, greatest, mean and median size. The median goes by how many blobs have each size: sizes repeat, and
+    are counted before the shuffle."""
+    from bytebasin.operators.ranking import running_sums
+
+    sizes = samples.where("size IS NOT NULL").groupBy("size").agg(F.count("*").alias("n"))
+    upto = running_sums(sizes, ["size"], "n")
+    total = sizes.agg(F.sum("n").alias("total"))
+    # the middle row, or the two middle rows, lie where the running count first reaches them
+    lower, upper = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    at = upto.crossJoin(F.broadcast(total))
+    middle = at.agg(F.min(F.when(F.col("sum_n") >= lower, F.col("size"))).alias("a"), F.min(F.when(F.col("sum_n") >= upper, F.col("size"))).alias("b"))
+    rest = samples.agg(F.sum("size").alias("total"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.avg("size").alias("avg_size"))
+    return rest.crossJoin(middle.select(((F.col("a") + F.col("b")) / 2).alias("median_size")))
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
@@ -49,12 +83,19 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def ordered_fingerprint(ranked: DataFrame, key: str, by: str, bucket: int = 1024) -> DataFrame:
-    """One digest of each group's ids in rank order, in two levels so that no task holds all ids.
+    """One digest of each group's ids in rank order, in levels so that no task holds more than ``bucket`` of anything.
 
-    md5 of the comma-joined digests of buckets, a bucket's digest being the md5 of its comma-joined ids.
+    The digest of a bucket is the md5 of its comma-joined ids; buckets in order make up the next level, and so on until
+    one is left: a group of up to ``bucket`` squared ids has two levels.
     """
-    buckets = ranked.groupBy(by, F.floor(F.col("rank") / bucket).alias("bucket"))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(key).cast("string").alias("id")))), lambda x: x["id"])
-    digests = buckets.agg(F.md5(F.array_join(ids, ",")).alias("digest"), F.count("*").alias("n"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"])
-    return digests.groupBy(by).agg(F.md5(F.array_join(parts, ",")).alias("digest"), F.sum("n").alias("n"))
+
+    def joined(parts: Column) -> Column:
+        return F.md5(F.array_join(F.transform(F.array_sort(parts), lambda x: x["id"]), ","))
+
+    level = ranked.select(by, "rank", F.col(key).cast("string").alias("id"), F.lit(1).cast("long").alias("n"))
+    first = True
+    while first or not level.where(F.col("rank") > 0).isEmpty():
+        buckets = level.groupBy(by, F.floor(F.col("rank") / bucket).alias("bucket"))
+        digests = buckets.agg(joined(F.collect_list(F.struct("rank", "id"))).alias("id"), F.sum("n").alias("n"))
+        level, first = digests.withColumnRenamed("bucket", "rank"), False
+    return level.select(by, F.col("id").alias("digest"), "n")

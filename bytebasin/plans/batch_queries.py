@@ -11,7 +11,7 @@ from bytebasin.operators import intervals as iv
 from bytebasin.registry import query
 from bytebasin.sources import tables as tb
 
-B = """WITH docs AS (SELECT doc_id AS name, hex(encode(left(text, 40))) AS h FROM documents), b AS (SELECT name, h, length(h) // 2 AS n, row_number() OVER (ORDER BY name) - 1 AS rank FROM docs),
+B = """WITH docs AS (SELECT doc_id AS name, hex(encode(text)) AS h FROM documents), b AS (SELECT name, h, length(h) // 2 AS n, row_number() OVER (ORDER BY name) - 1 AS rank FROM docs),
 batched AS (SELECT *, rank // 8 AS batch, rank % 8 AS slot FROM b)"""
 TOKENS = """, l AS (SELECT batch, CAST(ceil(greatest(max(n), 16) / 8.0) * 8 AS BIGINT) AS length FROM batched GROUP BY batch),
 t AS (SELECT batch, slot, name, n, length, unnest(range(0, length)) AS i, h FROM batched JOIN l USING (batch)),
@@ -19,7 +19,7 @@ v AS (SELECT batch, slot, name, n, length, i, CASE WHEN i < n THEN strpos('01234
 
 
 def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tb.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), byte_values(F.encode(F.left("text", F.lit(40)), "UTF-8")).alias("values"))
+    docs = tb.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), byte_values(F.encode("text", "UTF-8")).alias("values"))
     return bt.batches(docs, 8, "name")
 
 
@@ -43,10 +43,12 @@ def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch", "length", F.size("names").cast("long").alias("n"), F.md5(tokens).alias("digest"))
 
 
-@query(B + " SELECT name, n, CASE WHEN n > 0 THEN strpos('0123456789ABCDEF', h[1]) * 16 - 16 + strpos('0123456789ABCDEF', h[2]) END AS first_token FROM batched")
+@query(B + """, t AS (SELECT name, n, unnest(range(0, n)) AS i, h FROM batched), v AS (SELECT name, i, strpos('0123456789ABCDEF', h[2 * i + 1]) * 16 - 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) AS token FROM t)
+SELECT name, count(*) AS n, CAST(sum(token) AS BIGINT) AS total, md5(string_agg(CAST(token AS VARCHAR), ',' ORDER BY i)) AS digest FROM v GROUP BY name""")
 def token_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _batched(spark, sf_dir)
-    return rows.select("name", F.size("values").cast("long").alias("n"), F.try_element_at(bt.shifted(F.col("values")), F.lit(1)).cast("long").alias("first_token"))
+    rows = _batched(spark, sf_dir).where(F.size("values") > 0).select("name", F.size("values").cast("long").alias("n"), bt.shifted(F.col("values")).alias("tokens"))
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda t, x: t + x)
+    return rows.select("name", "n", total.alias("total"), F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
 @query(f"""WITH {tb.LINE_REGIONS_SQL}, s AS (SELECT name, label, CAST(sum("end" - "start") AS BIGINT) AS n FROM line_regions GROUP BY name, label),
@@ -61,32 +63,32 @@ def hierarchical_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch", "label", F.size("names").cast("long").alias("rows"), "length")
 
 
-@query(f"""WITH {tb.LINE_REGIONS_SQL}, r AS (SELECT name // 8 AS batch, label, "end" - "start" AS n FROM line_regions WHERE label < 2 OR name % 16 < 8),
-k AS (SELECT DISTINCT doc_id // 8 AS batch, l AS label FROM documents, range(0, 3) x(l))
+@query(f"""WITH {tb.LINE_REGIONS_SQL}, r AS (SELECT name // 2 AS batch, label, "end" - "start" AS n FROM line_regions),
+k AS (SELECT DISTINCT doc_id // 2 AS batch, l AS label FROM documents, range(0, 3) x(l))
 SELECT k.batch, k.label, greatest(1, count(r.n)) AS rows, CAST(ceil(greatest(coalesce(max(n), 1), 16) / 64.0) * 64 AS BIGINT) AS length FROM k LEFT JOIN r ON r.batch = k.batch AND r.label = k.label GROUP BY 1, 2""")
 def structural_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every region; a structure without any in a batch gets one row of a single padding value."""
-    regions = tb.line_regions(spark, sf_dir).where("label < 2 OR name % 16 < 8")
-    ordered = iv.region_order(regions, F.floor(F.col("name") / 8))
-    piece = F.expr("substring(data, CAST(start + 1 AS INT), CAST(end - start AS INT))")
-    rows = ordered.join(tb.samples(spark, sf_dir).select("name", "data"), "name").select("batch", "label", F.col("local").alias("slot"), "name", byte_values(piece).alias("values"))
-    keys = tb.read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("batch")).distinct().crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "label")))
+    regions = tb.line_regions(spark, sf_dir)
+    ordered = iv.region_order(regions, F.floor(F.col("name") / 2))
+    pieces = iv.cut_pieces(tb.samples(spark, sf_dir), ordered, "batch", "label", F.col("local").alias("slot"))
+    rows = pieces.select("batch", "label", "slot", "name", byte_values("piece").alias("values"))
+    keys = tb.read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("batch")).distinct().crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "label")))
     out = bt.collate(bt.with_empty_structures(rows, keys), least=16, multiple=64, keys=("batch", "label"))
     return out.select("batch", "label", F.size("names").cast("long").alias("rows"), "length")
 
 
-@query("""WITH c AS (SELECT l_partkey % 7 AS token, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT sum(n) AS total FROM c),
-p AS (SELECT token, CAST(n AS DOUBLE) / total * 64 AS share FROM c, s), m AS (SELECT token, CASE WHEN share < 1 THEN 1 ELSE CAST(2 ** floor(log2(share)) AS BIGINT) END AS low, share FROM p),
-r AS (SELECT token, CASE WHEN share > 1 AND share - low >= 2 * low - share THEN 2 * low ELSE low END AS copies FROM m),
-b AS (SELECT token, copies, sum(copies) OVER (ORDER BY token) - copies AS base FROM r)
-SELECT token, base + ((l_orderkey + l_linenumber * 7) & (copies - 1)) AS salted, count(*) AS n FROM (SELECT l_partkey % 7 AS token, l_orderkey, l_linenumber FROM lineitem) JOIN b USING (token) GROUP BY 1, 2""")
+@query("""WITH RECURSIVE rows AS (SELECT CASE l_linenumber WHEN 1 THEN 9 WHEN 2 THEN 9 WHEN 3 THEN 9 ELSE l_linenumber END AS token, l_orderkey AS pos, l_suppkey AS row FROM lineitem),
+f AS (SELECT token, count(*) AS n FROM rows GROUP BY token), s AS (SELECT sum(n) AS total, 40 - count(*) AS budget FROM f),
+p AS (SELECT token, CAST(n AS DOUBLE) / total * budget AS share FROM f, s), l AS (SELECT token, share, CASE WHEN share <= 1 THEN 1 ELSE CAST(2 ** floor(log2(share)) AS BIGINT) END AS low FROM p),
+a0 AS (SELECT list(CASE WHEN share <= 1 OR share - low < 2 * low - share THEN low ELSE 2 * low END ORDER BY token) AS a, list(token ORDER BY token) AS t FROM l),
+walk AS (SELECT 0 AS i, a, t FROM a0 UNION ALL SELECT i + 1, list_transform(a, (x, j) -> CASE WHEN (j - 1) = i % len(a) AND x > 1 THEN x // 2 ELSE x END), t FROM walk, s WHERE list_sum(a) > budget),
+done AS (SELECT a, t FROM walk ORDER BY i DESC LIMIT 1), k AS (SELECT unnest(t) AS token, unnest(a) AS copies FROM done),
+b AS (SELECT token, copies, (SELECT max(token) + 1 FROM k) + coalesce(sum(copies) OVER (ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM k WHERE copies > 1)
+SELECT CAST(token AS BIGINT) AS token, CAST(CASE WHEN base IS NULL THEN token ELSE base + ((pos + row * 7) & (copies - 1)) END AS BIGINT) AS salted, count(*) AS n FROM rows LEFT JOIN b USING (token) GROUP BY 1, 2""")
 def salted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tb.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 7).cast("long").alias("token"), F.col("l_orderkey").cast("long").alias("pos"), F.col("l_linenumber").cast("long").alias("row"))
+    """Salts for a key that many rows have, among a few that fewer have: the table's line numbers, three of them as one."""
+    line = F.col("l_linenumber")
+    rows = tb.read(spark, sf_dir, "lineitem").select(F.when(line <= 3, 9).otherwise(line).cast("long").alias("token"), F.col("l_orderkey").cast("long").alias("pos"), F.col("l_suppkey").cast("long").alias("row"))
+    # the keys are line numbers, a handful
     counts = {r["token"]: float(r["n"]) for r in rows.groupBy("token").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame([(t, b, m) for t, (b, m) in bt.salt_plan(counts, 64).items()], "token long, base long, copies long")
-    return bt.salted(rows, plan, 7).groupBy("token", "salted").agg(F.count("*").alias("n"))
-
-
-@query("SELECT byte, n FROM (SELECT left(text, 1) AS byte, count(*) AS n FROM documents GROUP BY 1) WHERE byte IS NOT NULL")
-def first_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tb.read(spark, sf_dir, "documents").groupBy(F.left("text", F.lit(1)).alias("byte")).agg(F.count("*").alias("n"))
+    return bt.salted(rows, bt.salt_plan(counts, 40), 7).groupBy("token", "salted").agg(F.count("*").alias("n"))

@@ -57,13 +57,20 @@ def entropy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BYTES + " SELECT name, pos // 512 AS patch, max(byte) AS value, arg_max(pos, byte * 1000000 - pos) AS pos FROM bytes GROUP BY 1, 2")
 def patch_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signal = st.positions(tb.samples(spark, sf_dir)).select("name", "pos", F.col("byte").cast("long").alias("value"))
-    return sg.patch_maxima(signal, 512)
+    return sg.byte_patch_maxima(tb.samples(spark, sf_dir), 512)
 
 
 @query(BYTES + " SELECT name, max(byte) AS value, arg_max(pos, byte * 1000000 - pos) AS pos FROM bytes GROUP BY 1")
 def sequence_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sg.maxima(st.positions(tb.samples(spark, sf_dir)).select("name", "pos", F.col("byte").cast("long").alias("value")))
+    return sg.byte_patch_maxima(tb.samples(spark, sf_dir)).drop("patch")
+
+
+@query(BYTES + f""", w AS (SELECT name, size, byte, unnest(range(greatest(0, pos - 8), least(size - 9, pos) + 1)) AS k FROM bytes WHERE size > 9), h AS (SELECT name, k, byte, CAST(count(*) AS DOUBLE) AS c FROM w GROUP BY 1, 2, 3), e AS (SELECT name, k, {ENTROPY} AS e FROM h GROUP BY name, k)
+SELECT name, count(*) AS windows, round(avg(e), 6) AS mean, round(max(e), 6) AS most FROM e GROUP BY name""")
+def rolling_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of every window of 9 bytes."""
+    found = sg.rolling_entropy(tb.samples(spark, sf_dir), 4)
+    return found.groupBy("name").agg(F.count("*").alias("windows"), F.round(F.avg("entropy"), 6).alias("mean"), F.round(F.max("entropy"), 6).alias("most"))
 
 
 @query("""WITH s AS (SELECT doc_id AS name, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents), p AS (SELECT *, unnest(range(0, CAST(ceil(size / 512.0) AS BIGINT))) AS patch, CAST(ceil(size / 512.0) AS BIGINT) AS n_patches FROM s)

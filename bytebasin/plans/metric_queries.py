@@ -54,14 +54,20 @@ def reduced_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.reduce_workers(parts).withColumn("value", F.round("value", 4))
 
 
-@query(L + """, best AS (SELECT run, metric, CASE metric WHEN 'purchase' THEN max(value) WHEN 'view' THEN min(value) ELSE avg(value) END AS best FROM runlog WHERE value IS NOT NULL GROUP BY run, metric)
-SELECT b.run, b.metric, round(b.best, 6) AS best, coalesce(min(r.step), -1) AS step FROM best b LEFT JOIN runlog r ON r.run = b.run AND r.metric = b.metric AND r.value = b.best AND b.metric IN ('purchase', 'view') WHERE b.metric IN ('purchase', 'view', 'click') GROUP BY b.run, b.metric, b.best""")
+@query(L + """, best AS (SELECT run, metric, CASE metric WHEN 'purchase' THEN max(value) ELSE min(value) END AS best FROM runlog WHERE value IS NOT NULL AND metric IN ('purchase', 'view') GROUP BY run, metric)
+SELECT b.run, b.metric, round(b.best, 6) AS best, coalesce(min(r.step), -1) AS step FROM best b LEFT JOIN runlog r ON r.run = b.run AND r.metric = b.metric AND r.value = b.best GROUP BY b.run, b.metric, b.best""")
 def runlog_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tb.runlog(spark, sf_dir)
-    best = mt.best_steps(rows, {"purchase": "max", "view": "min", "click": "mean"})
-    # where a mean equals one of its values depends on rounding
-    step = F.when(F.col("metric") == "click", F.lit(-1).cast("long")).otherwise(F.col("step"))
-    return best.select("run", "metric", F.round("best", 6).alias("best"), step.alias("step"))
+    best = mt.best_steps(tb.runlog(spark, sf_dir), {"purchase": "max", "view": "min"})
+    return best.withColumn("best", F.round("best", 6))
+
+
+@query(L + """, c AS (SELECT run, step, metric, CAST(step % 3 AS DOUBLE) AS value FROM runlog), best AS (SELECT run, metric, avg(value) AS best FROM c GROUP BY run, metric)
+SELECT b.run, b.metric, round(b.best, 6) AS best, coalesce(min(r.step), -1) AS step FROM best b LEFT JOIN c r ON r.run = b.run AND r.metric = b.metric AND r.value = b.best GROUP BY b.run, b.metric, b.best""")
+def runlog_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of small whole numbers, and the first step that has the mean itself."""
+    rows = tb.runlog(spark, sf_dir).withColumn("value", (F.col("step") % 3).cast("double"))
+    means = mt.best_steps(rows, {m: "mean" for m in [r["metric"] for r in rows.select("metric").distinct().collect()]})
+    return means.withColumn("best", F.round("best", 6))
 
 
 @query(L + """, v AS (SELECT run, step, value, max(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM runlog),
@@ -71,6 +77,14 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.early_stop(tb.runlog(spark, sf_dir), patience=10)
 
 
+@query((L + """, o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS i FROM runlog), w AS (SELECT run, i, step, value AS best, 0 AS bad, CAST(NULL AS BIGINT) AS stop FROM o WHERE i = 1
+UNION ALL SELECT o.run, o.i, o.step, CASE WHEN value > best + 8 THEN value ELSE best END, CASE WHEN value > best + 8 THEN 0 ELSE bad + 1 END, coalesce(stop, CASE WHEN value <= best + 8 AND bad + 1 > 10 THEN o.step END) FROM w JOIN o ON o.run = w.run AND o.i = w.i + 1)
+SELECT run, min(stop) AS stop FROM w GROUP BY run""").replace("WITH runlog", "WITH RECURSIVE runlog"))
+def early_stop_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early stops where a value has to be better by a threshold."""
+    return mt.early_stop(tb.runlog(spark, sf_dir), patience=10, threshold=8.0)
+
+
 @query("SELECT user_id % 7 AS report, CAST(event_id % 24 AS BIGINT) AS hour, round(avg(value), 6) AS mean_rate, max(value) AS max_level FROM events GROUP BY 1, 2")
 def monitor_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = tb.read(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("report"), (F.col("event_id") % 24).cast("long").alias("hour"), F.col("value").alias("rate"), F.col("value").alias("level"))

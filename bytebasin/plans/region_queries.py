@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytebasin.operators import intervals as iv
@@ -161,23 +161,44 @@ def region_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.select("name", "batch", "label", "start", "pos", "local")
 
 
-@query(f"""WITH {tb.LINE_REGIONS_SQL} SELECT name, CAST(count(*) AS BIGINT) AS n, string_agg(CAST("end" - "start" AS VARCHAR), ',' ORDER BY "start") AS lengths FROM line_regions WHERE "start" < 5000 GROUP BY name""")
+@query(f"""WITH {tb.LINE_REGIONS_SQL} SELECT name, CAST(count(*) AS BIGINT) AS n, md5(string_agg(CAST("end" - "start" AS VARCHAR), ',' ORDER BY "start")) AS lengths FROM line_regions GROUP BY name""")
 def reassembled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = iv.region_order(tb.line_regions(spark, sf_dir), F.floor(F.col("name") / 16), F.lit(5000))
+    ordered = iv.region_order(tb.line_regions(spark, sf_dir), F.floor(F.col("name") / 16))
+    results = ordered.select("batch", "label", "local", (F.col("end") - F.col("start")).alias("value"))
+    back = iv.reassemble(results, ordered.select("name", "batch", "label", "local", "pos"))
+    dense = iv.packed_order(iv.dense_order(F.col("values"), 64, "keep"))
+    return back.select("name", F.size(dense).cast("long").alias("n"), F.md5(F.array_join(F.transform(dense, lambda x: x.cast("string")), ",")).alias("lengths"))
+
+
+@query(f"""WITH {tb.LINE_REGIONS_SQL}, r AS (SELECT name, "end" - "start" AS v, row_number() OVER (PARTITION BY name ORDER BY "start", label, ord) AS pos FROM line_regions), n AS (SELECT name, count(*) AS n FROM r GROUP BY name),
+f AS (SELECT name, unnest(range(1, 41)) AS pos FROM n) SELECT f.name, string_agg(CAST(coalesce(r.v, -1) AS VARCHAR), ',' ORDER BY f.pos) AS lengths FROM f LEFT JOIN r ON r.name = f.name AND r.pos = f.pos GROUP BY f.name""")
+def dense_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of 40 places: shorter orders are filled up, longer ones are cut."""
+    ordered = iv.region_order(tb.line_regions(spark, sf_dir), F.floor(F.col("name") / 16))
     results = ordered.select("batch", "label", "local", (F.col("end") - F.col("start")).alias("value"))
     back = iv.reassemble(results, ordered.select("name", "batch", "label", "local", "pos"))
-    dense = iv.packed_order(iv.dense_order(F.col("values"), 100_000, "keep"))
-    return back.select("name", F.size(dense).cast("long").alias("n"), F.array_join(F.transform(dense, lambda x: x.cast("string")), ",").alias("lengths"))
+    dense = iv.dense_order(F.col("values"), 40, "ignore")
+    return back.select("name", F.array_join(F.transform(dense, lambda x: x.cast("string")), ",").alias("lengths"))
 
 
 @query("""WITH found AS (SELECT page_id AS name, html, unnest(['head', 'script', 'style']) AS label FROM pages),
-spots AS (SELECT name, label, html, strpos(html, '<' || label) AS s, strpos(html, '</' || label || '>') AS e FROM found)
-SELECT name, label, CAST(octet_length(encode(left(html, CAST(s - 1 AS INTEGER)))) AS BIGINT) AS "start", CAST(octet_length(encode(left(html, CAST(e + length(label) + 2 AS INTEGER)))) AS BIGINT) AS "end" FROM spots WHERE s > 0 AND e > s""")
+parts AS (SELECT name, label, regexp_extract_all(html, '(?s)<' || label || '.*?</' || label || '>') AS found, regexp_split_to_array(html, '(?s)<' || label || '.*?</' || label || '>') AS between FROM found),
+e AS (SELECT name, label, found, between, unnest(range(1, len(found) + 1)) AS k FROM parts)
+SELECT name, label, CAST(list_sum(list_transform(between[1:k], x -> octet_length(encode(x)))) + coalesce(list_sum(list_transform(found[1:k - 1], x -> octet_length(encode(x)))), 0) AS BIGINT) AS "start",
+CAST(list_sum(list_transform(between[1:k], x -> octet_length(encode(x)))) + list_sum(list_transform(found[1:k], x -> octet_length(encode(x)))) AS BIGINT) AS "end" FROM e""")
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte ranges of the first head, script and style element of every page."""
-    pages = tb.read(spark, sf_dir, "pages").select(F.col("page_id").alias("name"), "html", F.explode(F.array(*map(F.lit, ("head", "script", "style")))).alias("label"))
-    at = pages.withColumns({"s": F.expr("instr(html, concat('<', label))"), "e": F.expr("instr(html, concat('</', label, '>'))")}).where("s > 0 AND e > s")
-    return at.select("name", "label", F.expr("CAST(octet_length(left(html, s - 1)) AS BIGINT)").alias("start"), F.expr("CAST(octet_length(left(html, e + length(label) + 2)) AS BIGINT)").alias("end"))
+    """Byte ranges of all head, script and style elements of every page."""
+    pages = tb.read(spark, sf_dir, "pages").select(F.col("page_id").alias("name"), "html")
+    found = None
+    for label in ("head", "script", "style"):
+        pattern = f"(?s)<{label}.*?</{label}>"
+        rows = pages.select("name", F.lit(label).alias("label"), F.regexp_extract_all("html", F.lit(pattern), F.lit(0)).alias("found"), F.split("html", pattern, -1).alias("between"))
+        rows = rows.select("name", "label", F.posexplode(F.arrays_zip(F.slice("between", F.lit(1), F.size("found")).alias("between"), "found")).alias("k", "p"))
+        gap, own = F.octet_length("p.between"), F.octet_length("p.found")
+        end = F.sum(gap + own).over(Window.partitionBy("name", "label").orderBy("k"))
+        rows = rows.select("name", "label", (end - own).cast("long").alias("start"), end.cast("long").alias("end"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @query(R + """SELECT label, count(*) AS n, sum("end" - "start") AS n_bytes, avg(CASE WHEN ord = 1 THEN 1.0 ELSE 0.0 END) AS share_first FROM regions GROUP BY label""")

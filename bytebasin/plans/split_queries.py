@@ -47,18 +47,55 @@ def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(sp.stratified_split(tb.timed_samples(spark, sf_dir), SHARES, seed=3))
 
 
-@query(T + COUNTS + """, ranked AS (SELECT label, row_number() OVER (ORDER BY ts, idx) AS rank FROM timed), pre AS (SELECT rank, sum(label) OVER (ORDER BY rank) AS pos FROM ranked),
-m AS (SELECT c.*, (SELECT avg(label) FROM timed) AS target FROM c), sh AS (SELECT unnest(range(-100, 101, 20)) AS d),
-grid AS (SELECT ca + a.d AS p, ca + cb + b.d AS q, m.* FROM m, sh a, sh b WHERE ca + a.d > 0 AND ca + a.d < ca + cb + b.d AND ca + cb + b.d < n),
-h AS (SELECT grid.*, x.pos AS pp, y.pos AS pq, z.pos AS pe FROM grid JOIN pre x ON x.rank = p JOIN pre y ON y.rank = q JOIN pre z ON z.rank = n),
-r AS (SELECT *, CAST(pp AS DOUBLE) / p AS r0, CAST(pq - pp AS DOUBLE) / (q - p) AS r1, CAST(pe - pq AS DOUBLE) / (n - q) AS r2 FROM h),
-s AS (SELECT *, round(2.0 * abs(r0 - target) + 2.0 * abs(r1 - target) + 2.0 * abs(r2 - target) + CAST(abs(p - ca) + abs(q - p - cb) + abs(n - q - (n - ca - cb)) AS DOUBLE) / n, 9) AS score FROM r)
-SELECT p, q, round(score, 6) AS score, n AS "end" FROM s ORDER BY s.score, NOT (p = ca AND q = ca + cb), p, q LIMIT 1""")
+#: Places of one split in each class: (label, lo, hi) of ``{name}`` from what ``{left}`` has, in SQL.
+TAKE = """, {name}_x AS (SELECT label, avail, at, w * {want} AS x FROM {left}, c), {name}_f AS (SELECT *, least(CAST(floor(x + 1e-9) AS BIGINT), avail) AS fl, x - floor(x + 1e-9) AS r FROM {name}_x),
+{name}_m AS (SELECT *, (SELECT {want} FROM c) - (SELECT sum(fl) FROM {name}_f) - coalesce(sum(avail - fl) OVER (ORDER BY r DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missing FROM {name}_f),
+{name} AS (SELECT label, at AS lo, at + fl + least(greatest(missing, 0), avail - fl) AS hi, avail FROM {name}_m),
+{name}_left AS (SELECT t.label, t.avail - (t.hi - t.lo) AS avail, t.hi AS at, w FROM {name} t JOIN wanted USING (label))"""
+THREE = "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
+TAKEN = TAKE.format(name="tr", left="wanted", want="ca") + TAKE.format(name="vl", left="tr_left", want="cb") + TAKE.format(name="ts", left="vl_left", want="(n - ca - cb)")
+
+
+@query(T + COUNTS + f""", three AS (SELECT CAST(o_orderkey AS BIGINT) AS idx, {THREE} AS label FROM orders),
+wanted AS (SELECT label, count(*) AS avail, CAST(0 AS BIGINT) AS at, CASE label WHEN 0 THEN 0.5 ELSE 0.25 END AS w FROM three GROUP BY label){TAKEN},
+q AS (SELECT 0 AS split, * FROM tr UNION ALL SELECT 1, * FROM vl UNION ALL SELECT 2, * FROM ts),
+ranked AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY md5('4:' || idx), idx) - 1 AS rank FROM three)
+SELECT r.idx, r.label, q.split FROM ranked r JOIN q ON q.label = r.label AND r.rank >= q.lo AND r.rank < q.hi""")
+def split_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classes by weights that don't sum to 1 and that one class cannot meet."""
+    label = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    rows = tb.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("idx"), label.alias("label"))
+    return sp.stratified_split(rows, SHARES, {0: 60, 1: 30, 2: 30}, seed=4).select("idx", "label", "split")
+
+
+#: Rows of label 1 before each rank.
+PRE = ", ranked AS (SELECT idx, label, row_number() OVER (ORDER BY ts, idx) AS rank FROM timed), pre AS (SELECT 0 AS rank, 0 AS pos UNION ALL SELECT rank, sum(label) OVER (ORDER BY rank) AS pos FROM ranked)"
+
+
+@query(T + COUNTS + PRE + """, m AS (SELECT *, n - ca - cb AS cc, greatest(0, ca - 100) AS p_lo, greatest(0, ca - 100, ca + cb - 100) AS q_lo, least(n, ca + cb + 100) AS q_hi FROM c),
+a AS (SELECT *, unnest(range(p_lo, least(n, ca + 100) + 1, 20)) AS p FROM m), b AS (SELECT *, unnest(range(greatest(p, q_lo), q_hi + 1, 20)) AS q FROM a),
+g AS (SELECT n, ca, cb, cc, p, q FROM b UNION SELECT n, ca, cb, cc, ca, ca + cb FROM m), h AS (SELECT *, q + least(cc, n - q) AS e FROM g),
+v AS (SELECT h.*, CAST(x.pos AS DOUBLE) / p AS r0, CAST(y.pos - x.pos AS DOUBLE) / (q - p) AS r1, CAST(z.pos - y.pos AS DOUBLE) / (e - q) AS r2 FROM h JOIN pre x ON x.rank = p JOIN pre y ON y.rank = q JOIN pre z ON z.rank = e),
+s AS (SELECT *, round(2.0 * abs(r0 - r1) + 2.0 * abs(r0 - r2) + 2.0 * abs(r1 - r2) + 0.0001 * (abs(p - ca) + abs(q - p - cb) + abs(e - q - cc)), 9) AS score FROM v)
+SELECT p, q, e AS "end", round(score, 6) AS score FROM s ORDER BY s.score, NOT (p = ca AND q = ca + cb), p, q LIMIT 1""")
 def split_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of a temporal split that hold the splits' class shares nearest to each other."""
     ranked = rk.global_rank(tb.timed_samples(spark, sf_dir), "ts", "idx")
-    total = ranked.agg(F.count("*").alias("n"), F.avg("label").alias("r")).first()
-    best = sp.balanced_cuts(ranked, total["n"], SHARES, float(total["r"]), max_shift=100, step=20)
-    return best.withColumn("score", F.round("score", 6))
+    best = sp.balanced_cuts(ranked, ranked.count(), SHARES, max_shift=100, step=20, penalty=0.0001)
+    return best.select("p", "q", "end", F.round("score", 6).alias("score"))
+
+
+TRIM = "(SELECT min(t) FROM (SELECT unnest(range(0, {length} + 1, 10)) AS t FROM m) k, m JOIN pre x ON x.rank = {lo} JOIN pre y ON y.rank = {hi} WHERE abs(CASE WHEN {lo} = {hi} THEN 0.5 ELSE CAST(y.pos - x.pos AS DOUBLE) / ({hi} - {lo}) END - 0.34) <= 0.004)"
+
+
+@query(T + COUNTS + PRE + f""", m AS (SELECT *, ca + cb AS cq FROM c),
+t AS (SELECT {TRIM.format(length="ca", lo="k.t", hi="m.ca")} AS t0, {TRIM.format(length="cb", lo="m.ca", hi="m.cq - k.t")} AS t1, {TRIM.format(length="(n - cq)", lo="m.cq", hi="m.n - k.t")} AS t2),
+f AS (SELECT CASE WHEN t0 IS NULL OR t1 IS NULL OR t2 IS NULL THEN [0, 0, 0] ELSE [t0, t1, t2] END AS t FROM t)
+SELECT idx, CASE WHEN rank <= ca THEN 0 WHEN rank <= cq THEN 1 ELSE 2 END AS split FROM ranked, m, f
+WHERE (rank > t[1] AND rank <= ca) OR (rank > ca AND rank <= cq - t[2]) OR (rank > cq AND rank <= n - t[3])""")
+def split_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A temporal split whose splits are trimmed to come near given class weights."""
+    return _named(sp.balanced_split(tb.timed_samples(spark, sf_dir), SHARES, {0: 66, 1: 34}, step=10, tolerance=0.004))
 
 
 @query(T + " SELECT idx, row_number() OVER (ORDER BY ts, idx) - 1 AS rank FROM timed")
@@ -104,11 +141,12 @@ def split_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.ordered_fingerprint(out, "idx", "split")
 
 
-@query(T + """, w AS (SELECT idx FROM timed WHERE idx % 5 <> 0), e AS (SELECT unnest(range(0, (SELECT max(idx) FROM timed) + 1)) AS idx) SELECT idx FROM e WHERE idx NOT IN (SELECT idx FROM w)""")
+@query("WITH e AS (SELECT unnest(range(0, (SELECT max(doc_id) FROM labels) + 1)) AS idx) SELECT idx FROM e WHERE idx NOT IN (SELECT doc_id FROM labels)")
 def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tb.timed_samples(spark, sf_dir)
+    """Ids up to the greatest labelled one that have no label."""
+    rows = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"))
     top = rows.agg(F.max("idx")).first()[0]
-    return spark.range(0, top + 1).select(F.col("id").alias("idx")).join(rows.where("idx % 5 <> 0").select("idx"), "idx", "left_anti")
+    return spark.range(0, (-1 if top is None else top) + 1).select(F.col("id").alias("idx")).join(rows, "idx", "left_anti")
 
 
 @query(T + " SELECT CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS outside, count(*) AS rows FROM timed")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bytebasin.operators import integrity as ig
 from bytebasin.operators import ranking as rk
 from bytebasin.operators import stats as st
+from bytebasin.plans.blob_queries import BYTES
 from bytebasin.registry import query
 from bytebasin.sources import store
 from bytebasin.sources import tables as tb
@@ -17,7 +18,8 @@ packed AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS idx, (row_number()
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rk.shards_by_count(tb.samples(spark, sf_dir), 64, "name")
+    """(name, label, size, idx, shard): blobs themselves are not ranked."""
+    return rk.shards_by_count(tb.samples(spark, sf_dir).select("name", "label", "size"), 64, "name")
 
 
 @query(D + " SELECT name, idx, shard FROM packed")
@@ -31,10 +33,10 @@ def shard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"avg_size": F.round("avg_size", 6), "positive": F.round("positive", 6)})
 
 
-@query(D + " SELECT idx, shard FROM packed WHERE idx % 7 = 0")
+@query(D + " SELECT idx, shard FROM packed")
 def shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packed(spark, sf_dir)
-    return store.shard_of(rows.where("idx % 7 = 0").select("idx"), rows)
+    return store.shard_of(rows.select("idx"), rows)
 
 
 @query(D + " SELECT p.name, p.idx, p.shard, p.size FROM packed p JOIN (SELECT o_orderkey AS name FROM orders) k ON k.name = p.name")
@@ -74,35 +76,44 @@ def repeated_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.duplicates(tb.samples(spark, sf_dir).select(F.sha2("data", 256).alias("sha")), "sha")
 
 
-@query("""WITH s AS (SELECT doc_id AS idx, sha256(encode(text)) AS name, doc_id // 64 AS shard FROM documents WHERE doc_id % 50 <> 3), m AS (SELECT doc_id AS idx, CASE WHEN doc_id % 41 = 0 THEN 'other' ELSE sha256(encode(text)) END AS name, doc_id // 64 + CAST(doc_id % 43 = 0 AS INTEGER) AS shard FROM documents WHERE doc_id % 60 <> 7),
+@query("""WITH d AS (SELECT doc_id AS idx, sha256(encode(text)) AS name, doc_id // 64 AS shard FROM documents), s AS (SELECT d.* FROM d JOIN labels ON doc_id = idx),
+m AS (SELECT idx, CASE WHEN quality = 0 THEN 'other' ELSE name END AS name, shard + coalesce(toxic, 0) AS shard FROM d LEFT JOIN labels ON doc_id = idx),
 b AS (SELECT coalesce(s.idx, m.idx) AS idx, CASE WHEN s.idx IS NULL THEN 'no size row' WHEN m.idx IS NULL THEN 'no meta row' WHEN s.name <> m.name THEN 'names differ' WHEN s.shard <> m.shard THEN 'shards differ' END AS "check" FROM s FULL JOIN m ON s.idx = m.idx)
 SELECT "check", CAST(idx AS VARCHAR) AS key FROM b WHERE "check" IS NOT NULL UNION ALL SELECT 'repeated name', name FROM s GROUP BY name HAVING count(*) > 1
 UNION ALL SELECT 'missing idx', CAST(i AS VARCHAR) FROM range(0, (SELECT max(idx) + 1 FROM s)) r(i) WHERE i NOT IN (SELECT idx FROM s)""")
 def dataset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the labelled documents against a table of all, in which labels stand for what was entered wrong."""
     docs = tb.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.sha2("text", 256).alias("name"), F.floor(F.col("doc_id") / 64).alias("shard"))
-    meta = docs.withColumns({"name": F.when(F.col("idx") % 41 == 0, "other").otherwise(F.col("name")), "shard": F.col("shard") + (F.col("idx") % 43 == 0).cast("int")})
-    return ig.check_dataset(docs.where("idx % 50 <> 3"), meta.where("idx % 60 <> 7"))
+    labels = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx"), "quality", "toxic")
+    meta = docs.join(labels, "idx", "left").select("idx", F.when(F.col("quality") == 0, "other").otherwise(F.col("name")).alias("name"), (F.col("shard") + F.coalesce("toxic", F.lit(0))).alias("shard"))
+    return ig.check_dataset(docs.join(labels.select("idx"), "idx", "left_semi"), meta)
 
 
-@query("""WITH d AS (SELECT doc_id // 64 AS shard, doc_id, sha256(encode(text)) AS sha, octet_length(encode(text)) AS size FROM (SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1))
-SELECT shard, count(*) FILTER (WHERE doc_id % 9 <> 0) AS samples, count(*) FILTER (WHERE doc_id % 9 = 0) AS missing, CAST(0 AS BIGINT) AS unexpected, count(*) FILTER (WHERE doc_id % 9 <> 0 AND doc_id % 5 = 0) AS wrong_label,
-count(*) FILTER (WHERE doc_id % 9 <> 0 AND size > 3000) AS oversized, count(*) FILTER (WHERE doc_id % 9 <> 0 AND doc_id % 11 = 0 AND size < 2999) AS wrong_digest, CAST(0 AS BIGINT) AS stray_regions FROM d GROUP BY shard""")
+@query("""WITH d AS (SELECT doc_id // 64 AS shard, octet_length(encode(text)) AS size, quality, toxic, l.doc_id IS NOT NULL AS here FROM (SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1) d LEFT JOIN labels l USING (doc_id))
+SELECT shard, count(*) FILTER (WHERE here) AS samples, count(*) FILTER (WHERE NOT here) AS missing, CAST(0 AS BIGINT) AS unexpected, count(*) FILTER (WHERE here AND toxic = 1) AS wrong_label,
+count(*) FILTER (WHERE here AND size > 3000) AS oversized, count(*) FILTER (WHERE here AND quality = 0 AND size < 2999) AS wrong_digest, CAST(0 AS BIGINT) AS stray_regions FROM d GROUP BY shard""")
 def sha_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored blobs are those of labelled documents; toxic ones have a wrong label and poor ones a changed byte."""
     docs = tb.read(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
     rows = docs.select(F.floor(F.col("doc_id") / 64).alias("shard"), "doc_id", F.sha2("text", 256).alias("name"), F.encode("text", "UTF-8").alias("data"))
     expected = rows.select("shard", "name", F.lit(1).alias("label"))
-    tampered = F.when(F.col("doc_id") % 11 == 0, F.concat(F.col("data"), F.lit(b"!"))).otherwise(F.col("data"))
     # a changed blob is one byte longer
-    size = F.length("data")
-    tampered = F.when((F.col("doc_id") % 11 == 0) & (size >= 2999), F.col("data")).otherwise(tampered)
-    stored = rows.where("doc_id % 9 <> 0").select("shard", "name", tampered.alias("data"), (F.col("doc_id") % 5 != 0).cast("int").alias("label"))
+    changed = F.when((F.col("quality") == 0) & (F.length("data") < 2999), F.concat(F.col("data"), F.lit(b"!"))).otherwise(F.col("data"))
+    labelled = rows.join(tb.read(spark, sf_dir, "labels"), "doc_id")
+    stored = labelled.select("shard", "name", changed.alias("data"), (F.col("toxic") != 1).cast("int").alias("label"))
     return ig.verify_shards(stored, expected, expected.select("shard", "name"), 3000)
 
 
-@query("SELECT count(*) AS rows, max(least(octet_length(encode(text)), 2000)) AS max_size, least(count(*), 40) AS checked, CAST(0 AS BIGINT) AS differing FROM documents")
+@query("""WITH k AS (SELECT doc_id FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 200), s AS (SELECT doc_id, encode(text) AS data, quality FROM documents LEFT JOIN labels USING (doc_id))
+SELECT (SELECT count(*) FROM s) AS rows, (SELECT CAST(max(octet_length(data)) AS BIGINT) FROM s) AS max_size, count(*) AS checked, count(*) FILTER (WHERE quality = 0) AS differing FROM k JOIN s USING (doc_id)""")
 def validated_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of stored blobs against their sources; those of poor documents were stored with a changed first byte."""
     docs = tb.samples(spark, sf_dir).select("name", "data")
-    return ig.validate_sample(docs.withColumn("data", F.substring("data", 1, 2000)), docs, 2000, 40)
+    poor = tb.read(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), (F.col("quality") == 0).alias("poor"))
+    first = F.when(F.substring("data", 1, 1) == F.lit(b"#"), F.lit(b"!")).otherwise(F.lit(b"#"))
+    rest = F.expr("substring(data, 2, length(data))")
+    stored = docs.join(poor, "name", "left").select("name", F.when(F.col("poor") & (F.length("data") > 0), F.concat(first, rest)).otherwise(F.col("data")).alias("data"))
+    return ig.validate_sample(stored, docs, 2**31 - 1, 200)
 
 
 @query("SELECT doc_id AS name, left(sha256(encode(text)), 1) || '/' || substr(sha256(encode(text)), 2, 1) || '/' || sha256(encode(text)) AS path, sha256(encode(text)) || ' ' || coalesce(toxic, 0) AS line FROM documents LEFT JOIN labels USING (doc_id)")
@@ -126,21 +137,30 @@ def timestamp_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.join(times, "name", "left").select("name", F.coalesce("ts", F.lit(-1).cast("long")).alias("ts"))
 
 
-@query("SELECT doc_id AS name, coalesce(toxic, 0) AS label, CAST(length(text) AS DOUBLE) AS a, CAST(octet_length(encode(text)) AS DOUBLE) AS b FROM documents LEFT JOIN labels USING (doc_id)")
+@query(f"""{BYTES}, h AS (SELECT name, byte, count(*) AS c, max(size) AS size FROM bytes GROUP BY 1, 2), s AS (SELECT name, sum(c * ((byte * 7) % 13 - 6)) AS a, sum(c * ((byte * 5) % 11 - 5)) AS b, max(size) AS size FROM h GROUP BY name)
+SELECT d.doc_id AS name, coalesce(toxic, 0) AS label, round(coalesce(a / CAST(size AS DOUBLE), 0), 6) AS a, round(coalesce(b / CAST(size AS DOUBLE), 0), 6) AS b FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN s ON s.name = d.doc_id""")
 def linear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scorer of the user's: here characters and bytes as the two logits."""
+    """A linear scorer of the user's over the shares of byte values in a blob."""
+    import numpy as np
+
+    values = np.arange(256)
+    weights = np.stack([values * 7 % 13 - 6, values * 5 % 11 - 5], axis=1).astype(float)
+
+    def model(blobs: list[bytes]) -> np.ndarray:
+        counts = np.stack([np.bincount(np.frombuffer(b, np.uint8), minlength=256) for b in blobs])
+        return counts @ weights / np.maximum(1, counts.sum(axis=1, keepdims=True))
+
     samples = tb.samples(spark, sf_dir).withColumn("label", F.coalesce("label", F.lit(0)))
-    scored = store.score_blobs(samples, lambda blobs: [(len(b.decode()), len(b)) for b in blobs])
-    return scored.select("name", "label", F.col("logits")[0].alias("a"), F.col("logits")[1].alias("b"))
+    scored = store.score_blobs(samples, model)
+    return scored.select("name", "label", F.round(F.col("logits")[0], 6).alias("a"), F.round(F.col("logits")[1], 6).alias("b"))
 
 
-@query(D + " SELECT count(*) AS rows, CAST(count(DISTINCT name) AS BIGINT) AS names, CAST(0 AS BIGINT) AS over FROM docs")
+@query("""WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, CAST(ceil(octet_length(encode(text)) / 4096.0) * 4096 AS BIGINT) AS p FROM documents),
+w AS (SELECT idx, p AS held, 0 AS shard FROM n WHERE idx = 0 UNION ALL SELECT n.idx, CASE WHEN held + p > 65536 THEN p ELSE held + p END, CASE WHEN held + p > 65536 THEN shard + 1 ELSE shard END FROM w JOIN n ON n.idx = w.idx + 1)
+SELECT idx, CAST(shard AS BIGINT) AS shard FROM w""")
 def byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next fit by bytes: every row has a shard, and no shard of several rows is over its budget."""
-    rows = rk.shards_by_bytes(packed(spark, sf_dir).drop("shard"), 65536)
-    by_shard = rows.groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    over = by_shard.where("n > 1 AND size > 65536").agg(F.count("*").alias("over"))
-    return rows.agg(F.count("*").alias("rows"), F.count_distinct("name").alias("names")).crossJoin(over)
+    """Next fit by bytes over all documents in order."""
+    return rk.shards_by_bytes(packed(spark, sf_dir).drop("shard"), 65536).select("idx", "shard")
 
 
 @query("""SELECT p_partkey AS name, CASE WHEN p_size & 32 <> 0 THEN 'CODE' WHEN p_size & 16 <> 0 THEN 'DATA' ELSE 'OTHER' END AS class, (p_size & 8) <> 0 AS writable FROM part""")
@@ -164,3 +184,10 @@ def flagged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = tb.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").cast("long").alias("flags"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + 10).cast("long").alias("end"))
     return layout.flag_ranges(parts, {"MEM_EXECUTE": 1, "MEM_READ": 2, "MEM_WRITE": 4})
+
+
+@query(D + ", r AS (SELECT o_orderkey AS name, o_orderkey % 3 AS shard, o_custkey AS value FROM orders) SELECT p.name, p.shard, r.value FROM packed p JOIN r ON r.name = p.name AND r.shard = p.shard")
+def region_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows kept by name and shard, asked for by both: an order's customer where the document of its number lies in its shard."""
+    kept = tb.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 3).alias("shard"), F.col("o_custkey").alias("value"))
+    return store.lookup_many(kept, packed(spark, sf_dir).select("name", "shard"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import io
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytebasin.functions.scalars import starts_with_magic
+from bytebasin.operators.intervals import point_join
+
 SIZE_SCHEMA = "idx long, name string, shard int, offset long, size long"
 META_SCHEMA = "idx long, name string, shard int, timestamp long, malware int, family string"
 ZSTD = b"\x28\xb5\x2f\xfd"
@@ -34,53 +38,71 @@ def write_index(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws(" ", "sha", F.col("label").cast("int").cast("string")).alias("value")).write.text(path)
 
 
-def read_archives(spark: SparkSession, folder: str, magics: tuple[bytes, ...] = (b"MZ",), max_length: int | None = None) -> DataFrame:
-    """(archive, name, data) of the members of zip files; folders, ``.pdb``, empty ones and other magics are left out.
+def archive_members(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive, name, data, reject_reason) of the members of zip files that are no folders and not empty.
 
-    A task opens an archive at a time and gives its members one by one.
+    A task opens an archive at a time and gives its members one by one. What can't be read is a row with its reason and
+    no data: an archive that is none, or a member of one.
     """
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zipfile
 
+        def row(archive: str, name: str | None, data: bytes | None, reason: str | None) -> pd.DataFrame:
+            return pd.DataFrame({"archive": [archive], "name": [name], "data": [data], "reject_reason": [reason]}, dtype=object)
+
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if not info.is_dir() and info.file_size:
-                            yield pd.DataFrame({"archive": [path], "name": [info.filename], "data": [z.read(info)]})
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                except (zipfile.BadZipFile, OSError, ValueError) as e:
+                    yield row(path, None, None, f"archive: {e}")
+                    continue
+                for info in archive.infolist():
+                    if not info.is_dir() and info.file_size:
+                        try:
+                            yield row(path, info.filename, archive.read(info), None)
+                        except (zipfile.BadZipFile, OSError, ValueError, RuntimeError, NotImplementedError, zlib.error) as e:
+                            yield row(path, info.filename, None, f"member: {e}")
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder)
-    rows = files.select("path", "content").mapInPandas(members, "archive string, name string, data binary")
-    wanted = F.lit(False)
-    for m in magics:
-        wanted |= F.substring("data", 1, len(m)) == F.lit(m)
-    kept = rows.where(wanted & ~F.lower("name").endswith(".pdb"))
+    return files.select("path", "content").mapInPandas(members, "archive string, name string, data binary, reject_reason string")
+
+
+def read_archives(spark: SparkSession, folder: str, magics: tuple[bytes, ...] = (b"MZ",), max_length: int | None = None) -> DataFrame:
+    """(archive, name, data) of the members of zip files; ``.pdb``, other magics and what can't be read are left out."""
+    rows = archive_members(spark, folder).where("reject_reason IS NULL").drop("reject_reason")
+    kept = rows.where(starts_with_magic(F.col("data"), magics) & ~F.lower("name").endswith(".pdb"))
     return kept.withColumn("data", F.substring("data", 1, max_length)) if max_length else kept
 
 
 def read_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Samples of a packed data set: manifest and metadata joined, each blob cut out of its shard's container.
 
-    ``size/*.csv`` and ``meta/*.csv`` with a header, containers in ``data/`` ending in the shard's number; a container
-    that begins with the zstd magic is inflated once before the join.
+    ``size/*.csv`` and ``meta/*.csv`` with a header, containers in ``data/`` ending in the shard's number. A shard's rows
+    of the manifest are put together first and meet their container once, in the task that inflates it if it begins with
+    the zstd magic, so that a container isn't copied for each sample.
     """
 
-    def inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
 
         for batch in batches:
-            plain = [pa.CompressedInputStream(io.BytesIO(c), "zstd").read() if c[:4] == ZSTD else c for c in batch["content"]]
-            yield batch.assign(content=plain)
+            for shard, content, entries in zip(batch["shard"], batch["content"], batch["entries"]):
+                plain = pa.CompressedInputStream(io.BytesIO(content), "zstd").read() if content[:4] == ZSTD else content
+                for i in range(0, len(entries), 64):
+                    rows = [dict(e) | {"shard": shard, "data": plain[e["offset"] : e["offset"] + e["size"]]} for e in entries[i : i + 64]]
+                    yield pd.DataFrame(rows)[["idx", "name", "shard", "data", "timestamp", "malware", "family", "size"]]
 
     sizes = spark.read.schema(SIZE_SCHEMA).option("header", True).csv(f"{folder}/size")
     meta = spark.read.schema(META_SCHEMA).option("header", True).csv(f"{folder}/meta")
     files = spark.read.format("binaryFile").load(f"{folder}/data")
     shard = F.regexp_extract("path", r"(\d+)(?:\.[A-Za-z0-9.]*)?$", 1).cast("int")
-    boxes = files.select(shard.alias("shard"), "content").mapInPandas(inflate, "shard int, content binary")
-    rows = sizes.join(meta, ["idx", "name", "shard"]).join(boxes, "shard")
-    data = F.expr("substring(content, CAST(offset + 1 AS INT), CAST(size AS INT))")
-    return rows.select("idx", "name", "shard", data.alias("data"), (F.col("malware") == 1).alias("label"), F.nullif("timestamp", F.lit(-1)).alias("ts"), F.coalesce("family", F.lit("")).alias("family"), "size")
+    entry = F.struct("idx", "name", "offset", "size", F.coalesce("timestamp", F.lit(-1).cast("long")).alias("timestamp"), F.coalesce("malware", F.lit(-1)).alias("malware"), F.coalesce("family", F.lit("")).alias("family"))
+    entries = sizes.join(meta, ["idx", "name", "shard"]).groupBy("shard").agg(F.collect_list(entry).alias("entries"))
+    boxes = files.select(shard.alias("shard"), "content").join(entries, "shard")
+    rows = boxes.mapInPandas(cut, "idx long, name string, shard int, data binary, timestamp long, malware int, family string, size long")
+    return rows.select("idx", "name", "shard", "data", (F.col("malware") == 1).alias("label"), F.nullif("timestamp", F.lit(-1)).alias("ts"), "family", "size")
 
 
 def write_packed(samples: DataFrame, folder: str) -> None:
@@ -101,10 +123,15 @@ def lookup(rows: DataFrame, name, shard: int | None = None, key: str = "name") -
     return found
 
 
+def lookup_many(rows: DataFrame, keys: DataFrame, key: str = "name") -> DataFrame:
+    """Rows of many (key, shard) pairs; pairs without a row have none here."""
+    return keys.select(key, "shard").join(rows, [key, "shard"])
+
+
 def shard_of(idx: DataFrame, samples: DataFrame) -> DataFrame:
-    """The shard of every idx, by the least and greatest idx of each shard; a row for each shard is sent around."""
-    spans = samples.groupBy("shard").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
-    return idx.join(F.broadcast(spans), (F.col("idx") >= F.col("lo")) & (F.col("idx") <= F.col("hi"))).select("idx", "shard")
+    """The shard of every idx, by the least and greatest idx of each shard; met in buckets, not shard by shard."""
+    spans = samples.groupBy("shard").agg(F.min("idx").alias("start"), (F.max("idx") + 1).alias("end")).withColumn("all", F.lit(1))
+    return point_join(idx.select("idx", F.col("idx").alias("pos"), F.lit(1).alias("all")), spans, key="all").select("idx", "shard")
 
 
 def fan_out(name: Column, depth: int = 2) -> Column:
