@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from bytebasin.functions.scalars import byte_values, pad_length
 from bytebasin.operators import batching as bt
 from bytebasin.operators import intervals as iv
+from bytebasin.plans.blob_queries import BYTES
 from bytebasin.registry import query
 from bytebasin.sources import tables as tb
 
-B = """WITH docs AS (SELECT doc_id AS name, hex(encode(text)) AS h FROM documents), b AS (SELECT name, h, length(h) // 2 AS n, row_number() OVER (ORDER BY name) - 1 AS rank FROM docs),
+B = """WITH docs AS (SELECT doc_id AS name, octet_length(encode(text)) AS n FROM documents), b AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS rank FROM docs),
 batched AS (SELECT *, rank // 8 AS batch, rank % 8 AS slot FROM b)"""
-TOKENS = """, l AS (SELECT batch, CAST(ceil(greatest(max(n), 16) / 8.0) * 8 AS BIGINT) AS length FROM batched GROUP BY batch),
-t AS (SELECT batch, slot, name, n, length, unnest(range(0, length)) AS i, h FROM batched JOIN l USING (batch)),
-v AS (SELECT batch, slot, name, n, length, i, CASE WHEN i < n THEN strpos('0123456789ABCDEF', h[2 * i + 1]) * 16 - 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) ELSE 0 END AS token FROM t)"""
+#: Tokens of each document in order, comma-joined, and their sum.
+TOKENS = BYTES.replace("WITH", ",", 1) + ", said AS (SELECT name, string_agg(CAST(byte + 1 AS VARCHAR), ',' ORDER BY pos) AS tokens, CAST(sum(byte + 1) AS BIGINT) AS total, count(*) AS n FROM bytes GROUP BY name)"
 
 
 def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,15 +36,16 @@ def pad_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("batch", pad_length(F.col("most"), 100, 64).alias("multiple"), pad_length(F.col("most"), bins=(1024, 8192, 65536, 1048576)).alias("bin"))
 
 
-@query(B + TOKENS + " SELECT batch, length, CAST(count(*) FILTER (WHERE i = 0) AS BIGINT) AS n, md5(string_agg(CAST(token AS VARCHAR), ',' ORDER BY slot, i)) AS digest FROM v GROUP BY batch, length")
+@query(B + TOKENS + """, l AS (SELECT batch, CAST(ceil(greatest(max(n), 16) / 8.0) * 8 AS BIGINT) AS length FROM batched GROUP BY batch),
+r AS (SELECT batch, slot, length, CASE WHEN batched.n = 0 THEN substr(repeat(',0', length), 2) ELSE tokens || repeat(',0', length - batched.n) END AS padded FROM batched JOIN l USING (batch) LEFT JOIN said USING (name))
+SELECT batch, length, count(*) AS n, md5(string_agg(padded, ',' ORDER BY slot)) AS digest FROM r GROUP BY batch, length""")
 def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bt.collate(_batched(spark, sf_dir), least=16, multiple=8)
     tokens = F.array_join(F.transform(F.flatten("tokens"), lambda x: x.cast("string")), ",")
     return out.select("batch", "length", F.size("names").cast("long").alias("n"), F.md5(tokens).alias("digest"))
 
 
-@query(B + """, t AS (SELECT name, n, unnest(range(0, n)) AS i, h FROM batched), v AS (SELECT name, i, strpos('0123456789ABCDEF', h[2 * i + 1]) * 16 - 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) AS token FROM t)
-SELECT name, count(*) AS n, CAST(sum(token) AS BIGINT) AS total, md5(string_agg(CAST(token AS VARCHAR), ',' ORDER BY i)) AS digest FROM v GROUP BY name""")
+@query(B + TOKENS + " SELECT name, n, total, md5(tokens) AS digest FROM said")
 def token_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _batched(spark, sf_dir).where(F.size("values") > 0).select("name", F.size("values").cast("long").alias("n"), bt.shifted(F.col("values")).alias("tokens"))
     total = F.aggregate("tokens", F.lit(0).cast("long"), lambda t, x: t + x)
@@ -81,7 +82,7 @@ def structural_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT token, count(*) AS n FROM rows GROUP BY token), s AS (SELECT sum(n) AS total, 40 - count(*) AS budget FROM f),
 p AS (SELECT token, CAST(n AS DOUBLE) / total * budget AS share FROM f, s), l AS (SELECT token, share, CASE WHEN share <= 1 THEN 1 ELSE CAST(2 ** floor(log2(share)) AS BIGINT) END AS low FROM p),
 a0 AS (SELECT list(CASE WHEN share <= 1 OR share - low < 2 * low - share THEN low ELSE 2 * low END ORDER BY token) AS a, list(token ORDER BY token) AS t FROM l),
-walk AS (SELECT 0 AS i, a, t FROM a0 UNION ALL SELECT i + 1, list_transform(a, (x, j) -> CASE WHEN (j - 1) = i % len(a) AND x > 1 THEN x // 2 ELSE x END), t FROM walk, s WHERE list_sum(a) > budget),
+walk AS (SELECT 0 AS i, a, t FROM a0 UNION ALL SELECT i + 1, list_transform(a, lambda x, j: CASE WHEN (j - 1) = i % len(a) AND x > 1 THEN x // 2 ELSE x END), t FROM walk, s WHERE list_sum(a) > budget),
 done AS (SELECT a, t FROM walk ORDER BY i DESC LIMIT 1), k AS (SELECT unnest(t) AS token, unnest(a) AS copies FROM done),
 b AS (SELECT token, copies, (SELECT max(token) + 1 FROM k) + coalesce(sum(copies) OVER (ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM k WHERE copies > 1)
 SELECT CAST(token AS BIGINT) AS token, CAST(CASE WHEN base IS NULL THEN token ELSE base + ((pos + row * 7) & (copies - 1)) END AS BIGINT) AS salted, count(*) AS n FROM rows LEFT JOIN b USING (token) GROUP BY 1, 2""")

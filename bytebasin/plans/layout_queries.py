@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bytebasin.operators import layout
 from bytebasin.registry import query
 from bytebasin.sources import tables as tb
+from bytebasin.sources.shared import checkpointed
 
 #: Where the headers lie and what follows them.
 E, OPTIONAL, RAW = 0x80, 0xE0, 0x400
@@ -48,11 +49,12 @@ def executables(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit("4D5A"), _zeros(58), _le(E, 4), _zeros(64), F.lit("50450000"), _le(0x14C, 2), _le(n, 2), _le(F.col("name") * 1000, 4), _zeros(8), _le(OPTIONAL, 2), _zeros(2))
     optional = F.concat(_le(0x10B, 2), _zeros(58), _le(RAW, 4), _zeros(28), _le(16, 4), directories)
     headers = F.rpad(F.concat(head, optional, *sections), 2 * RAW, "0")
-    return part.select("name", F.unhex(F.concat(headers, *bodies, F.repeat(F.lit("AB"), k.cast("int")))).alias("data"))
+    blobs = part.select("name", F.unhex(F.concat(headers, *bodies, F.repeat(F.lit("AB"), k.cast("int")))).alias("data"))
+    return checkpointed(blobs)  # else each field that is read would put the bytes together again
 
 
 P = """WITH p AS (SELECT p_partkey AS name, CAST(p_size AS BIGINT) AS k, CAST(p_size % 3 + 1 AS BIGINT) AS n FROM part), f AS (SELECT *, 1024 + 32 * n * (n + 1) AS tail, 1024 + 32 * n * (n + 1) + k AS size FROM p),
-s AS (SELECT name, i AS sec_no, k, n, size, 64 * (i + 1) AS bytes, 1024 + 32 * i * (i + 1) AS at, CAST([1610612768, 1073741888, 3221225536, 2147483648][(k + i) % 4 + 1] AS BIGINT) AS flags, k % 5 = 0 AND i = 1 AS managed FROM (SELECT *, unnest(range(0, n)) AS i FROM f)),
+s AS (SELECT name, i AS sec_no, k, n, size, 64 * (i + 1) AS bytes, 1024 + 32 * i * (i + 1) AS off, CAST([1610612768, 1073741888, 3221225536, 2147483648][(k + i) % 4 + 1] AS BIGINT) AS flags, k % 5 = 0 AND i = 1 AS managed FROM (SELECT *, unnest(range(0, n)) AS i FROM f)),
 h AS (SELECT name, unnest(['HEADERS', 'DOSHEADER', 'DOSSTUB', 'COFFHEADER', 'OPTHEADER', 'SECTABLE']) AS label, unnest([0, 0, 64, 132, 152, 376]) AS "start", unnest([1024, 64, 128, 152, 376, 376 + 40 * n]) AS "end" FROM f),
 d AS (SELECT name, 0 AS dir, 'EXPORT' AS label, 1040 AS "start", 1056 AS "end" FROM f WHERE k % 2 = 0 UNION ALL SELECT name, 4, 'CERTIFICATE', tail, size FROM f UNION ALL SELECT name, 14, 'CLR', 1024, least(size, 1096) FROM f WHERE k % 5 = 0)"""
 
@@ -62,7 +64,7 @@ def executable_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.headers(executables(spark, sf_dir)).drop("data", "plus")
 
 
-@query(P + " SELECT name, sec_no, 4096 * (sec_no + 1) AS vaddr, bytes AS vsize, at AS raw_off, bytes AS raw_size, flags FROM s")
+@query(P + " SELECT name, sec_no, 4096 * (sec_no + 1) AS vaddr, bytes AS vsize, off AS raw_off, bytes AS raw_size, flags FROM s")
 def executable_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.sections(layout.headers(executables(spark, sf_dir))).drop("size")
 
@@ -92,11 +94,11 @@ RW = f"CASE WHEN {CLASS} = 'OTHER' THEN '' WHEN flags & 2147483648 <> 0 THEN 'RW
 @query(P + f""", bits AS (SELECT unnest(['CNT_CODE', 'CNT_INITIALIZED_DATA', 'MEM_EXECUTE', 'MEM_READ', 'MEM_WRITE']) AS label, unnest([32, 64, 536870912, 1073741824, 2147483648]) AS bit),
 r AS (SELECT name, 'COARSE' AS level, 'FILE' AS label, 0 AS "start", size AS "end" FROM f
 UNION ALL SELECT name, l, 'HEADERS', 0, 1024 FROM f, (SELECT unnest(['ROUGH', 'MIDDLE']) AS l) UNION ALL SELECT name, l, 'OVERLAY', tail, size FROM f, (SELECT unnest(['ROUGH', 'MIDDLE', 'FINE']) AS l)
-UNION ALL SELECT name, 'ROUGH', CASE WHEN managed THEN 'DNETSEC' ELSE 'OTHRSEC' END, at, at + bytes FROM s
-UNION ALL SELECT name, 'MIDDLE', CASE WHEN managed THEN 'DNET' ELSE '' END || {CLASS}, at, at + bytes FROM s
-UNION ALL SELECT name, 'FINE', CASE WHEN managed THEN 'DNET' ELSE '' END || {RW} || {CLASS}, at, at + bytes FROM s
+UNION ALL SELECT name, 'ROUGH', CASE WHEN managed THEN 'DNETSEC' ELSE 'OTHRSEC' END, off, off + bytes FROM s
+UNION ALL SELECT name, 'MIDDLE', CASE WHEN managed THEN 'DNET' ELSE '' END || {CLASS}, off, off + bytes FROM s
+UNION ALL SELECT name, 'FINE', CASE WHEN managed THEN 'DNET' ELSE '' END || {RW} || {CLASS}, off, off + bytes FROM s
 UNION ALL SELECT name, 'FINE', label, "start", "end" FROM h WHERE label <> 'HEADERS' UNION ALL SELECT name, 'FINE', label, "start", "end" FROM d)
 SELECT name, 'partitions' AS "group", level, label, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM r
-UNION ALL SELECT name, 'characteristics', NULL, label, at, at + bytes FROM s, bits WHERE flags & bit <> 0""")
+UNION ALL SELECT name, 'characteristics', NULL, label, off, off + bytes FROM s, bits WHERE flags & bit <> 0""")
 def executable_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.structures(executables(spark, sf_dir))

@@ -184,8 +184,8 @@ def dense_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH found AS (SELECT page_id AS name, html, unnest(['head', 'script', 'style']) AS label FROM pages),
 parts AS (SELECT name, label, regexp_extract_all(html, '(?s)<' || label || '.*?</' || label || '>') AS found, regexp_split_to_array(html, '(?s)<' || label || '.*?</' || label || '>') AS between FROM found),
 e AS (SELECT name, label, found, between, unnest(range(1, len(found) + 1)) AS k FROM parts)
-SELECT name, label, CAST(list_sum(list_transform(between[1:k], x -> octet_length(encode(x)))) + coalesce(list_sum(list_transform(found[1:k - 1], x -> octet_length(encode(x)))), 0) AS BIGINT) AS "start",
-CAST(list_sum(list_transform(between[1:k], x -> octet_length(encode(x)))) + list_sum(list_transform(found[1:k], x -> octet_length(encode(x)))) AS BIGINT) AS "end" FROM e""")
+SELECT name, label, CAST(list_sum(list_transform(between[1:k], lambda x: octet_length(encode(x)))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: octet_length(encode(x)))), 0) AS BIGINT) AS "start",
+CAST(list_sum(list_transform(between[1:k], lambda x: octet_length(encode(x)))) + list_sum(list_transform(found[1:k], lambda x: octet_length(encode(x)))) AS BIGINT) AS "end" FROM e""")
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte ranges of all head, script and style elements of every page."""
     pages = tb.read(spark, sf_dir, "pages").select(F.col("page_id").alias("name"), "html")

@@ -48,16 +48,16 @@ def split_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Places of one split in each class: (label, lo, hi) of ``{name}`` from what ``{left}`` has, in SQL.
-TAKE = """, {name}_x AS (SELECT label, avail, at, w * {want} AS x FROM {left}, c), {name}_f AS (SELECT *, least(CAST(floor(x + 1e-9) AS BIGINT), avail) AS fl, x - floor(x + 1e-9) AS r FROM {name}_x),
+TAKE = """, {name}_x AS (SELECT label, avail, pos0, w * {want} AS x FROM {left}, c), {name}_f AS (SELECT *, least(CAST(floor(x + 1e-9) AS BIGINT), avail) AS fl, x - floor(x + 1e-9) AS r FROM {name}_x),
 {name}_m AS (SELECT *, (SELECT {want} FROM c) - (SELECT sum(fl) FROM {name}_f) - coalesce(sum(avail - fl) OVER (ORDER BY r DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS missing FROM {name}_f),
-{name} AS (SELECT label, at AS lo, at + fl + least(greatest(missing, 0), avail - fl) AS hi, avail FROM {name}_m),
-{name}_left AS (SELECT t.label, t.avail - (t.hi - t.lo) AS avail, t.hi AS at, w FROM {name} t JOIN wanted USING (label))"""
+{name} AS (SELECT label, pos0 AS lo, pos0 + fl + least(greatest(missing, 0), avail - fl) AS hi, avail FROM {name}_m),
+{name}_left AS (SELECT t.label, t.avail - (t.hi - t.lo) AS avail, t.hi AS pos0, w FROM {name} t JOIN wanted USING (label))"""
 THREE = "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
 TAKEN = TAKE.format(name="tr", left="wanted", want="ca") + TAKE.format(name="vl", left="tr_left", want="cb") + TAKE.format(name="ts", left="vl_left", want="(n - ca - cb)")
 
 
 @query(T + COUNTS + f""", three AS (SELECT CAST(o_orderkey AS BIGINT) AS idx, {THREE} AS label FROM orders),
-wanted AS (SELECT label, count(*) AS avail, CAST(0 AS BIGINT) AS at, CASE label WHEN 0 THEN 0.5 ELSE 0.25 END AS w FROM three GROUP BY label){TAKEN},
+wanted AS (SELECT label, count(*) AS avail, CAST(0 AS BIGINT) AS pos0, CASE label WHEN 0 THEN 0.5 ELSE 0.25 END AS w FROM three GROUP BY label){TAKEN},
 q AS (SELECT 0 AS split, * FROM tr UNION ALL SELECT 1, * FROM vl UNION ALL SELECT 2, * FROM ts),
 ranked AS (SELECT idx, label, row_number() OVER (PARTITION BY label ORDER BY md5('4:' || idx), idx) - 1 AS rank FROM three)
 SELECT r.idx, r.label, q.split FROM ranked r JOIN q ON q.label = r.label AND r.rank >= q.lo AND r.rank < q.hi""")
@@ -74,7 +74,7 @@ PRE = ", ranked AS (SELECT idx, label, row_number() OVER (ORDER BY ts, idx) AS r
 
 @query(T + COUNTS + PRE + """, m AS (SELECT *, n - ca - cb AS cc, greatest(0, ca - 100) AS p_lo, greatest(0, ca - 100, ca + cb - 100) AS q_lo, least(n, ca + cb + 100) AS q_hi FROM c),
 a AS (SELECT *, unnest(range(p_lo, least(n, ca + 100) + 1, 20)) AS p FROM m), b AS (SELECT *, unnest(range(greatest(p, q_lo), q_hi + 1, 20)) AS q FROM a),
-g AS (SELECT n, ca, cb, cc, p, q FROM b UNION SELECT n, ca, cb, cc, ca, ca + cb FROM m), h AS (SELECT *, q + least(cc, n - q) AS e FROM g),
+gr AS (SELECT n, ca, cb, cc, p, q FROM b UNION SELECT n, ca, cb, cc, ca, ca + cb FROM m), h AS (SELECT *, q + least(cc, n - q) AS e FROM gr),
 v AS (SELECT h.*, CAST(x.pos AS DOUBLE) / p AS r0, CAST(y.pos - x.pos AS DOUBLE) / (q - p) AS r1, CAST(z.pos - y.pos AS DOUBLE) / (e - q) AS r2 FROM h JOIN pre x ON x.rank = p JOIN pre y ON y.rank = q JOIN pre z ON z.rank = e),
 s AS (SELECT *, round(2.0 * abs(r0 - r1) + 2.0 * abs(r0 - r2) + 2.0 * abs(r1 - r2) + 0.0001 * (abs(p - ca) + abs(q - p - cb) + abs(e - q - cc)), 9) AS score FROM v)
 SELECT p, q, e AS "end", round(score, 6) AS score FROM s ORDER BY s.score, NOT (p = ca AND q = ca + cb), p, q LIMIT 1""")
@@ -90,9 +90,9 @@ TRIM = "(SELECT min(t) FROM (SELECT unnest(range(0, {length} + 1, 10)) AS t FROM
 
 @query(T + COUNTS + PRE + f""", m AS (SELECT *, ca + cb AS cq FROM c),
 t AS (SELECT {TRIM.format(length="ca", lo="k.t", hi="m.ca")} AS t0, {TRIM.format(length="cb", lo="m.ca", hi="m.cq - k.t")} AS t1, {TRIM.format(length="(n - cq)", lo="m.cq", hi="m.n - k.t")} AS t2),
-f AS (SELECT CASE WHEN t0 IS NULL OR t1 IS NULL OR t2 IS NULL THEN [0, 0, 0] ELSE [t0, t1, t2] END AS t FROM t)
-SELECT idx, CASE WHEN rank <= ca THEN 0 WHEN rank <= cq THEN 1 ELSE 2 END AS split FROM ranked, m, f
-WHERE (rank > t[1] AND rank <= ca) OR (rank > ca AND rank <= cq - t[2]) OR (rank > cq AND rank <= n - t[3])""")
+cut AS (SELECT CASE WHEN t0 IS NULL OR t1 IS NULL OR t2 IS NULL THEN [0, 0, 0] ELSE [t0, t1, t2] END AS t FROM t)
+SELECT idx, CASE WHEN rank <= ca THEN 0 WHEN rank <= cq THEN 1 ELSE 2 END AS split FROM ranked, m, cut
+WHERE (rank > cut.t[1] AND rank <= ca) OR (rank > ca AND rank <= cq - cut.t[2]) OR (rank > cq AND rank <= n - cut.t[3])""")
 def split_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A temporal split whose splits are trimmed to come near given class weights."""
     return _named(sp.balanced_split(tb.timed_samples(spark, sf_dir), SHARES, {0: 66, 1: 34}, step=10, tolerance=0.004))
