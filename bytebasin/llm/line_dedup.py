@@ -23,18 +23,24 @@ _MARK = "\x01"
 MIN_WORDS = 25
 #: Lines of a window of winnowing at most.
 WINDOW = 4
+#: Bytes from which a line is selected before shorter ones.
+LONG_LINE = 24
 #: Lines whose words are added up in one go.
 _BLOCK = 64
 
 
 def lines_of(text: Column) -> Column:
     """Lines of a text; joined, they are the text. A null or empty text has none."""
+    return F.when(F.length(text) > 0, F.filter(_parts(text), lambda x: x != "")).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
+
+
+def _parts(text: Column) -> Column:
+    """Lines of a text, and an empty one where it ends in one."""
     marked = text
     for end in ("\n", ". ", "! ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
     marked = F.replace(marked, F.lit(_MARK + "\n"), F.lit("\n"))
-    parts = F.when(F.contains(text, F.lit(_MARK)), F.split(text, LINE_END, -1)).otherwise(F.split(marked, _MARK, -1))
-    return F.when(F.length(text) > 0, F.filter(parts, lambda x: x != "")).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)"))
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, LINE_END, -1)).otherwise(F.split(marked, _MARK, -1))
 
 
 def plain(line: Column) -> Column:
@@ -42,6 +48,14 @@ def plain(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r\n")))
 
 
+def line_hash(line: Column) -> Column:
+    """64-bit hash of a plain line. Long lines have those below 0, so that windows select them first: short ones are what
+    texts have in common by chance."""
+    hash = F.xxhash64(line)
+    low = F.lit(-(2**63)).cast("long")
+    return F.when(F.octet_length(line) >= LONG_LINE, hash.bitwiseOR(low)).otherwise(hash.bitwiseAND(F.lit(2**63 - 1).cast("long")))
+
+
 def words_in(line: Column) -> Column:
     """Words of a plain line that is not blank: one more than the spaces within it."""
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
@@ -70,15 +84,15 @@ def _with_sums(df: DataFrame) -> DataFrame:
     return staged(out, upto=F.concat(parts, F.array(F.element_at("before", -1)))).drop("totals", "before")
 
 
-def _selected(start: Column, min_words: int) -> Column:
-    """The line that the window from ``start`` on selects: the first of least hash; null where the text is too short.
+def _selected(begin: Column, start: Column, min_words: int) -> Column:
+    """The line that the window from ``start`` on, at word ``begin``, selects: the first of least hash; null where the
+    text is too short.
 
     A window has ``min_words`` words or ``WINDOW`` lines, whichever takes fewer lines.
     """
-    begin = F.get("upto", start)
     length = F.lit(WINDOW)
     for n in reversed(range(1, WINDOW)):
-        length = F.when(F.get("upto", start + n) - begin >= min_words, n).otherwise(length)
+        length = F.when(F.get("upto", start + n) >= begin + min_words, n).otherwise(length)
     window = F.slice("hashes", start + 1, length)
     least = (start - 1 + F.array_position(window, F.array_min(window))).cast("int")
     # fewer lines than a window may have are left: they need the words
@@ -87,12 +101,12 @@ def _selected(start: Column, min_words: int) -> Column:
 
 def _hashed_lines(docs: DataFrame, min_words: int, doc_id: str, text: str) -> DataFrame:
     """(id, of, hashes, upto, fingerprints) of every document with enough words; lines that are not blank count alone."""
-    solid = F.filter(F.transform(lines_of(F.col("text")), plain), lambda x: x != "")
+    solid = F.filter(F.transform(_parts(F.col("text")), plain), lambda x: x != "")
     cut = staged(docs.select(_key(doc_id, text).alias("key"), F.col(text).alias("text")), solid=solid)
     cut = cut.where(F.size("solid") > 0).select("key", "solid")
-    out = staged(cut, hashes=F.transform("solid", lambda x: F.xxhash64(x)), words=F.transform("solid", words_in)).drop("solid")
+    out = staged(cut, hashes=F.transform("solid", line_hash), words=F.transform("solid", words_in)).drop("solid")
     out = _with_sums(out).where(F.element_at("upto", -1) >= min_words)
-    selected = F.transform("words", lambda n, i: _selected(i, min_words))
+    selected = F.transform("upto", lambda begin, i: _selected(begin, i, min_words))
     return staged(out, fingerprints=F.array_compact(F.array_distinct(selected))).select("key.*", "hashes", "words", "upto", "fingerprints")
 
 
