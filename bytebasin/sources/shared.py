@@ -23,3 +23,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written a folder to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
