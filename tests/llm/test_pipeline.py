@@ -72,3 +72,32 @@ def test_pieces_have_spans(spark, sf, documents):
         assert (r.ids, r.starts, r.ends) == (want[i].ids, want[i].starts, want[i].ends)
         assert len(r.starts) == len(r.ends) == len(r.ids) == r.n_tokens and r.starts[-1] == r.ends[-1] == len(raw)
         assert {b for s, e in zip(r.starts, r.ends) for b in range(s, e)} == set(range(len(raw))), t
+
+
+def test_columns_of_any_name_pass_through(spark, sf, documents):
+    names = ["__toxicity", "__hits", "__digest", "_digest", "of", "key", "seeds", "runs", "pieces"]
+    docs = documents.limit(20).select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names]).persist()
+    for _, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    found = sentencepieces.with_piece_digests(docs, tokenizer_file("piece_bpe_32k.model"))
+    assert all(r[n] == f"{n}{r.doc_id}" for r in found.collect() for n in names)
+
+
+def test_run_goes_on_after_the_last_stage_written(spark, sf, tmp_path, monkeypatch):
+    calls = []
+
+    def stage(name, fails=()):
+        def run(spark, docs, sf_dir):
+            calls.append(name)
+            if len(calls) in fails:
+                raise RuntimeError(name)
+            return docs.limit(3)
+
+        return name, run
+
+    monkeypatch.setattr(cp, "STAGES", [stage("one"), stage("two", fails=(2,)), stage("three")])
+    with pytest.raises(RuntimeError):
+        cp.run(spark, sf, f"{tmp_path}/p")
+    assert cp.run(spark, sf, f"{tmp_path}/p").count() == 3 and calls == ["one", "two", "two", "three"]
