@@ -1,7 +1,9 @@
 """Toxicity: segments against a quadratic search, accuracy on the fold that was held out, planted words."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -61,3 +63,68 @@ def test_small_and_odd_tables(spark):
         flat = tx.with_toxicity(docs, tx.fit_toxicity(docs, none)).select("toxicity.score").distinct().count()
         assert flat == 1
     assert tx.with_toxicity(docs.limit(0), model).count() == 0
+
+
+def plain_model(rows):
+    """Weights, lambda, K, and the evidence of a text, from training rows (label, text), step by step."""
+    n = [sum(y == k for y, _ in rows) for k in (0, 1)]
+    having = [Counter(f for y, t in rows if y == k for f in {f for w in tx.tokens_of(t) for f in tx.features_of(w)}) for k in (0, 1)]
+    weights = {}
+    for f in having[0] | having[1]:
+        a, b = having[1][f], having[0][f]
+        if a + b < 2:
+            continue
+        prior = tx.PRIOR * (a + b) / sum(n) + 0.01
+        odds = math.log((a + prior) / (n[1] + tx.PRIOR - a - prior + 1)) - math.log((b + prior) / (n[0] + tx.PRIOR - b - prior + 1))
+        z = odds / math.sqrt(1 / (a + prior) + 1 / (b + prior))
+        if abs(odds) >= tx.MIN_ODDS and (z >= tx.MIN_Z and a >= tx.MIN_SHARE * n[1] or z <= -tx.MIN_Z and b >= tx.MIN_SHARE * n[0]):
+            weights[f] = (odds, z)
+
+    def value(word):
+        found = [weights[f] for f in tx.features_of(word) if f in weights]
+        return max(found, key=lambda w: abs(w[1]))[0] if found else -tx.COST
+
+    def scores(text):
+        return [s for *_, s in brute_segments([value(w) for w in tx.tokens_of(text)])]
+
+    clean = [t for y, t in rows if not y]
+    words = [w for t in clean for w in tx.tokens_of(t)]
+    seen = Counter(v for v in map(value, words) if v != -tx.COST)
+    if not any(v > 0 for v in seen):
+        seen[5.0] = 0
+    p = {v: (c + 0.5) / (len(words) + 1) for v, c in seen.items()}
+    rest = max(1e-9, 1 - sum(p.values()))
+    low, high = 1e-6, 100.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        excess = sum(q * math.exp(min(500, middle * v)) for v, q in p.items()) + rest * math.exp(-middle * tx.COST) - 1
+        low, high = (middle, high) if excess < 0 else (low, middle)
+    rate = low
+    scale = len(clean) / sum(max(1, len(tx.tokens_of(t))) * math.exp(-rate * max(scores(t), default=0.0)) for t in clean)
+
+    def evidence(text):
+        return math.log(1 + sum(math.exp(rate * s) / (scale * max(1, len(tx.tokens_of(text)))) for s in scores(text)))
+
+    return weights, rate, scale, evidence
+
+
+def test_model_is_the_plain_one(spark):
+    rng = random.Random(4)
+    common, bad = [f"w{i}" for i in range(40)], ["rotten", "scoundrel", "vile"]
+    rows = []
+    for i in range(240):
+        words = rng.choices(common, k=rng.randint(3, 25))
+        if i % 4 == 0 or i % 37 == 0:
+            words[rng.randint(0, 2) : 2] = rng.choices(bad, k=rng.randint(1, 3))
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = tx.fit_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    training = [(y, t) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    weights, rate, scale, evidence = plain_model(training)
+    assert model.weights.keys() == weights.keys() and weights
+    assert all(model.weights[f] == pytest.approx(w) for f, w in weights.items())
+    assert (model.rate, model.scale) == (pytest.approx(rate, rel=1e-4), pytest.approx(scale, rel=1e-3))
+    got = {r.doc_id: r.toxicity for r in tx.with_toxicity(docs, model).collect()}
+    for i, t, _ in rows:
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(model.slope * evidence(t) + model.intercept))), abs=1e-3)
+        assert all(p.expected <= tx.MAX_EXPECTED for p in got[i].passages)
