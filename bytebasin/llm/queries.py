@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytebasin.llm import chat, common, decontaminate, fingerprints, line_dedup, ngram_join, pii, sentencepieces, token_counts, token_output, toxicity
+from bytebasin.llm import chat, common, decontaminate, fingerprints, line_dedup, merkle, ngram_join, pii, sentencepieces, token_counts, token_output, toxicity
 
 #: Where the public tokenizers' files lie; another folder by this variable.
 TOKENIZERS = os.environ.get("BYTEBASIN_TOKENIZERS", "")
@@ -121,6 +122,14 @@ def op10_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.with_piece_digests(docs, tokenizer_file("piece_bpe_32k.model")).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    later = merkle.digest(*[altered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    rows = merkle.verified(merkle.manifest(docs, keep={"later": later}), "later")
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -132,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_sentencepieces": op10_sentencepieces,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -157,3 +167,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(8 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)')) + 8) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
 }
+
+
+def _leaf(*fields: str) -> str:
+    said = [f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in fields]
+    return f"sha256({' || '.join(said)})"
+
+
+_CRC = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295)"
+_STEP = """SELECT a.tree, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r
+FROM {0} a JOIN {0} b ON a.tree = b.tree AND a.level = b.level AND a.i // 8 = b.i // 8 WHERE a.m > 1 GROUP BY a.tree, a.level, a.i"""
+_ABOVE = "SELECT tree, level + 1, p, h, count(*) OVER (PARTITION BY tree) FROM (SELECT tree, level, i // 8 AS p, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {0} WHERE m > 1 GROUP BY tree, level, i // 8)"
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {_leaf('doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf, {_leaf('doc_id', 'source', 'lang', 'n_chars', 'altered')} AS later
+  FROM (SELECT *, CASE WHEN {_CRC} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS altered FROM documents)),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+nodes AS (SELECT tree, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS m FROM p UNION ALL {_ABOVE.format('nodes')}),
+ranked AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS t FROM nodes WHERE m = 1),
+tops AS (SELECT '' AS tree, 0 AS level, t AS i, h, count(*) OVER () AS m FROM ranked UNION ALL {_ABOVE.format('tops')}),
+steps AS ({_STEP.format('nodes')}), over AS ({_STEP.format('tops')}),
+ways AS (SELECT p.tree, p.i, level, l, r FROM p JOIN steps s ON s.tree = p.tree AND s.i = p.i // CAST(8 ** s.level AS BIGINT)
+  UNION ALL SELECT p.tree, p.i, 100 + level, l, r FROM p JOIN ranked k ON k.tree = p.tree JOIN over o ON o.i = k.t // CAST(8 ** o.level AS BIGINT)),
+paths AS (SELECT tree, i, list(l || '|' || r ORDER BY level) AS path FROM ways GROUP BY tree, i),
+folded AS (SELECT doc_id, leaf, k.h AS subroot, (SELECT h FROM tops WHERE m = 1) AS root, coalesce(path, []) AS path, list_reduce(coalesce(path, []), lambda c, s: sha256(split_part(s, '|', 1) || c || split_part(s, '|', 2)), later) AS folded_root
+  FROM p JOIN ranked k ON k.tree = p.tree LEFT JOIN paths w ON w.tree = p.tree AND w.i = p.i)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
