@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytebasin.llm import chat, common, decontaminate, fingerprints, lexical_search, line_dedup, merkle, ngram_join, pii, sentencepieces, token_counts, token_output, toxicity
+from bytebasin.llm import chat, common, decontaminate, embedding_dedup, fingerprints, lexical_search, line_dedup, merkle, ngram_join, pii, sentencepieces, token_counts, token_output, toxicity
 
 #: Where the public tokenizers' files lie; another folder by this variable.
 TOKENIZERS = os.environ.get("BYTEBASIN_TOKENIZERS", "")
@@ -134,6 +134,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_join": op2_ngram_join,
@@ -147,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepieces": op10_sentencepieces,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_lexical_search": op12_lexical_search,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -207,3 +212,11 @@ t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) W
 f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY term, docs),
 s AS (SELECT item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN f USING (term) JOIN z USING (r), c GROUP BY ALL)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+ORACLES["op13_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT r, vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r, b.r AS other, b.vec_id AS other_id FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r, r AS other, vec_id AS other_id FROM v UNION SELECT reach.r, l.other, l.other_id FROM reach JOIN links l ON l.r = reach.other),
+parts AS (SELECT r, min(other_id) AS component_id FROM reach GROUP BY r), n AS (SELECT r, count(*) AS n_links FROM links GROUP BY r)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN parts USING (r) LEFT JOIN n USING (r)"""
