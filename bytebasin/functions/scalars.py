@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once a row, however often later steps name it: they come out of a
+    generator, through which the optimiser moves no expression."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(*columns))
+
+
 def starts_with_magic(data: Column, magics: tuple[bytes, ...]) -> Column:
     """Whether a blob begins with any of the given byte strings."""
     found = F.lit(False)

@@ -30,7 +30,7 @@ def executables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, data): for each part a file of one to three sections and a tail of ``p_size`` bytes.
 
     Section i has 64 * (i + 1) bytes. Every other file has an export directory in its first section, every fifth a CLR
-    header there, whose first pair points to the second section.
+    header there, whose first pair points to the second section: both of them are managed.
     """
     part = tb.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").cast("long").alias("k"))
     k = F.col("k")
@@ -54,50 +54,52 @@ def executables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 P = """WITH p AS (SELECT p_partkey AS name, CAST(p_size AS BIGINT) AS k, CAST(p_size % 3 + 1 AS BIGINT) AS n FROM part), f AS (SELECT *, 1024 + 32 * n * (n + 1) AS tail, 1024 + 32 * n * (n + 1) + k AS size FROM p),
-s AS (SELECT name, i AS sec_no, k, n, size, 64 * (i + 1) AS bytes, 1024 + 32 * i * (i + 1) AS off, CAST([1610612768, 1073741888, 3221225536, 2147483648][(k + i) % 4 + 1] AS BIGINT) AS flags, k % 5 = 0 AND i = 1 AS managed FROM (SELECT *, unnest(range(0, n)) AS i FROM f)),
-h AS (SELECT name, unnest(['HEADERS', 'DOSHEADER', 'DOSSTUB', 'COFFHEADER', 'OPTHEADER', 'SECTABLE']) AS label, unnest([0, 0, 64, 132, 152, 376]) AS "start", unnest([1024, 64, 128, 152, 376, 376 + 40 * n]) AS "end" FROM f),
+s AS (SELECT name, i AS sec_no, k, n, size, 64 * (i + 1) AS bytes, 1024 + 32 * i * (i + 1) AS off, CAST([1610612768, 1073741888, 3221225536, 2147483648][(k + i) % 4 + 1] AS BIGINT) AS flags, k % 5 = 0 AND i < 2 AS managed FROM (SELECT *, unnest(range(0, n)) AS i FROM f)),
+h AS (SELECT name, unnest(['HEADERS', 'DOS_HEADER', 'DOS_STUB', 'COFF_HEADER', 'OPTN_HEADER', 'SECTN_TABLE']) AS label, unnest([0, 0, 64, 132, 152, 376]) AS "start", unnest([1024, 64, 128, 152, 376, 376 + 40 * n]) AS "end" FROM f),
 d AS (SELECT name, 0 AS dir, 'EXPORT' AS label, 1040 AS "start", 1056 AS "end" FROM f WHERE k % 2 = 0 UNION ALL SELECT name, 4, 'CERTIFICATE', tail, size FROM f UNION ALL SELECT name, 14, 'CLR', 1024, least(size, 1096) FROM f WHERE k % 5 = 0)"""
 
 
 @query(P + " SELECT name, size, 128 AS e_lfanew, 332 AS machine, n AS n_sections, name * 1000 AS timestamp, 224 AS optional_size, 1024 AS headers_size FROM f")
 def executable_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.headers(executables(spark, sf_dir)).drop("data", "plus")
+    return layout.headers(executables(spark, sf_dir)).drop("plus")
 
 
 @query(P + " SELECT name, sec_no, 4096 * (sec_no + 1) AS vaddr, bytes AS vsize, off AS raw_off, bytes AS raw_size, flags FROM s")
 def executable_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.sections(layout.headers(executables(spark, sf_dir))).drop("size")
+    return layout.sections(executables(spark, sf_dir)).drop("size", "managed")
 
 
 @query(P + ' SELECT name, dir, label, "start", "end" FROM d')
 def executable_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = layout.headers(executables(spark, sf_dir))
-    return layout.directories(heads, layout.sections(heads)).select("name", "dir", "label", "start", "end")
+    return layout.directories(executables(spark, sf_dir))
 
 
 @query(P + ' SELECT name, label, "start", "end" FROM h')
 def executable_header_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.header_ranges(layout.headers(executables(spark, sf_dir))).select("name", "label", "start", "end")
+    return layout.header_ranges(executables(spark, sf_dir))
 
 
 @query(P + " SELECT name, sec_no FROM s WHERE managed")
 def managed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = layout.headers(executables(spark, sf_dir))
-    secs = layout.sections(heads)
-    return layout.managed_sections(heads, secs, layout.section_ranges(secs))
+    return layout.managed_sections(executables(spark, sf_dir))
 
 
-CLASS = "CASE WHEN flags & 536870912 <> 0 THEN 'CODE' WHEN flags & 1073741824 <> 0 THEN 'DATA' ELSE 'OTHER' END"
-RW = f"CASE WHEN {CLASS} = 'OTHER' THEN '' WHEN flags & 2147483648 <> 0 THEN 'RW' ELSE 'R' END"
+CLASS = "CASE WHEN flags & 536870912 <> 0 THEN 'CODE' WHEN flags & 1073741824 <> 0 THEN 'DATA' END"
+DNET = "CASE WHEN managed THEN 'DNET' ELSE '' END"
 
 
 @query(P + f""", bits AS (SELECT unnest(['CNT_CODE', 'CNT_INITIALIZED_DATA', 'MEM_EXECUTE', 'MEM_READ', 'MEM_WRITE']) AS label, unnest([32, 64, 536870912, 1073741824, 2147483648]) AS bit),
-r AS (SELECT name, 'COARSE' AS level, 'FILE' AS label, 0 AS "start", size AS "end" FROM f
-UNION ALL SELECT name, l, 'HEADERS', 0, 1024 FROM f, (SELECT unnest(['ROUGH', 'MIDDLE']) AS l) UNION ALL SELECT name, l, 'OVERLAY', tail, size FROM f, (SELECT unnest(['ROUGH', 'MIDDLE', 'FINE']) AS l)
+levels AS (SELECT unnest(['COARSE', 'ROUGH', 'MIDDLE', 'FINE']) AS level), o AS (SELECT name, label, "start", "end" FROM h WHERE label = 'HEADERS'),
+taken AS (SELECT name, "start", "end" FROM o UNION ALL SELECT name, off, off + bytes FROM s UNION ALL SELECT name, tail, size FROM f UNION ALL SELECT name, "start", "end" FROM d),
+edges AS (SELECT name, "end" AS "from", lead("start") OVER (PARTITION BY name ORDER BY "start", "end") AS upto, max("end") OVER (PARTITION BY name ORDER BY "start", "end") AS reach FROM taken),
+r AS (SELECT name, level, label, "start", "end" FROM o, levels WHERE level <> 'FINE' UNION ALL SELECT name, level, 'OVERLAY', tail, size FROM f, levels
+UNION ALL SELECT name, level, 'OTHER', reach, upto FROM edges, levels WHERE upto > reach
+UNION ALL SELECT name, 'COARSE', 'SECTION', off, off + bytes FROM s
 UNION ALL SELECT name, 'ROUGH', CASE WHEN managed THEN 'DNETSEC' ELSE 'OTHRSEC' END, off, off + bytes FROM s
-UNION ALL SELECT name, 'MIDDLE', CASE WHEN managed THEN 'DNET' ELSE '' END || {CLASS}, off, off + bytes FROM s
-UNION ALL SELECT name, 'FINE', CASE WHEN managed THEN 'DNET' ELSE '' END || {RW} || {CLASS}, off, off + bytes FROM s
-UNION ALL SELECT name, 'FINE', label, "start", "end" FROM h WHERE label <> 'HEADERS' UNION ALL SELECT name, 'FINE', label, "start", "end" FROM d)
+UNION ALL SELECT name, 'MIDDLE', {DNET} || {CLASS}, off, off + bytes FROM s WHERE {CLASS} IS NOT NULL
+UNION ALL SELECT name, 'FINE', CASE WHEN flags & 2147483648 <> 0 THEN 'W' ELSE 'R' END || {DNET} || {CLASS}, off, off + bytes FROM s WHERE {CLASS} IS NOT NULL
+UNION ALL SELECT name, 'FINE', label, "start", "end" FROM h WHERE label <> 'HEADERS' UNION ALL SELECT name, level, 'DIRECTORY', "start", "end" FROM d, levels WHERE level <> 'FINE'
+UNION ALL SELECT name, 'FINE', CASE label WHEN 'EXPORT' THEN 'EDATA' WHEN 'CLR' THEN 'CLR' ELSE 'OTHERDIR' END, "start", "end" FROM d)
 SELECT name, 'partitions' AS "group", level, label, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM r
 UNION ALL SELECT name, 'characteristics', NULL, label, off, off + bytes FROM s, bits WHERE flags & bit <> 0""")
 def executable_structures(spark: SparkSession, sf_dir: str) -> DataFrame:

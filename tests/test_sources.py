@@ -49,7 +49,7 @@ def blobs(spark):
 def test_headers_and_sections(blobs):
     heads = {r["name"]: r for r in lo.headers(blobs).collect()}
     assert heads.keys() == {"plain", "net", "none"} and heads["plain"].timestamp == 1234567 and heads["plain"].machine == 0x14C
-    secs = {(r["name"], r.sec_no): (r.vaddr, r.raw_off, r.raw_size, r.flags) for r in lo.sections(lo.headers(blobs)).collect()}
+    secs = {(r["name"], r.sec_no): (r.vaddr, r.raw_off, r.raw_size, r.flags) for r in lo.sections(blobs).collect()}
     assert secs["plain", 0] == (0x1000, 0x400, 0x200, 0x60000020) and secs["plain", 1] == (0x2000, 0x600, 0x100, 0xC0000040)
 
 
@@ -62,9 +62,9 @@ def test_structures(blobs):
         of.setdefault((r["name"], r.level, r.label), []).append((r.start, r.end))
     end = sizes["plain"]
     assert of["plain", "MIDDLE", "OVERLAY"] == [(end - 7, end)] and of["plain", "MIDDLE", "CODE"] == [(0x400, 0x600)] and of["plain", "MIDDLE", "DATA"] == [(0x600, 0x700)]
-    assert of["plain", "FINE", "RWDATA"] == [(0x600, 0x700)] and of["plain", "FINE", "IMPORT"] == [(0x410, 0x430)] and of["plain", "FINE", "CERTIFICATE"] == [(end - 7, end)]
-    assert of["net", "ROUGH", "DNETSEC"] == [(0x600, 0x700)] and of["net", "ROUGH", "OTHRSEC"] == [(0x400, 0x600)]
-    assert of["plain", "FINE", "DOSSTUB"] == [(64, 128)] and of["plain", "FINE", "SECTABLE"] == [(0x80 + 24 + 0xE0, 0x80 + 24 + 0xE0 + 80)]
+    assert of["plain", "FINE", "WDATA"] == [(0x600, 0x700)] and of["plain", "FINE", "IDATA"] == [(0x410, 0x430)] and of["plain", "FINE", "OTHERDIR"] == [(end - 7, end)]
+    assert of["net", "ROUGH", "DNETSEC"] == [(0x400, 0x600), (0x600, 0x700)] and ("net", "ROUGH", "OTHRSEC") not in of
+    assert of["plain", "FINE", "DOS_STUB"] == [(64, 128)] and of["plain", "FINE", "SECTN_TABLE"] == [(0x80 + 24 + 0xE0, 0x80 + 24 + 0xE0 + 80)]
     assert of["plain", None, "MEM_EXECUTE"] == [(0x400, 0x600)] and of["none", "MIDDLE", "OVERLAY"] == [(0, sizes["none"])]
 
 
@@ -76,7 +76,7 @@ def test_quarantine(blobs):
 def test_section_classes(spark):
     df = spark.createDataFrame([(lo.EXECUTE,), (lo.READ,), (lo.WRITE,), (lo.READ | lo.EXECUTE,), (lo.READ | lo.WRITE,)], "flags long")
     got = [(r.a, r.b) for r in df.select(lo.section_class(F.col("flags")).alias("a"), lo.section_class_rw(F.col("flags")).alias("b")).collect()]
-    assert got == [("CODE", "RCODE"), ("DATA", "RDATA"), ("OTHER", "OTHER"), ("CODE", "RCODE"), ("DATA", "RWDATA")]
+    assert got == [("CODE", "RCODE"), ("DATA", "RDATA"), ("OTHER", "OTHER"), ("CODE", "RCODE"), ("DATA", "WDATA")]
 
 
 def test_blobs_archives_and_index(spark, tmp_path):
