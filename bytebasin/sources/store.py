@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,18 +10,21 @@ from pyspark.sql import functions as F
 
 from bytebasin.functions.scalars import starts_with_magic
 from bytebasin.operators.intervals import point_join
+from bytebasin.sources import ranged
+from bytebasin.sources.shared import checkpointed
 
 SIZE_SCHEMA = "idx long, name string, shard int, offset long, size long"
 META_SCHEMA = "idx long, name string, shard int, timestamp long, malware int, family string"
-ZSTD = b"\x28\xb5\x2f\xfd"
 RUNLOG_SUFFIX = "_gpu_mem"
 
 
 def read_blobs(spark: SparkSession, folder: str, max_length: int | None = None, pattern: str = "*") -> DataFrame:
-    """(path, name, data, size) of every file under a folder, cut to a prefix if asked; empty files have no row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    data = F.substring("content", 1, max_length) if max_length else F.col("content")
-    return files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), data.alias("data"), F.length(data).cast("long").alias("size"))
+    """(path, name, data, size) of every file under a folder; empty files have no row. Of a prefix of ``max_length``
+    bytes no more is read, however long the file; whole files must fit a cell."""
+    if max_length:
+        return ranged.read_prefixes(spark, folder, max_length, pattern).drop("length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).where("length > 0")
+    return files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("content").alias("data"), F.col("length").alias("size"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -38,71 +39,47 @@ def write_index(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws(" ", "sha", F.col("label").cast("int").cast("string")).alias("value")).write.text(path)
 
 
-def archive_members(spark: SparkSession, folder: str) -> DataFrame:
+def archive_members(spark: SparkSession, folder: str, max_length: int | None = None) -> DataFrame:
     """(archive, name, data, reject_reason) of the members of zip files that are no folders and not empty.
 
-    A task opens an archive at a time and gives its members one by one. What can't be read is a row with its reason and
-    no data: an archive that is none, or a member of one.
+    Members are dealt over tasks, whatever archive they are of, and read one by one. What can't be read is a row with
+    its reason and no data: an archive that is none, or a member of one.
     """
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zipfile
-
-        def row(archive: str, name: str | None, data: bytes | None, reason: str | None) -> pd.DataFrame:
-            return pd.DataFrame({"archive": [archive], "name": [name], "data": [data], "reject_reason": [reason]}, dtype=object)
-
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except (zipfile.BadZipFile, OSError, ValueError) as e:
-                    yield row(path, None, None, f"archive: {e}")
-                    continue
-                for info in archive.infolist():
-                    if not info.is_dir() and info.file_size:
-                        try:
-                            yield row(path, info.filename, archive.read(info), None)
-                        except (zipfile.BadZipFile, OSError, ValueError, RuntimeError, NotImplementedError, zlib.error) as e:
-                            yield row(path, info.filename, None, f"member: {e}")
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder)
-    return files.select("path", "content").mapInPandas(members, "archive string, name string, data binary, reject_reason string")
+    return ranged.members(ranged.archive_index(spark, folder), max_length)
 
 
 def read_archives(spark: SparkSession, folder: str, magics: tuple[bytes, ...] = (b"MZ",), max_length: int | None = None) -> DataFrame:
     """(archive, name, data) of the members of zip files; ``.pdb``, other magics and what can't be read are left out."""
-    rows = archive_members(spark, folder).where("reject_reason IS NULL").drop("reject_reason")
-    kept = rows.where(starts_with_magic(F.col("data"), magics) & ~F.lower("name").endswith(".pdb"))
-    return kept.withColumn("data", F.substring("data", 1, max_length)) if max_length else kept
+    index = ranged.archive_index(spark, folder).where(~F.coalesce(F.lower("name").endswith(".pdb"), F.lit(False)))
+    found = ranged.members(index, max_length).where("reject_reason IS NULL").drop("reject_reason")
+    return found.where(starts_with_magic(F.col("data"), magics))
 
 
-def read_packed(spark: SparkSession, folder: str) -> DataFrame:
-    """Samples of a packed data set: manifest and metadata joined, each blob cut out of its shard's container.
+def packed_ranges(spark: SparkSession, folder: str, read=None) -> DataFrame:
+    """Samples of a packed data set with ``reject_reason``: manifest and metadata joined, each blob cut out of its
+    shard's container.
 
-    ``size/*.csv`` and ``meta/*.csv`` with a header, containers in ``data/`` ending in the shard's number. A shard's rows
-    of the manifest are put together first and meet their container once, in the task that inflates it if it begins with
-    the zstd magic, so that a container isn't copied for each sample.
+    ``size/*.csv`` and ``meta/*.csv`` with a header, containers in ``data/`` ending in the shard's number. Tasks read the
+    ranges of their rows; a container that begins with the zstd magic is inflated as a stream. A sample whose container
+    is missing or too short has no data and a reason.
     """
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow as pa
-
-        for batch in batches:
-            for shard, content, entries in zip(batch["shard"], batch["content"], batch["entries"]):
-                plain = pa.CompressedInputStream(io.BytesIO(content), "zstd").read() if content[:4] == ZSTD else content
-                for i in range(0, len(entries), 64):
-                    rows = [dict(e) | {"shard": shard, "data": plain[e["offset"] : e["offset"] + e["size"]]} for e in entries[i : i + 64]]
-                    yield pd.DataFrame(rows)[["idx", "name", "shard", "data", "timestamp", "malware", "family", "size"]]
-
     sizes = spark.read.schema(SIZE_SCHEMA).option("header", True).csv(f"{folder}/size")
     meta = spark.read.schema(META_SCHEMA).option("header", True).csv(f"{folder}/meta")
-    files = spark.read.format("binaryFile").load(f"{folder}/data")
     shard = F.regexp_extract("path", r"(\d+)(?:\.[A-Za-z0-9.]*)?$", 1).cast("int")
-    entry = F.struct("idx", "name", "offset", "size", F.coalesce("timestamp", F.lit(-1).cast("long")).alias("timestamp"), F.coalesce("malware", F.lit(-1)).alias("malware"), F.coalesce("family", F.lit("")).alias("family"))
-    entries = sizes.join(meta, ["idx", "name", "shard"]).groupBy("shard").agg(F.collect_list(entry).alias("entries"))
-    boxes = files.select(shard.alias("shard"), "content").join(entries, "shard")
-    rows = boxes.mapInPandas(cut, "idx long, name string, shard int, data binary, timestamp long, malware int, family string, size long")
-    return rows.select("idx", "name", "shard", "data", (F.col("malware") == 1).alias("label"), F.nullif("timestamp", F.lit(-1)).alias("ts"), "family", "size")
+    boxes = ranged.read_prefixes(spark, f"{folder}/data", len(ranged.ZSTD)).select(shard.alias("shard"), "path", (F.col("data") == F.lit(ranged.ZSTD)).alias("inflated"))
+    boxes = checkpointed(boxes)  # a row a container: their beginnings are read once
+    entries = sizes.join(meta, ["idx", "name", "shard"]).join(boxes, "shard", "left")
+    found = [ranged.cut(entries.where(F.coalesce("inflated", F.lit(False)) == flag).drop("inflated"), flag, read) for flag in (False, True)]
+    rows = found[0].unionByName(found[1])
+    label = F.coalesce(F.col("malware") == 1, F.lit(False))
+    return rows.select("idx", "name", "shard", "data", label.alias("label"), F.nullif("timestamp", F.lit(-1)).alias("ts"), F.coalesce("family", F.lit("")).alias("family"), "size", "reject_reason")
+
+
+def read_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of a packed data set; one that can't be read is an error when rows are read."""
+    rows = packed_ranges(spark, folder)
+    bad = F.raise_error(F.concat(F.col("reject_reason"), F.lit(": "), "name")).cast("boolean")
+    return rows.where(F.when(F.col("reject_reason").isNotNull(), bad).otherwise(F.lit(True))).drop("reject_reason")
 
 
 def write_packed(samples: DataFrame, folder: str) -> None:
