@@ -39,12 +39,6 @@ def shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.shard_of(rows.select("idx"), rows)
 
 
-@query(D + " SELECT p.name, p.idx, p.shard, p.size FROM packed p JOIN (SELECT o_orderkey AS name FROM orders) k ON k.name = p.name")
-def sample_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = tb.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"))
-    return packed(spark, sf_dir).join(keys, "name").select("name", "idx", "shard", "size")
-
-
 @query(D + " SELECT name, idx, size FROM packed WHERE shard IN (0, 2)")
 def shard_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, sf_dir).where(F.col("shard").isin(0, 2)).select("name", "idx", "size")
@@ -184,10 +178,3 @@ def flagged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = tb.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").cast("long").alias("flags"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + 10).cast("long").alias("end"))
     return layout.flag_ranges(parts, {"MEM_EXECUTE": 1, "MEM_READ": 2, "MEM_WRITE": 4})
-
-
-@query(D + ", r AS (SELECT o_orderkey AS name, o_orderkey % 3 AS shard, o_custkey AS value FROM orders) SELECT p.name, p.shard, r.value FROM packed p JOIN r ON r.name = p.name AND r.shard = p.shard")
-def region_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows kept by name and shard, asked for by both: an order's customer where the document of its number lies in its shard."""
-    kept = tb.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 3).alias("shard"), F.col("o_custkey").alias("value"))
-    return store.lookup_many(kept, packed(spark, sf_dir).select("name", "shard"))

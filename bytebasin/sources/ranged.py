@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -30,18 +31,38 @@ STORED, DEFLATED = 0, 8
 BEYOND, TOO_LONG = "range: beyond the file", "range: longer than a cell"
 
 
-def opened(path: str) -> pa.NativeFile:
+def _located(path: str):
+    """The file system of a path and the path in it."""
     from pyarrow import fs
 
     if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file(path)
+        return fs.LocalFileSystem(), path
     if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     scheme, rest = path.split("://", 1)
-    system, name = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+
+
+def opened(path: str) -> pa.NativeFile:
+    system, name = _located(path)
     return system.open_input_file(name)
 
 
+class Written:
+    """A file that takes its name when it is whole; what a failed attempt leaves has another name."""
+
+    def __init__(self, path: str):
+        self.system, self.name = _located(path)
+        self.system.create_dir(self.name.rsplit("/", 1)[0], recursive=True)
+        self.part = self.name.rsplit("/", 1)[0] + "/." + uuid.uuid4().hex
+        self.stream = self.system.open_output_stream(self.part)
+
+    def commit(self) -> None:
+        if not self.stream.closed:
+            self.stream.close()
+        self.system.move(self.part, self.name)
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, name, length) of every file under a folder that isn't empty; no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)

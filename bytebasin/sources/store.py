@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from bytebasin.sources.shared import checkpointed
 SIZE_SCHEMA = "idx long, name string, shard int, offset long, size long"
 META_SCHEMA = "idx long, name string, shard int, timestamp long, malware int, family string"
 RUNLOG_SUFFIX = "_gpu_mem"
+#: Bytes of a row group of stored sets; shards, and keys, that a lookup of many pushes down at most.
+ROW_GROUP, FEW_SHARDS, FEW_KEYS = 8 << 20, 1000, 200
 
 
 def read_blobs(spark: SparkSession, folder: str, max_length: int | None = None, pattern: str = "*") -> DataFrame:
@@ -82,13 +85,60 @@ def read_packed(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(F.when(F.col("reject_reason").isNotNull(), bad).otherwise(F.lit(True))).drop("reject_reason")
 
 
-def write_packed(samples: DataFrame, folder: str) -> None:
+def write_containers(samples: DataFrame, folder: str, page: int = 4096, compressed: Column | None = None) -> None:
+    """Samples (idx, name, shard, data, label, ts, family) as ``read_packed`` reads them: a container for each shard,
+    blobs padded to ``page`` in the order of ``idx``, with the manifest's and the metadata's tables.
+
+    ``compressed`` tells of a shard whether its container is written as zstd. A shard is written by one task, blob by
+    blob; a container is moved to its place when it is whole, so that a task may run again.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = sink = raw = None
+        at = 0
+        for batch in batches:
+            offsets = []
+            for mine, zstd, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "compressed", "data"))):
+                if mine != shard:
+                    if sink is not None:
+                        sink.close()
+                        raw.commit()
+                    shard, at = mine, 0
+                    raw = ranged.Written(f"{folder}/data/data-{mine}.bin")
+                    sink = pa.CompressedOutputStream(raw.stream, "zstd") if zstd else raw.stream
+                data = data or b""
+                offsets.append(at)
+                sink.write(data + bytes(-len(data) % page))
+                at += len(data) + -len(data) % page
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("idx", "name", "shard")] + [pa.array(offsets, pa.int64()), pa.array([len(d or b"") for d in batch.column("data").to_pylist()], pa.int64())], ["idx", "name", "shard", "offset", "size"])
+        if sink is not None:
+            sink.close()
+            raw.commit()
+
+    flag = compressed if compressed is not None else F.lit(False)
+    rows = samples.select(F.col("idx").cast("long").alias("idx"), F.col("name").cast("string").alias("name"), F.col("shard").cast("int").alias("shard"), flag.alias("compressed"), "data")
+    sorted_rows = rows.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "idx")
+    sorted_rows.mapInArrow(write, SIZE_SCHEMA).write.mode("error").option("header", True).csv(f"{folder}/size")
+    meta = samples.select("idx", F.col("name").cast("string").alias("name"), "shard", F.coalesce("ts", F.lit(-1)).cast("long").alias("timestamp"), F.when(F.col("label"), 1).otherwise(-1).alias("malware"), F.coalesce("family", F.lit("")).alias("family"))
+    meta.write.mode("error").option("header", True).csv(f"{folder}/meta")
+
+
+def _write_stored(rows: DataFrame, folder: str, key: str) -> None:
+    """Parquet by shard, each shard in the order of the key, with Bloom filters on it: a lookup opens its shard's folder,
+    and in it only row groups that may hold the key."""
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", key)
+    writer = dealt.write.mode("error").partitionBy("shard").option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    writer.option(f"parquet.bloom.filter.enabled#{key}", True).parquet(folder)
+
+
+def write_packed(samples: DataFrame, folder: str, key: str = "name") -> None:
     """Samples with ``idx`` and ``shard`` as Parquet, a folder for each shard; a folder that is there is refused."""
-    samples.repartition("shard").write.mode("error").partitionBy("shard").option("compression", "zstd").parquet(folder)
+    _write_stored(samples, folder, key)
 
 
-def write_regions(regions: DataFrame, folder: str) -> None:
-    regions.repartition("shard").write.mode("error").partitionBy("shard").option("compression", "zstd").parquet(folder)
+def write_regions(regions: DataFrame, folder: str, key: str = "name") -> None:
+    """Regions of samples as Parquet, a folder for each shard; a folder that is there is refused."""
+    _write_stored(regions, folder, key)
 
 
 def lookup(rows: DataFrame, name, shard: int | None = None, key: str = "name") -> DataFrame:
@@ -101,8 +151,19 @@ def lookup(rows: DataFrame, name, shard: int | None = None, key: str = "name") -
 
 
 def lookup_many(rows: DataFrame, keys: DataFrame, key: str = "name") -> DataFrame:
-    """Rows of many (key, shard) pairs; pairs without a row have none here."""
-    return keys.select(key, "shard").join(rows, [key, "shard"])
+    """Rows of many (key, shard) pairs; pairs without a row have none here.
+
+    Where the pairs lie in few shards, no other shard's folder is opened, and where they are few, their keys are pushed
+    down to the row groups' statistics and Bloom filters. Beyond these numbers the join prunes what it can.
+    """
+    pairs = checkpointed(keys.select(key, "shard"))
+    shards = pairs.select("shard").distinct().limit(FEW_SHARDS + 1).collect()
+    if len(shards) <= FEW_SHARDS:
+        rows = rows.where(F.col("shard").isin([r[0] for r in shards]))
+    names = pairs.select(key).distinct().limit(FEW_KEYS + 1).collect()
+    if len(names) <= FEW_KEYS:
+        rows = rows.where(F.col(key).isin([r[0] for r in names]))
+    return pairs.join(rows, [key, "shard"])
 
 
 def shard_of(idx: DataFrame, samples: DataFrame) -> DataFrame:
