@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -55,12 +52,6 @@ def little_endian(data: Column, offset: Column | int, width: int) -> Column:
     return F.when(F.length(part) == width, F.conv(pairs, 16, 10).cast("decimal(20,0)").cast("long"))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def byte_values(blobs: pd.Series) -> pd.Series:
-    """The bytes of a blob as an array of numbers; a null blob has none."""
-    return pd.Series([np.frombuffer(b or b"", np.uint8).astype(np.int32) for b in blobs], dtype=object)
-
-
 def patch_size(length: Column, size: int | None = None, count: int | None = None) -> tuple[Column, Column]:
     """(size, count) of the patches of a sequence, from exactly one of them."""
     if (size is None) == (count is None):

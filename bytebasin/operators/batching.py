@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytebasin.functions.scalars import pad_length
 from bytebasin.operators.ranking import global_rank
 
+#: Bytes of a token.
+TOKEN = 2
+
 
 def batches(df: DataFrame, per_batch: int, *order: Column | str, drop_last: bool = False) -> DataFrame:
     """``batch`` and ``slot`` by rank; a last batch that is not full goes if ``drop_last``."""
@@ -19,34 +24,40 @@ def batches(df: DataFrame, per_batch: int, *order: Column | str, drop_last: bool
     return out.drop("rank")
 
 
-def padded(values: Column, length: Column, fill: int = 0) -> Column:
-    """An array filled up on the right."""
-    return F.concat(values, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), length.cast("int") - F.size(values))))
+@F.pandas_udf("binary")
+def tokens_of(blobs: pd.Series) -> pd.Series:
+    """The bytes of a blob as tokens of 16 bits, little-endian: one more than the byte, so that 0 is left for padding.
+    A null blob has none."""
+    return pd.Series([(np.frombuffer(b or b"", np.uint8).astype("<u2") + np.uint16(1)).astype("<u2").tobytes() for b in blobs], dtype=object)
+
+
+def token_count(tokens: Column | str) -> Column:
+    return F.floor(F.octet_length(tokens) / TOKEN).cast("long")
 
 
-def shifted(values: Column) -> Column:
-    """Byte values as tokens: one more, so that 0 is left for padding."""
-    return F.transform(values, lambda x: x + 1)
+def padded(tokens: Column | str, length: Column) -> Column:
+    """Tokens filled up with zeros on the right."""
+    return F.rpad(tokens, (length * TOKEN).cast("int"), F.lit(b"\0"))
 
 
 def collate(rows: DataFrame, least: int = 0, multiple: int = 1, bins: tuple[int, ...] | None = None, keys: tuple[str, ...] = ("batch",)) -> DataFrame:
-    """(keys, length, names, lengths, tokens) of rows (keys, slot, name, values): every sequence shifted and padded to
-    the length of its batch. A batch is what meets in one task, by its definition.
+    """(keys, length, names, lengths, tokens) of rows (keys, slot, name, tokens): every sequence padded to the length of
+    its batch. Tokens stay binary, two bytes each. A batch is what meets in one task, by its definition.
     """
-    rows = rows.withColumn("n", F.size("values").cast("long"))
-    found = rows.groupBy(*keys).agg(F.max("n").alias("most"), F.array_sort(F.collect_list(F.struct("slot", "name", "n", "values"))).alias("rows"))
+    rows = rows.withColumn("n", token_count("tokens"))
+    found = rows.groupBy(*keys).agg(F.max("n").alias("most"), F.array_sort(F.collect_list(F.struct("slot", "name", "n", "tokens"))).alias("rows"))
     found = found.withColumn("length", pad_length(F.col("most"), least, multiple, bins))
     return found.select(
         *keys, "length", F.transform("rows", lambda r: r["name"]).alias("names"), F.transform("rows", lambda r: r["n"]).alias("lengths"),
-        F.transform("rows", lambda r: padded(shifted(r["values"]), F.col("length"))).alias("tokens"),
+        F.transform("rows", lambda r: padded(r["tokens"], F.col("length"))).alias("tokens"),
     )
 
 
 def with_empty_structures(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row of no values for every (batch, label) of ``keys`` that has none in ``rows``."""
+    """One row of a single padding token for every (batch, label) of ``keys`` that has none in ``rows``."""
     missing = keys.join(rows.select("batch", "label").distinct(), ["batch", "label"], "left_anti")
-    fill = missing.select("batch", "label", F.lit(0).cast("long").alias("slot"), F.lit(-1).cast("long").alias("name"), F.array(F.lit(-1)).alias("values"))
-    return rows.select("batch", "label", "slot", "name", "values").unionByName(fill)
+    fill = missing.select("batch", "label", F.lit(0).cast("long").alias("slot"), F.lit(-1).cast("long").alias("name"), F.lit(bytes(TOKEN)).alias("tokens"))
+    return rows.select("batch", "label", "slot", "name", "tokens").unionByName(fill)
 
 
 def salt_plan(frequencies: dict[int, float], rows: int, first: int | None = None) -> dict[int, tuple[int, int]]:

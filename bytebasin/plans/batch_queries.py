@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytebasin.functions.scalars import byte_values, pad_length
+from bytebasin.functions.scalars import pad_length
 from bytebasin.operators import batching as bt
 from bytebasin.operators import intervals as iv
 from bytebasin.plans.blob_queries import BYTES
@@ -18,9 +22,26 @@ batched AS (SELECT *, rank // 8 AS batch, rank % 8 AS slot FROM b)"""
 TOKENS = BYTES.replace("WITH", ",", 1) + ", said AS (SELECT name, string_agg(CAST(byte + 1 AS VARCHAR), ',' ORDER BY pos) AS tokens, CAST(sum(byte + 1) AS BIGINT) AS total, count(*) AS n FROM bytes GROUP BY name)"
 
 
-def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tb.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), byte_values(F.encode("text", "UTF-8")).alias("values"))
-    return bt.batches(docs, 8, "name")
+#: Tokens of a text in SQL, comma-joined; and padded to a length.
+SAID = "array_to_string(list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda p: CAST(strpos('0123456789ABCDEF', left(p, 1)) * 16 + strpos('0123456789ABCDEF', right(p, 1)) - 16 AS VARCHAR)), ',')"
+PADDED = "CASE WHEN n = 0 THEN substr(repeat(',0', length), 2) ELSE said || repeat(',0', length - n) END"
+#: Lines of documents that aren't empty, their labels turning by three.
+LINES = "lines AS (SELECT name, p - 1 AS ord, (p - 1) % 3 AS label, parts[p] AS line FROM (SELECT doc_id AS name, string_split(text, chr(10)) AS parts FROM documents) d, range(1, 100000) r(p) WHERE p <= len(parts) AND parts[p] <> '')"
+
+
+@F.pandas_udf("n long, total long, digest string")
+def _told(rows: pd.Series) -> pd.DataFrame:
+    """Number, sum and digest of the tokens of a row's sequences, written as decimal numbers."""
+    found = []
+    for sequences in rows:
+        x = np.frombuffer(b"".join(sequences), "<u2")
+        found.append((len(x), int(x.sum()), hashlib.md5(",".join(map(str, x.tolist())).encode()).hexdigest()))
+    return pd.DataFrame(found, columns=["n", "total", "digest"])
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tb.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.encode("text", "UTF-8").alias("data"))
+    return docs.select("name", bt.tokens_of("data").alias("tokens"))
 
 
 @query(B + " SELECT name, batch, slot FROM batched WHERE batch < (SELECT count(*) // 8 FROM b)")
@@ -40,42 +61,45 @@ def pad_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT batch, slot, length, CASE WHEN batched.n = 0 THEN substr(repeat(',0', length), 2) ELSE tokens || repeat(',0', length - batched.n) END AS padded FROM batched JOIN l USING (batch) LEFT JOIN said USING (name))
 SELECT batch, length, count(*) AS n, md5(string_agg(padded, ',' ORDER BY slot)) AS digest FROM r GROUP BY batch, length""")
 def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bt.collate(_batched(spark, sf_dir), least=16, multiple=8)
-    tokens = F.array_join(F.transform(F.flatten("tokens"), lambda x: x.cast("string")), ",")
-    return out.select("batch", "length", F.size("names").cast("long").alias("n"), F.md5(tokens).alias("digest"))
+    names = bt.batches(tb.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name")), 8, "name")
+    out = bt.collate(_tokens(spark, sf_dir).join(names, "name"), least=16, multiple=8)
+    return out.select("batch", "length", F.size("names").cast("long").alias("n"), _told("tokens")["digest"].alias("digest"))
 
 
 @query(B + TOKENS + " SELECT name, n, total, md5(tokens) AS digest FROM said")
 def token_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _batched(spark, sf_dir).where(F.size("values") > 0).select("name", F.size("values").cast("long").alias("n"), bt.shifted(F.col("values")).alias("tokens"))
-    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda t, x: t + x)
-    return rows.select("name", "n", total.alias("total"), F.md5(F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",")).alias("digest"))
+    rows = _tokens(spark, sf_dir).where(F.octet_length("tokens") > 0)
+    return rows.select("name", _told(F.array("tokens")).alias("told")).select("name", "told.*")
 
 
-@query(f"""WITH {tb.LINE_REGIONS_SQL}, s AS (SELECT name, label, CAST(sum("end" - "start") AS BIGINT) AS n FROM line_regions GROUP BY name, label),
-k AS (SELECT DISTINCT doc_id AS name, l AS label FROM documents, range(0, 3) r(l)), f AS (SELECT k.name, k.label, coalesce(n, 0) AS n FROM k LEFT JOIN s ON s.name = k.name AND s.label = k.label)
-SELECT name // 8 AS batch, label, count(*) AS rows, CAST(ceil(greatest(max(n), 16) / 64.0) * 64 AS BIGINT) AS length FROM f GROUP BY 1, 2""")
+@query(f"""WITH {LINES}, s AS (SELECT name, label, string_agg(line, '' ORDER BY ord) AS t FROM lines GROUP BY name, label),
+k AS (SELECT DISTINCT doc_id AS name, l AS label FROM documents, range(0, 3) r(l)),
+f AS (SELECT name, label, name // 8 AS batch, {SAID.format("coalesce(t, '')")} AS said, octet_length(encode(coalesce(t, ''))) AS n FROM k LEFT JOIN s USING (name, label)),
+w AS (SELECT *, CAST(ceil(greatest(max(n) OVER (PARTITION BY batch, label), 16) / 64.0) * 64 AS BIGINT) AS length FROM f)
+SELECT batch, label, count(*) AS rows, length, md5(string_agg({PADDED}, ',' ORDER BY name)) AS digest FROM w GROUP BY batch, label, length""")
 def hierarchical_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each structure's bytes of every document as a sequence, padded by batch and structure."""
     sliced = iv.slice_blobs(tb.samples(spark, sf_dir), tb.line_regions(spark, sf_dir))
     names = tb.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name")).crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "label")))
-    rows = names.join(sliced, ["name", "label"], "left").select(F.floor(F.col("name") / 8).alias("batch"), "label", F.col("name").alias("slot"), "name", byte_values(F.coalesce("data", F.lit(b""))).alias("values"))
+    rows = names.join(sliced, ["name", "label"], "left").select(F.floor(F.col("name") / 8).alias("batch"), "label", F.col("name").alias("slot"), "name", bt.tokens_of("data").alias("tokens"))
     out = bt.collate(rows, least=16, multiple=64, keys=("batch", "label"))
-    return out.select("batch", "label", F.size("names").cast("long").alias("rows"), "length")
+    return out.select("batch", "label", F.size("names").cast("long").alias("rows"), "length", _told("tokens")["digest"].alias("digest"))
 
 
-@query(f"""WITH {tb.LINE_REGIONS_SQL}, r AS (SELECT name // 2 AS batch, label, "end" - "start" AS n FROM line_regions),
-k AS (SELECT DISTINCT doc_id // 2 AS batch, l AS label FROM documents, range(0, 3) x(l))
-SELECT k.batch, k.label, greatest(1, count(r.n)) AS rows, CAST(ceil(greatest(coalesce(max(n), 1), 16) / 64.0) * 64 AS BIGINT) AS length FROM k LEFT JOIN r ON r.batch = k.batch AND r.label = k.label GROUP BY 1, 2""")
+@query(f"""WITH {LINES}, r AS (SELECT name // 2 AS batch, label, name, ord, {SAID.format("line")} AS said, octet_length(encode(line)) AS n FROM lines),
+k AS (SELECT DISTINCT doc_id // 2 AS batch, l AS label FROM documents, range(0, 3) x(l)),
+f AS (SELECT batch, label, name, ord, coalesce(said, '0') AS said, coalesce(n, 1) AS n FROM k LEFT JOIN r USING (batch, label)),
+w AS (SELECT *, CAST(ceil(greatest(max(n) OVER (PARTITION BY batch, label), 16) / 64.0) * 64 AS BIGINT) AS length FROM f)
+SELECT batch, label, count(*) AS rows, length, md5(string_agg({PADDED}, ',' ORDER BY name, ord)) AS digest FROM w GROUP BY batch, label, length""")
 def structural_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every region; a structure without any in a batch gets one row of a single padding value."""
     regions = tb.line_regions(spark, sf_dir)
     ordered = iv.region_order(regions, F.floor(F.col("name") / 2))
     pieces = iv.cut_pieces(tb.samples(spark, sf_dir), ordered, "batch", "label", F.col("local").alias("slot"))
-    rows = pieces.select("batch", "label", "slot", "name", byte_values("piece").alias("values"))
+    rows = pieces.select("batch", "label", "slot", "name", bt.tokens_of("piece").alias("tokens"))
     keys = tb.read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 2).alias("batch")).distinct().crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "label")))
     out = bt.collate(bt.with_empty_structures(rows, keys), least=16, multiple=64, keys=("batch", "label"))
-    return out.select("batch", "label", F.size("names").cast("long").alias("rows"), "length")
+    return out.select("batch", "label", F.size("names").cast("long").alias("rows"), "length", _told("tokens")["digest"].alias("digest"))
 
 
 @query("""WITH RECURSIVE rows AS (SELECT CASE l_linenumber WHEN 1 THEN 9 WHEN 2 THEN 9 WHEN 3 THEN 9 ELSE l_linenumber END AS token, l_orderkey AS pos, l_suppkey AS row FROM lineitem),

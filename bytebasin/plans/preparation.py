@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytebasin.functions.scalars import byte_values, clean_timestamp
+from bytebasin.functions.scalars import clean_timestamp
 from bytebasin.operators import batching as bt
 from bytebasin.operators import integrity as ig
 from bytebasin.operators import intervals as iv
@@ -62,5 +62,5 @@ def training_batches(spark: SparkSession, folder: str, level: str, per_batch: in
         rows = iv.cap_lengths(rows, cap)
     sliced = iv.slice_blobs(samples, rows.withColumn("ord", F.col("start")))
     batches = bt.batches(samples.select("name"), per_batch, "name")
-    values = sliced.join(batches, "name").select("batch", "label", "slot", "name", byte_values(F.col("data")).alias("values"))
+    values = sliced.join(batches, "name").select("batch", "label", "slot", "name", bt.tokens_of("data").alias("tokens"))
     return bt.collate(values, least, multiple, keys=("batch", "label"))

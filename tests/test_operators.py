@@ -109,12 +109,13 @@ def test_pad_lengths(spark):
 def test_collate_shifts_and_pads(spark):
     rng = random.Random(12)
     rows = [(b, s, 100 * b + s, [rng.randint(0, 255) for _ in range(rng.randint(0, 9))]) for b in range(4) for s in range(rng.randint(1, 5))]
-    got = {r.batch: r for r in bt.collate(spark.createDataFrame(rows, "batch long, slot long, name long, values array<int>"), least=4, multiple=4).collect()}
+    blobs = spark.createDataFrame([(b, s, n, bytes(v)) for b, s, n, v in rows], "batch long, slot long, name long, data binary")
+    got = {r.batch: r for r in bt.collate(blobs.withColumn("tokens", bt.tokens_of("data")).drop("data"), least=4, multiple=4).collect()}
     for b in range(4):
         mine = [r for r in rows if r[0] == b]
         length = max(4, -(-max(len(r[3]) for r in mine) // 4) * 4)
         assert got[b].length == length and got[b].names == [r[2] for r in mine] and got[b].lengths == [len(r[3]) for r in mine]
-        assert got[b].tokens == [[x + 1 for x in r[3]] + [0] * (length - len(r[3])) for r in mine]
+        assert [np.frombuffer(t, "<u2").tolist() for t in got[b].tokens] == [[x + 1 for x in r[3]] + [0] * (length - len(r[3])) for r in mine]
 
 
 def test_entropy_windows(spark):

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from test_sources import executable
 
@@ -14,6 +15,10 @@ def blobs(spark):
     return spark.createDataFrame([(hashlib.sha256(d).hexdigest(), d, i % 2) for i, d in enumerate(data)], "name string, data binary, label int")
 
 
+def tokens(row):
+    return [np.frombuffer(t, "<u2").tolist() for t in row.tokens]
+
+
 def test_preprocess_and_batch(spark, blobs, tmp_path):
     status = pr.preprocess(blobs.selectExpr("name AS sha", "label"), blobs, str(tmp_path / "p"), 1150, 4).collect()
     assert sum(r.samples for r in status) == 10 and all(r.missing == r.unexpected == r.wrong_label == r.oversized == r.wrong_digest == r.stray_regions == 0 for r in status)
@@ -22,10 +27,10 @@ def test_preprocess_and_batch(spark, blobs, tmp_path):
     of = {(r.batch, r.label): r for r in rows}
     data = {r["name"]: bytes(r.data)[:1150] for r in blobs.collect()}
     whole = [r for r in rows if r.label == "UNKNOWN"]
-    assert len(whole) == 1 and bytes(t - 1 for t in whole[0].tokens[0][:7]) == b"not one"
+    assert len(whole) == 1 and bytes(t - 1 for t in tokens(whole[0])[0][:7]) == b"not one"
     for r in rows:
-        assert r.length % 16 == 0 and all(len(t) == r.length for t in r.tokens)
-        for name, n, t in zip(r.names, r.lengths, r.tokens):
+        assert r.length % 16 == 0 and all(len(t) == r.length for t in tokens(r))
+        for name, n, t in zip(r.names, r.lengths, tokens(r)):
             assert bytes(x - 1 for x in t[:n]) in data[name] and all(x == 0 for x in t[n:])
     assert {x for _, x in of} >= {"HEADERS", "CODE", "DATA", "OVERLAY"}
 
