@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from bytebasin.functions.scalars import pad_length
 from bytebasin.operators.ranking import global_rank
@@ -24,7 +25,7 @@ def batches(df: DataFrame, per_batch: int, *order: Column | str, drop_last: bool
     return out.drop("rank")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def tokens_of(blobs: pd.Series) -> pd.Series:
     """The bytes of a blob as tokens of 16 bits, little-endian: one more than the byte, so that 0 is left for padding.
     A null blob has none."""

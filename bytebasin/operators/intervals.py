@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytebasin.operators.bitmaps import bytes_of, words_of_ranges
+
 
 def clip(regions: DataFrame, limit: Column | str = "size") -> DataFrame:
     """Ranges cut to [0, limit); empty ones go."""
@@ -123,19 +125,22 @@ def structure_flags(regions: DataFrame, labels: Iterable[str], first: int | None
 
 
 def paint(regions: DataFrame) -> DataFrame:
-    """A row for each covered position, with the masks of its ranges joined: (name, pos, mask)."""
-    pos = regions.where("end > start").select("name", "mask", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    return pos.groupBy("name", "pos").agg(F.bit_or("mask").alias("mask"))
+    """A row for each covered position, with the masks of its ranges joined: (name, pos, mask).
+
+    Ranges are painted by words of 64 positions, those of one mask together; positions come out of the joined words.
+    """
+    words = words_of_ranges(regions, ["name", "mask"]).groupBy("name", "word", "mask").agg(F.bit_or("bits").alias("bits"))
+    met = words.groupBy("name", "word").agg(F.collect_list(F.struct("mask", "bits")).alias("layers"))
+    of = lambda k: F.aggregate("layers", F.lit(0).cast("long"), lambda m, x: F.when(F.getbit(x["bits"], k) == 1, m.bitwiseOR(x["mask"])).otherwise(m))
+    every = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.struct((F.col("word") * 64 + k).alias("pos"), of(k).alias("mask")))
+    return met.select("name", F.inline(F.filter(every, lambda p: p["mask"] != 0)))
 
 
 def paint_packed(regions: DataFrame, keys: Iterable[str] = ("name",)) -> DataFrame:
-    """Eight positions a byte, the lowest bit first, without a row for each position: (keys, byte, bits)."""
+    """Eight positions a byte, the lowest bit first: (keys, byte, bits). Ranges are joined by words of 64 positions."""
     keys = list(keys)
-    rows = regions.where("end > start").select(*keys, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / 8), F.floor((F.col("end") - 1) / 8))).alias("byte"))
-    low = F.greatest(F.lit(0), F.col("start") - F.col("byte") * 8).cast("int")
-    high = F.least(F.lit(8), F.col("end") - F.col("byte") * 8).cast("int")
-    bits = F.expr("shiftleft(1, hi) - shiftleft(1, lo)")
-    return rows.withColumns({"lo": low, "hi": high}).groupBy(*keys, "byte").agg(F.bit_or(bits.cast("long")).alias("bits"))
+    words = words_of_ranges(regions, keys).groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
+    return bytes_of(words.withColumn("known", F.col("bits")), *keys)
 
 
 def runs(positions: DataFrame, keys: Iterable[str] = ("name",)) -> DataFrame:

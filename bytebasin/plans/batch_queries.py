@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from bytebasin.functions.scalars import pad_length
 from bytebasin.operators import batching as bt
@@ -29,7 +30,7 @@ PADDED = "CASE WHEN n = 0 THEN substr(repeat(',0', length), 2) ELSE said || repe
 LINES = "lines AS (SELECT name, p - 1 AS ord, (p - 1) % 3 AS label, parts[p] AS line FROM (SELECT doc_id AS name, string_split(text, chr(10)) AS parts FROM documents) d, range(1, 100000) r(p) WHERE p <= len(parts) AND parts[p] <> '')"
 
 
-@F.pandas_udf("n long, total long, digest string")
+@F.pandas_udf(StructType([StructField("n", LongType()), StructField("total", LongType()), StructField("digest", StringType())]))
 def _told(rows: pd.Series) -> pd.DataFrame:
     """Number, sum and digest of the tokens of a row's sequences, written as decimal numbers."""
     found = []

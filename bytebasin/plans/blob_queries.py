@@ -158,6 +158,15 @@ def bitmap_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.select(bm.pack(flags, ["name"]), flags.where("pos % 3 = 0 OR pos BETWEEN 5 AND 9"), ["name"])
 
 
+@query(FLAGS + """, n AS (SELECT name, 8 * CAST(ceil(count(*) / 8.0) AS BIGINT) AS top FROM f GROUP BY name), k AS (SELECT n.name, p_size AS "start", least(p_size + 1 + p_partkey % 90, top) AS "end", p_partkey FROM part JOIN n ON n.name = p_brand),
+s AS (SELECT k.name, row_number() OVER (PARTITION BY k.name ORDER BY "start", "end", p_partkey, pos) - 1 AS pos, coalesce(value, false) AS value FROM (SELECT name, "start", "end", p_partkey, unnest(range("start", "end")) AS pos FROM k) k LEFT JOIN f USING (name, pos))
+SELECT name, pos // 8 AS byte, sum(CASE WHEN value THEN 1 << CAST(pos % 8 AS INTEGER) ELSE 0 END) AS bits FROM s GROUP BY 1, 2""")
+def bitmap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of each brand's bitmap for every part of it, one after another; they overlap and go beyond the end."""
+    ranges = tb.read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + 1 + F.col("p_partkey") % 90).cast("long").alias("end"))
+    return bm.select_ranges(bm.pack(_flags(spark, sf_dir), ["name"]), ranges, ["name"])
+
+
 @query(FLAGS + " SELECT name, pos // 8 AS byte, sum(CASE WHEN value THEN 1 << CAST(pos % 8 AS INTEGER) ELSE 0 END) AS bits FROM f WHERE pos < 24 GROUP BY 1, 2")
 def bitmap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.trim(bm.pack(_flags(spark, sf_dir), ["name"]), 20)
