@@ -149,3 +149,20 @@ def stored_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = sp.temporal_split(tb.timed_samples(spark, sf_dir), SHARES).withColumn("shard", F.col("idx") % 4)
     read = lambda folder: spark.read.parquet(folder).groupBy("split", F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return _through(spark, lambda folder: sp.write_splits(split, folder), read)
+
+
+@query("""SELECT CASE WHEN octet_length(encode(text)) < 500 THEN 'skipped' WHEN starts_with(text, 'S') THEN 'error: ValueError: an S' END AS reject_reason, count(*) AS n,
+CAST(coalesce(sum(CASE WHEN octet_length(encode(text)) >= 500 AND NOT starts_with(text, 'S') THEN len(text) - len(replace(text, chr(10), '')) END), 0) AS BIGINT) AS breaks FROM documents GROUP BY 1""")
+def transformed_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's transform as a table function in SQL: short blobs are skipped, some fail, and both are counted."""
+
+    def breaks(name: int, data: bytes) -> tuple[int, int] | None:
+        if len(data) < 500:
+            return None
+        if data.startswith(b"S"):
+            raise ValueError("an S")
+        return name, data.count(b"\n")
+
+    spark.udtf.register("line_breaks", store.table_function(breaks, "name long, breaks long"))
+    tb.samples(spark, sf_dir).select("name", "data").createOrReplaceTempView("line_break_samples")
+    return spark.sql("SELECT reject_reason, count(*) AS n, coalesce(sum(breaks), 0) AS breaks FROM line_breaks(TABLE(line_break_samples)) GROUP BY reject_reason")

@@ -8,6 +8,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from bytebasin.functions.scalars import starts_with_magic
 from bytebasin.operators.intervals import point_join
@@ -17,6 +19,8 @@ from bytebasin.sources.shared import checkpointed
 SIZE_SCHEMA = "idx long, name string, shard int, offset long, size long"
 META_SCHEMA = "idx long, name string, shard int, timestamp long, malware int, family string"
 RUNLOG_SUFFIX = "_gpu_mem"
+#: The reason of a row that a user's transform has left out.
+SKIPPED = "skipped"
 #: Bytes of a row group of stored sets; shards, and keys, that a lookup of many pushes down at most.
 ROW_GROUP, FEW_SHARDS, FEW_KEYS = 8 << 20, 1000, 200
 
@@ -199,16 +203,46 @@ def concat(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def map_blobs(samples: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(name, data)`` of every sample: a tuple after ``schema``, or None to leave the sample out."""
-    names = [c.split()[0] for c in schema.split(",")]
+def table_function(fn, schema: str):
+    """A table function of a user's transform, for SQL and DataFrames alike, over TABLE(name, data).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for n, d in zip(batch["name"], batch["data"]) if (r := fn(n, d)) is not None]
-            yield pd.DataFrame(rows, columns=names)
+    ``fn(name, data)`` gives a tuple after ``schema``, None to skip the sample, or fails. Each sample is one row: the
+    transform's columns, ``sample``, its name as text, and ``reject_reason``: null, ``skipped`` or the error. Rejected
+    rows have nulls in the transform's columns, so that nothing is lost unseen.
+    """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    class Transform:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            rows, samples, reasons = [], [], []
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("data").to_pylist()):
+                try:
+                    found = fn(name, data)
+                    reason = None if found is not None else SKIPPED
+                except Exception as e:  # whatever a user's code raises is a reason to reject the row, not the job
+                    found, reason = None, f"error: {type(e).__name__}: {e}"
+                rows.append(found if found is not None else (None,) * len(kinds))
+                samples.append(None if name is None else str(name))
+                reasons.append(reason)
+            columns = list(zip(*rows)) if rows else [()] * len(kinds)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(samples, pa.string()), pa.array(reasons, pa.string())], [*kinds.names, "sample", "reject_reason"])
 
-    return samples.select("name", "data").mapInPandas(run, schema)
+    return F.arrow_udtf(Transform, returnType=f"{schema}, sample string, reject_reason string")
+
+
+def transformed(samples: DataFrame, fn, schema: str) -> DataFrame:
+    """A user's transform of samples with ``sample`` and ``reject_reason``, see ``table_function``."""
+    return table_function(fn, schema)(samples.select("name", "data").asTable())
+
+
+def map_blobs(samples: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(name, data)`` of every sample: a tuple after ``schema``, or None to leave the sample out. An error of it is
+    one of the job when rows are read."""
+    rows = transformed(samples, fn, schema)
+    bad = F.raise_error(F.concat(F.col("reject_reason"), F.lit(", sample "), F.coalesce("sample", F.lit("null")))).cast("boolean")
+    good = F.when(F.coalesce("reject_reason", F.lit("")).startswith("error"), bad).otherwise(F.col("reject_reason").isNull())
+    return rows.where(good).drop("sample", "reject_reason")
 
 
 def score_blobs(samples: DataFrame, model) -> DataFrame:

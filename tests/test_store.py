@@ -76,3 +76,19 @@ def test_containers_and_back(spark, tmp_path, page):
     assert got == {i: (n, s, d, x, t, f or "") for i, n, s, d, x, t, f in rows}
     with pytest.raises(Exception, match="exists"):
         store.write_containers(df, str(tmp_path / "c"), page)
+
+
+def test_transforms_with_a_reject_channel(spark):
+    def fn(name, data):
+        if data is None:
+            return None
+        return name, 100 // len(data), data[::-1]
+
+    df = spark.createDataFrame([("a", b"xy"), ("b", b""), ("c", None), (None, b"q"), ("a", b"xy")], "name string, data binary").repartition(3)
+    rows = sorted(((r.id, r.share, r.back and bytes(r.back), r["sample"], r.reject_reason) for r in store.transformed(df, fn, "id string, share long, back binary").collect()), key=repr)
+    error = "error: ZeroDivisionError: integer division or modulo by zero"
+    assert rows == sorted([("a", 50, b"yx", "a", None)] * 2 + [(None, None, None, "b", error), (None, None, None, "c", "skipped"), (None, 100, b"q", None, None)], key=repr)
+    assert store.map_blobs(df.where("name <> 'b'"), fn, "id string, share long, back binary").count() == 2
+    with pytest.raises(Exception, match="ZeroDivisionError.*sample b"):
+        store.map_blobs(df, fn, "id string, share long, back binary").collect()
+    assert store.transformed(df.limit(0), fn, "id string, share long, back binary").count() == 0
