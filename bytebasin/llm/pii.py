@@ -127,8 +127,10 @@ def with_personal_data(docs: DataFrame, text: str = "text", into: str = "pii") -
     stay. Base kinds are kept whatever their score, those of an added kind from a score of KEEP on: an account number has it
     by its checksum, a secret by a word nearby.
     """
+    # columns get numbers for a while, so that no name of theirs meets one in use here
+    number = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     whole = "__pii_text"
-    out = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    out = docs.toDF(*number.values()).withColumn(whole, F.coalesce(F.col(number[text]), F.lit("")))
     present = {k: F.contains(F.col(whole), F.lit(NEEDS[k])) if k in NEEDS else F.lit(True) for k in KINDS}
     out = out.withColumns({f"__pii_{k}_found": F.when(present[k], F.regexp_extract_all(F.col(whole), F.lit(PATTERNS[k]), F.lit(0))) for k in KINDS})
     some = {k: F.size(F.col(f"__pii_{k}_found")) > 0 for k in KINDS}
@@ -146,8 +148,9 @@ def with_personal_data(docs: DataFrame, text: str = "text", into: str = "pii") -
 
     found = F.filter(F.concat(*[scored(i, k) for i, k in enumerate(KINDS)]), lambda s: (s["order"] < len(BASE)) | (s["score"] >= KEEP))
     spans = F.array_sort(found)
-    out = out.withColumn(into, F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["score"].alias("score"))))
-    return out.drop(whole, *[f"__pii_{k}{x}" for k in KINDS for x in ("", "_found", "_cuts")])
+    spans = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["score"].alias("score")))
+    kept = {c: F.col(n) for c, n in number.items()} | {into: spans}
+    return out.select(*[v.alias(c) for c, v in kept.items()])
 
 
 def joined(spans: Column) -> Column:

@@ -95,3 +95,17 @@ def test_very_long_runs(spark, n):
     got = [[(s.kind, s.start, s.end) for s in r.pii] for r in pii.with_personal_data(docs).collect()]
     assert [g for g in got[:5]] == [[]] * 5 and got[5] == [("email", 0, 2 + 2 * n - 1)]
     assert len(got[6]) == n // 4
+
+
+def test_columns_of_any_name_stay(spark):
+    from bytebasin.llm import pii
+
+    row = ("a@b.org", "keep", 7, "old", "__")
+    docs = spark.createDataFrame([row, (None, None, None, None, None)], "text string, __pii_text string, __pii_email int, pii string, __0 string")
+    got = pii.with_personal_data(docs)
+    assert got.columns == docs.columns
+    first, second = sorted(got.collect(), key=lambda r: r.text is None)
+    assert (first.text, first["__pii_text"], first["__pii_email"], first["__0"]) == ("a@b.org", "keep", 7, "__")
+    assert [(s.kind, s.start, s.end) for s in first.pii] == [("email", 0, 7)] and second.pii == []
+    again = pii.with_personal_data(docs, text="__pii_text", into="found")
+    assert again.columns == [*docs.columns, "found"] and {r.pii for r in again.collect()} == {"old", None}
