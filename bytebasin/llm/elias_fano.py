@@ -8,6 +8,8 @@ import numpy as np
 
 #: One sampled position of the upper bits for so many values.
 SAMPLE = 256
+#: Values whose bits are laid out at a time, a multiple of eight.
+CHUNK = 1 << 13
 _HEAD = struct.Struct("<QQ")
 
 
@@ -31,11 +33,14 @@ class EliasFano:
         values = np.asarray(values, "<u8")
         n, greatest = len(values), int(values[-1]) if len(values) else 0
         bits = cls.low_bits(n, greatest)
-        low = ((values[:, None] >> np.arange(bits, dtype="<u8")) & np.uint64(1)).astype(np.uint8)
+        # values go a few at a time, as each has a number for every bit; eight of them end on a byte
+        places, low = np.arange(bits, dtype="<u8"), []
+        for i in range(0, n, CHUNK):
+            low.append(np.packbits(((values[i : i + CHUNK, None] >> places) & np.uint64(1)).astype(np.uint8), bitorder="little").tobytes())
         ones = (values >> np.uint64(bits)).astype("i8") + np.arange(n)
         upper = np.zeros(n + (greatest >> bits) + 1, np.uint8)
         upper[ones] = 1
-        return cls(n, greatest, np.packbits(low, bitorder="little").tobytes(), np.packbits(upper, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u8"))
+        return cls(n, greatest, b"".join(low), np.packbits(upper, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u8"))
 
     def to_bytes(self) -> bytes:
         return _HEAD.pack(self.n, self.greatest) + self.low + self.upper + self.samples.tobytes()

@@ -142,3 +142,16 @@ def test_compiled_character_map():
             assert text.decode() == theirs.normalize(t), (rule, t)
             assert len(start) == len(end) == len(text) and (np.diff(start) >= 0).all() and (start <= end).all()
     assert [int(x) for x in ours("ﬁn".encode())[2]][-1] == 4
+
+
+def test_elias_fano_over_many_chunks():
+    import numpy as np
+
+    from bytebasin.llm import elias_fano
+
+    rng = np.random.default_rng(9)
+    for n in (elias_fano.CHUNK - 1, elias_fano.CHUNK, 2 * elias_fano.CHUNK + 3):
+        values = np.cumsum(rng.integers(0, 3000, n))
+        found = elias_fano.EliasFano.from_bytes(elias_fano.EliasFano.of(values).to_bytes())
+        at = [0, n - 1, elias_fano.CHUNK - 2, *rng.integers(0, n, 300).tolist()]
+        assert [found.select(i) for i in at] == [int(values[i]) for i in at]
