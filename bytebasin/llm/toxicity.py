@@ -196,15 +196,21 @@ def _fitted(training: DataFrame) -> ToxicityModel:
                 found.append((y, len(words), [s for _, _, s in model.segments(words)], list(seen), list(seen.values())))
             yield pd.DataFrame(found, columns=["label", "n", "scores", "values", "times"])
 
-    scanned = training.mapInPandas(scan, "label int, n long, scores array<double>, values array<double>, times array<long>").collect()
-    tokens: Counter[float] = Counter()
-    for r in scanned:
-        tokens.update(dict(zip(r["values"], r["times"])))
-    model.rate = _rate(np.array(list(tokens)), np.array(list(tokens.values()), float), sum(r["n"] for r in scanned if not r["label"]))
-    scanned = [(r["label"], r["n"], list(r["scores"])) for r in scanned]
-    null = [(max(1, n), max(scores, default=0.0)) for y, n, scores in scanned if not y]
-    model.scale = len(null) / sum(n * math.exp(-model.rate * s) for n, s in null)  # the most likely K
-    model.slope, model.intercept = _logistic(np.array([model.evidence(s, n) for _, n, s in scanned]), np.array([y for y, _, _ in scanned], float))
+    # a row for each word value, and two numbers for each training text, are all that comes to the driver
+    scanned = training.mapInPandas(scan, "label int, n long, scores array<double>, values array<double>, times array<long>").checkpoint()
+    pairs = scanned.select(F.inline(F.arrays_zip("values", "times"))).groupBy("values").agg(F.sum("times").alias("times")).orderBy("values").collect()
+    total = scanned.agg(F.sum(F.when(F.col("label") == 0, F.col("n")))).first()[0] or 0
+    model.rate = _rate(np.array([r["values"] for r in pairs], float), np.array([r["times"] for r in pairs], float), total)
+    top = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    null = scanned.where("label = 0").agg(F.count("*").alias("n"), F.sum(F.greatest(F.lit(1), "n") * F.exp(-model.rate * top)).alias("chance")).first()
+    model.scale = null["n"] / null["chance"]  # the most likely K
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["label"]].assign(evidence=[model.evidence(list(s), n) for s, n in zip(batch["scores"], batch["n"])])
+
+    weighed = scanned.select("label", "n", "scores").mapInPandas(weigh, "label int, evidence double").collect()
+    model.slope, model.intercept = _logistic(np.array([r["evidence"] for r in weighed]), np.array([r["label"] for r in weighed], float))
     return model
 
 
