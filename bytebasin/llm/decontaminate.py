@@ -166,26 +166,37 @@ def with_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str
 
     A window is ``window`` consecutive words of an item, or a shorter item whole. Null and wordless texts have no words
     and no hits; null item ids or texts count for nothing; items of one id are one; without items nothing is hit. A
-    column named ``into`` is replaced, others and repeated rows stay. No shuffle: a block of items of bounded size is
-    broadcast to all documents. Further blocks are further passes, each checkpointed before the next, so that a worker
-    holds one block's automaton and the driver one block's items.
+    column named ``into`` is replaced, others and repeated rows stay.
+
+    A block of items of bounded size is broadcast to all documents, without a shuffle. For further blocks texts are read
+    and matched once more each, so that a worker holds one block's automaton; what is kept of a pass are the hits of
+    texts that have any, by a hash of the text of 128 bits. No text is written; documents meet the hits in the end.
     """
     ensure_checkpoints(docs.sparkSession)
-    more = "__more"
-    while more in docs.columns:
-        more += "_"
-    out = None
-    for rows in _blocks(items, item_id, item_text):
-        mine = _matcher(docs.sparkSession.sparkContext.broadcast(rows), window)(F.col(text))
-        if out is None:
-            found = docs.withColumn(into, mine)
-            out = found.withColumn(into, F.struct(*[F.col(f"{into}.{c}").alias(c) for c in ("n_words", "spans", "items")]))
-            continue
-        out = out.checkpoint().withColumn(more, mine)
-        both = F.array_sort(F.concat(f"{into}.spans", f"{more}.spans"))
-        merged = F.struct(F.col(f"{into}.n_words").alias("n_words"), _merged(both).alias("spans"), F.array_sort(F.array_union(f"{into}.items", f"{more}.items")).alias("items"))
-        out = out.withColumn(into, merged).drop(more)
-    return out
+    blocks = _blocks(items, item_id, item_text)
+    first = next(blocks)
+    found = docs.withColumn(into, _matcher(docs.sparkSession.sparkContext.broadcast(first), window)(F.col(text)))
+    own = {c: F.col(f"{into}.{c}") for c in ("n_words", "spans", "items")}
+    further = None
+    for rows in blocks:
+        mine = _matcher(docs.sparkSession.sparkContext.broadcast(rows), window)(F.col("t"))
+        texts = docs.select(F.col(text).alias("t")).where("t IS NOT NULL")
+        hit = staged(texts.withColumn("h", mine), h=F.col("h")).where(F.size("h.spans") > 0)
+        keyed = hit.select(*[F.xxhash64(F.lit(k), "t").alias(f"k{k}") for k in (1, 2)], "h.spans", "h.items")
+        part = keyed.groupBy("k1", "k2").agg(F.first("spans").alias("spans"), F.first("items").alias("items")).checkpoint()
+        further = part if further is None else further.unionByName(part)
+    if further is None:
+        return found.withColumn(into, F.struct(*[c.alias(n) for n, c in own.items()]))
+    more = further.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    # columns get numbers for a while, so that no name of theirs meets one in use here
+    number = {c: f"__{i}" for i, c in enumerate(found.columns)}
+    held = found.toDF(*number.values()).withColumns({f"k{k}": F.xxhash64(F.lit(k), F.col(number[text])) for k in (1, 2)})
+    met = held.join(more, ["k1", "k2"], "left")
+    mine = F.col(number[into])
+    nothing = F.expr("CAST(array() AS ARRAY<STRUCT<start: INT, end: INT>>)"), F.expr("CAST(array() AS ARRAY<STRING>)")
+    spans = _merged(F.array_sort(F.concat(mine["spans"], F.coalesce("spans", nothing[0]))))
+    merged = F.struct(mine["n_words"].alias("n_words"), spans.alias("spans"), F.array_sort(F.array_union(mine["items"], F.coalesce("items", nothing[1]))).alias("items"))
+    return met.select(*[(merged if c == into else F.col(n)).alias(c) for c, n in number.items()])
 
 
 def _merged(spans: Column) -> Column:

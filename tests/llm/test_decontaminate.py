@@ -83,3 +83,20 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.digests(decontaminate.with_hits(docs, none)).collect()[0].n_hit == 0
     assert decontaminate.with_hits(docs.limit(0), none).count() == 0
+
+
+def test_several_blocks_in_one_pass_each(spark, monkeypatch):
+    """Over several blocks the same stretches go as over one; no text is written, repeated rows and clashing names stay."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i % 17, " ".join(rng.choices(words, k=rng.choice([4, 12, 25])))) for i in range(30)]
+    texts = [" ".join(rng.choices(words, k=20)) + " - " + items[i % 30][1] + ". " + " ".join(rng.choices(words, k=30)) + items[(i * 7) % 30][1] for i in range(25)]
+    rows = [(i, t, "x", 1, 2) for i, t in enumerate([*texts, *texts[:9], texts[0], None, None, "", "clean"])] + [(None, texts[3], "y", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string, __0 int, spans int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    whole, hits = key(decontaminate.decontaminate(docs, bench)), key(decontaminate.with_hits(docs, bench, into="spans"))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    assert len(list(decontaminate._blocks(bench, "item_id", "text"))) > 3
+    assert key(decontaminate.decontaminate(docs, bench)) == whole and key(decontaminate.with_hits(docs, bench, into="spans")) == hits
+    assert any(r[1] != t[1] for r, t in zip(whole, sorted(rows, key=repr)))
