@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,7 +158,8 @@ def segments(regions: DataFrame) -> DataFrame:
     A sweep: ranges of one bit are merged, so a bit turns at the start and at the end of each, and the mask of a segment
     is what has turned an odd number of times before it. No range meets another one.
     """
-    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("mask", k) == 1))
+    # up to a mask's highest bit, of which few are in use as a rule
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.length(F.bin("mask")) - 1), lambda k: F.getbit("mask", k) == 1))
     by_bit = merge(regions.where("end > start").select("name", "start", "end", bit.alias("bit")), ["name", "bit"])
     turns = by_bit.select("name", F.explode(F.array("start", "end")).alias("start"), F.expr("shiftleft(1L, bit)").alias("turn"))
     edges = regions.select("name", F.explode(F.array("start", "end")).alias("start"), F.lit(0).cast("long").alias("turn"))
@@ -172,12 +174,13 @@ LEAST_BUCKET, GROWTH = 64, 16
 
 
 def _bucket_sizes(*tables: DataFrame) -> list[int]:
-    """Bucket sizes up to the length of the longest range."""
-    longest = max(t.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0 for t in tables)
-    sizes = [LEAST_BUCKET]
-    while sizes[-1] < longest:
-        sizes.append(sizes[-1] * GROWTH)
-    return sizes
+    """The bucket sizes that hold the ranges' lengths, those alone that some range needs; one job over all tables."""
+    every = [LEAST_BUCKET]
+    while every[-1] < 1 << 62:
+        every.append(min(1 << 62, every[-1] * GROWTH))
+    lengths = reduce(DataFrame.union, [t.select((F.col("end") - F.col("start")).alias("n")) for t in tables]).where("n > 0")
+    holds = F.get(F.filter(F.array(*[F.lit(s).cast("long") for s in every]), lambda s: s >= F.col("n")), 0)
+    return sorted(lengths.agg(F.collect_set(holds)).first()[0] or [LEAST_BUCKET])
 
 
 def _in_buckets(df: DataFrame, sizes: list[int]) -> DataFrame:

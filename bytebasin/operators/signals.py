@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,19 +138,28 @@ def byte_patch_maxima(samples: DataFrame, patch: int | None = None) -> DataFrame
     Found in the blob's row: no shuffle. A blob without bytes has no row.
     """
 
-    @F.pandas_udf("array<struct<value: long, pos: long>>")
-    def greatest(blobs: pd.Series) -> pd.Series:
-        out = []
-        for b in blobs:
-            x = as_bytes(b).astype(np.int16)
-            size = patch or max(1, len(x))
-            rows = np.pad(x, (0, -len(x) % size), constant_values=-1).reshape(-1, size)
-            at = rows.argmax(axis=1) if len(rows) else np.zeros(0, int)
-            out.append([{"value": v, "pos": p} for v, p in zip(rows[np.arange(len(rows)), at].tolist(), (at + np.arange(len(rows)) * size).tolist())])
-        return pd.Series(out, dtype=object)
-
-    found = samples.where(F.length("data") > 0).select("name", F.posexplode(greatest("data")).alias("patch", "m"))
-    return found.select("name", F.col("patch").cast("long").alias("patch"), "m.value", "m.pos")
+    def greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, places, values, spots = [], [], [], []
+            for row in range(batch.num_rows):
+                x = as_bytes(batch.column("data")[row].as_buffer())
+                size = patch or max(1, len(x))
+                whole = len(x) // size
+                at = x[: whole * size].reshape(-1, size).argmax(axis=1)
+                if whole * size < len(x):
+                    at = np.append(at, x[whole * size :].argmax())
+                at = at + np.arange(len(at)) * size
+                owner.append(np.full(len(at), row))
+                places.append(np.arange(len(at)))
+                values.append(x[at].astype(np.int64))
+                spots.append(at)
+            if owner:
+                arrays = [batch.column("name").take(pa.array(np.concatenate(owner))), *[pa.array(np.concatenate(c)) for c in (places, values, spots)]]
+                yield pa.RecordBatch.from_arrays(arrays, ["name", "patch", "value", "pos"])
+
+    rows = samples.where(F.length("data") > 0).select("name", "data")
+    name = rows.schema["name"].dataType.simpleString()
+    return rows.mapInArrow(greatest, f"name {name}, patch long, value long, pos long")
 
 
 def patch_centres(patches: DataFrame, longest: int) -> DataFrame:

@@ -133,12 +133,11 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT split, idx, row_number() OVER (PARTITION BY split ORDER BY idx) - 1 AS r FROM s), b AS (SELECT split, r // 1024 AS bucket, md5(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY r)) AS digest, count(*) AS n FROM o GROUP BY 1, 2)
 SELECT split, md5(string_agg(digest, ',' ORDER BY bucket)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY split""")
 def split_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
+    """Digests of each split's ids in order: one rank over all of them, less each split's first."""
     split = sp.temporal_split(tb.timed_samples(spark, sf_dir), SHARES).select("idx", "split")
-    for i in range(3):
-        part = rk.global_rank(split.where(F.col("split") == i), "idx")
-        out = part if out is None else out.unionByName(part)
-    return st.ordered_fingerprint(out, "idx", "split")
+    ranked = rk.global_rank(split, "split", "idx")
+    first = ranked.groupBy("split").agg(F.min("rank").alias("first"))  # a row a split
+    return st.ordered_fingerprint(ranked.join(F.broadcast(first), "split").withColumn("rank", F.col("rank") - F.col("first")), "idx", "split")
 
 
 @query("WITH e AS (SELECT unnest(range(0, (SELECT max(doc_id) FROM labels) + 1)) AS idx) SELECT idx FROM e WHERE idx NOT IN (SELECT doc_id FROM labels)")
