@@ -132,7 +132,7 @@ def with_neighbour_likeness(docs: DataFrame, samples: int = SAMPLES, doc_id: str
     ``near_next``. Rows of one id go by a hash of the text, falling like the ids; null ids come last; after the last
     document comes the first (one document alone follows itself). One shuffle, by ranges of (id, hash), so that many
     rows of one id are dealt too; the first row of a range also goes to the range before it, so that no task waits for
-    another. A row for each range is broadcast.
+    another. A row for each range is broadcast. Ids must be whole numbers; any other is an error when rows are read.
     """
     spark = docs.sparkSession
     key = F.col("doc_id")

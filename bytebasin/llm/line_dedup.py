@@ -196,6 +196,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     lines that go go with them. Rows alike in id and text are one document and fare alike. A document whose text is
     deleted whole stays with an empty text; null and empty texts and those without repetition stay as they are. An
     empty table gives an empty table. Other columns stay, whatever their names; a column ``removed_lines`` is replaced.
+    Ids must be whole numbers; any other is an error when rows are read.
     """
     # columns get numbers for a while, so that no name of theirs meets one in use here
     number = {c: f"__{i}" for i, c in enumerate(docs.columns)}

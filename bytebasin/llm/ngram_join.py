@@ -303,7 +303,8 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N
     the least id of the documents connected by links, ``n_links`` how many other n-gram sets a document's own is linked
     to, ``n_copies`` how many rows have its very set, itself included. Copies are one node: they are counted, never
     paired. Null, empty and wordless texts have no links: each is a class by itself with one copy. Null ids are left out
-    of the least id unless a class has no other; repeated rows are copies. Other columns are not read.
+    of the least id unless a class has no other; repeated rows are copies. Other columns are not read. Ids must be whole
+    numbers; any other is an error when rows are read.
     """
     ensure_checkpoints(docs.sparkSession)
     found = sketches(docs, doc_id, text, n).checkpoint()
@@ -328,7 +329,7 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, n: int = N,
     Of the rows of a class that have an id, the one of least id stays, and of one id the text of least hash; of rows
     alike in id and text one stays. A row goes by its id and text together: another text under the same id has its own
     class. Rows without an id stay, all of them, and so do rows without words, which are classes of their own, whatever
-    repeats among them. An empty table gives an empty table. No links are counted.
+    repeats among them. An empty table gives an empty table. No links are counted. Ids must be whole numbers.
     """
     ensure_checkpoints(docs.sparkSession)
     found = sketches(docs, doc_id, text, n).checkpoint()

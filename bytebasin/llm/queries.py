@@ -220,3 +220,15 @@ links AS (SELECT a.r, b.r AS other, b.vec_id AS other_id FROM u a JOIN u b ON a.
 reach AS (SELECT r, r AS other, vec_id AS other_id FROM v UNION SELECT reach.r, l.other, l.other_id FROM reach JOIN links l ON l.r = reach.other),
 parts AS (SELECT r, min(other_id) AS component_id FROM reach GROUP BY r), n AS (SELECT r, count(*) AS n_links FROM links GROUP BY r)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN parts USING (r) LEFT JOIN n USING (r)"""
+
+ORACLES["op2_ngram_join"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS grams FROM d),
+k AS (SELECT r, doc_id, CASE WHEN len(grams) > 0 THEN md5(array_to_string(grams, '|')) END AS node, grams FROM g),
+n AS (SELECT node, any_value(grams) AS grams, min(doc_id) AS least, count(*) AS n_copies FROM k WHERE node IS NOT NULL GROUP BY node),
+x AS (SELECT node, len(grams) AS size, unnest(grams) AS gram FROM n),
+p AS (SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.gram = b.gram AND a.node <> b.node GROUP BY a.node, b.node, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-9),
+reach AS (SELECT node, node AS other FROM n UNION SELECT reach.node, p.b FROM reach JOIN p ON p.a = reach.other),
+c AS (SELECT reach.node, min(least) AS class_id FROM reach JOIN n ON n.node = reach.other GROUP BY reach.node), l AS (SELECT a AS node, count(*) AS n_links FROM p GROUP BY a)
+SELECT doc_id, CASE WHEN k.node IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM k LEFT JOIN n ON n.node = k.node LEFT JOIN c ON c.node = k.node LEFT JOIN l ON l.node = k.node"""

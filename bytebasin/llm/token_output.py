@@ -45,7 +45,7 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end_id: int = 1,
     columns are not read. One shuffle, by ranges of (``doc_id``, hash), so that many rows of one id are dealt too. A task
     writes a file named after its own attempt and the manifest names the files of the attempts that counted, so lost
     executors and speculative copies do no harm. Returns the manifest, a small record for each shard; an empty table
-    gives none.
+    gives none. Ids must be whole numbers; any other is an error when rows are read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

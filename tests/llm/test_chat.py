@@ -61,3 +61,11 @@ def test_long_conversation_goes_in_blocks(spark):
     log = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("seq"), F.col("id").alias("turn"), F.lit("message").alias("kind"), F.lit("assistant").alias("role"), F.col("id").cast("string").alias("text"))
     back = chat.read_back(chat.format_events(log)).collect()[0]
     assert back.learnt == [str(i) for i in range(n)]
+
+
+def test_clashing_columns_null_conversations_and_turns(spark):
+    """Columns by the names of the output are left out; rows without a conversation are one, without a turn the first."""
+    rows = [(None, 0, 0, "message", "user", "nobody's", "x", "y", "z"), (None, 1, 1, "message", "assistant", "answer", "x", "y", "z"), (5, 3, 1, "message", "assistant", "late", "x", "y", "z"), (5, 9, None, "message", "user", "early", "x", "y", "z")]
+    log = spark.createDataFrame(rows, "conv_id long, seq long, turn long, kind string, role string, text string, formatted string, n string, turns string")
+    got = {r.conv_id: ([(t.role, t.text) for t in r.turns], list(r.learnt)) for r in chat.read_back(chat.format_events(log)).collect()}
+    assert got == {None: ([("user", "nobody's"), ("assistant", "answer")], ["answer"]), 5: ([("user", "early"), ("assistant", "late")], ["late"])}

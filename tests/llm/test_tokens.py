@@ -155,3 +155,21 @@ def test_elias_fano_over_many_chunks():
         found = elias_fano.EliasFano.from_bytes(elias_fano.EliasFano.of(values).to_bytes())
         at = [0, n - 1, elias_fano.CHUNK - 2, *rng.integers(0, n, 300).tolist()]
         assert [found.select(i) for i in at] == [int(values[i]) for i in at]
+
+
+def test_repeated_rows_fare_alike_and_stay(spark):
+    """Rows alike in every column are there as often as before, each with the same answer."""
+    texts = ["same text, twice", "same text, twice", None, None, "", ""]
+    docs = spark.createDataFrame([(1, t, "x", 1) for t in texts], "doc_id long, text string, pieces string, n_bytes int")
+    counted = [tuple(r) for r in token_counts.with_token_counts(docs, tokenizer_file("word_bpe_49k.json")).collect()]
+    pieces = [(r.text, tuple(r.pieces.ids), r.pieces.decoded) for r in sentencepieces.with_pieces(docs, tokenizer_file("piece_bpe_32k.model")).collect()]
+    for got in (counted, pieces):
+        assert len(got) == 6 and len(set(got)) == 3
+    assert {(t, d) for t, _, d in pieces} == {("same text, twice", "same text, twice"), (None, ""), ("", "")}
+
+
+def test_pieces_of_an_empty_table(spark):
+    docs = rows(spark).limit(0)
+    for decoded in (True, False):
+        found = sentencepieces.with_pieces(docs, tokenizer_file("piece_bpe_32k.model"), decoded=decoded)
+        assert found.columns == [*docs.columns, "pieces"] and found.collect() == []
