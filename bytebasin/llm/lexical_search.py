@@ -8,6 +8,7 @@ maximum until what an item has found is safe. What the items have found in one b
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -229,7 +230,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, doc_id: str = "doc
     found = None
     for b, rows in enumerate(_blocks(items, item_id, item_text)):
         queries = Queries(rows)
-        shipped = context.broadcast({"key": f"{id(rows)}-{b}-{len(queries.vocabulary)}", "items": rows})
+        shipped = context.broadcast({"key": uuid.uuid4().hex, "items": rows})
         postings = _postings(texts, shipped).checkpoint()
         n, total = postings.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
         df = np.zeros(len(queries.vocabulary), np.int64)

@@ -118,7 +118,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "doc_
     leaves = docs.select(*[c.alias(n) for n, c in (named | dict(zip(held, keep.values()))).items()]).checkpoint()
     ranked = global_rank(leaves, "tree", "key", "leaf", F.monotonically_increasing_id())
     trees = ranked.groupBy("tree").agg(F.min("rank").alias("first"), F.count("*").alias("n")).checkpoint()
-    few = len(trees.limit(FEW_TREES + 1).take(FEW_TREES + 1)) <= FEW_TREES
+    few = trees.limit(FEW_TREES + 1).count() <= FEW_TREES
     per_block = fanout**levels
     placed = _join_trees(ranked, trees, few).withColumn("pos", F.col("rank") - F.col("first"))
     leaf = F.struct("pos", "key", "leaf", *held)
