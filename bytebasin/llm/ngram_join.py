@@ -135,6 +135,43 @@ def _in_block_pairs(rows: DataFrame, key: str, size: str) -> DataFrame:
     return rows.withColumnRenamed("__mine", "mine").drop("__pair", "__blocks")
 
 
+def _around_pivot(rows: DataFrame, key: str, size: str, payload: str, near) -> DataFrame:
+    """(key, size, node, payload, pivot, near): the nodes of groups of more than BLOCK against their group's least node.
+
+    The least node is sent to every block of its group, so that this takes work in proportion to the nodes.
+    ``near(pivot, payloads)`` tells which of a block's nodes are near it.
+    """
+    pivots = rows.groupBy(key).agg(F.min("node").alias("pivot"))
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    held = rows.join(pivots, key).withColumn("__blocks", blocks)
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("__blocks")).cast("int")
+    mine = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), F.col("__blocks") - 1)).otherwise(F.array(own))
+    dealt = _dealt(held.select(F.col(key).alias("key"), F.col(size).alias("size"), "node", F.col(payload).alias("payload"), "pivot", own.alias("own"), F.explode(mine).alias("block")), ["key", "block"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, ["key", "block"]):
+            first = group["node"].to_numpy() == group["pivot"].to_numpy()
+            close = near(group["payload"].iloc[int(np.argmax(first))], group["payload"])
+            # the pivot has its row in its own block alone
+            yield group.assign(near=close | first)[~first | (group["own"] == group["block"])].drop(columns=["own", "block"])
+        give_back()
+
+    return dealt.mapInPandas(compare, "key long, size long, node long, payload binary, pivot long, near boolean")
+
+
+def _rest_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of ``_around_pivot`` with ``lo``, ``hi`` and ``mine``: each node that isn't near its pivot meets every other
+    node of the group once. Near ones don't meet one another; a group of them alone has no row here."""
+    counts = rows.groupBy("key").agg(F.count_if(~F.col("near")).alias("far"), F.count_if("near").alias("close")).where("far > 0")
+    far, close = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("far", "close"))
+    place = F.xxhash64("node", F.lit("rest"))
+    mine = F.when(F.col("near"), F.col("__far") + F.pmod(place, F.col("__close"))).otherwise(F.pmod(place, F.col("__far"))).cast("int")
+    met = rows.join(counts, "key").withColumns({"__far": far, "__close": close}).withColumn("mine", mine)
+    upto = F.when(F.col("near"), F.col("__far")).otherwise(F.col("__far") + F.col("__close"))
+    pairs = F.transform(F.sequence(F.lit(0), upto - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("lo"), F.greatest(o, F.col("mine")).alias("hi")))
+    return met.withColumn("__pair", F.explode(pairs)).select("key", "node", "payload", "mine", "__pair.lo", "__pair.hi")
+
+
 def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "node")
 
@@ -195,9 +232,19 @@ def _likely_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
             roots = _roots(linked | linked.T, ids)
             yield pd.DataFrame({"a": ids, "b": roots})[ids != roots]
 
-    many = _in_block_pairs(members.where(F.col("size") > SMALL), "band", "size").select("band", "lo", "hi", "node")
-    blocks = _dealt(many.join(signed, "node"), ["band", "lo", "hi"]).mapInPandas(prune_blocks, "a long, b long")
-    return pairs.mapInPandas(prune, "a long, b long").union(blocks).distinct()
+    def survive(pivot: bytes, signatures: pd.Series) -> np.ndarray:
+        found = np.zeros(len(signatures), bool)
+        found[surviving(np.broadcast_to(np.frombuffer(pivot, "<u2"), (len(signatures), HASHES)), matrix(signatures), threshold)] = True
+        return found
+
+    several = members.where(F.col("size") > SMALL).join(signed, "node")
+    blocks = _dealt(_in_block_pairs(several.where(F.col("size") <= BLOCK), "band", "size").select("band", "lo", "hi", "node", "signature"), ["band", "lo", "hi"]).mapInPandas(prune_blocks, "a long, b long")
+    # in large buckets what stays with one node need not meet: its component holds all of them
+    around = _around_pivot(several.where(F.col("size") > BLOCK), "band", "size", "signature", survive).checkpoint()
+    rest = _rest_pairs(around).select(F.col("key").alias("band"), "lo", "hi", "node", F.col("payload").alias("signature"))
+    far = _dealt(rest, ["band", "lo", "hi"]).mapInPandas(prune_blocks, "a long, b long")
+    star = around.where("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return pairs.mapInPandas(prune, "a long, b long").union(blocks).union(far).union(star).distinct()
 
 
 def _gram_sets(parts: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -238,9 +285,29 @@ def _compared(blocks: DataFrame, threshold: float) -> DataFrame:
 
 
 def _verified(parts: DataFrame, docs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(node, root, links) from the exact similarities of all pairs within each part."""
+    """(node, root, links) from the exact similarities of all pairs within each part.
+
+    What similarity lacks to 1 is a metric: nodes that lack half of what a pair may lack to one node are all linked with
+    one another. In a large part only those that lie farther from its least node are compared with the others.
+    """
     sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
-    return _compared(_in_block_pairs(_gram_sets(parts, docs, n).join(sizes, "label"), "label", "size"), threshold)
+    sets = _gram_sets(parts, docs, n).join(sizes, "label").checkpoint()
+    close = 1 - (1 - threshold) / 2
+
+    def near(pivot: bytes, others: pd.Series) -> np.ndarray:
+        p, found = np.frombuffer(pivot, np.uint64), []
+        for grams in others:
+            x = np.frombuffer(grams, np.uint64)
+            both = len(np.intersect1d(p, x, assume_unique=True))
+            found.append(both >= close * (len(p) + len(x) - both) + 1e-9)
+        return np.array(found, bool)
+
+    few = _compared(_in_block_pairs(sets.where(F.col("size") <= BLOCK), "label", "size"), threshold)
+    around = _around_pivot(sets.where(F.col("size") > BLOCK), "label", "size", "grams", near).checkpoint()
+    ball = around.where("near").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    inside = around.where("near").join(ball, "key").select("node", F.col("pivot").alias("root"), (F.col("n") - 1).alias("links"))
+    rest = _rest_pairs(around).select(F.col("key").alias("label"), "lo", "hi", "mine", "node", F.col("payload").alias("grams"))
+    return few.unionByName(inside).unionByName(_compared(rest, threshold))
 
 
 def _connected(parts: DataFrame, docs: DataFrame, threshold: float, n: int) -> DataFrame:

@@ -197,3 +197,32 @@ def test_pruning_keeps_what_the_posterior_allows():
 def test_components(spark, edges, want):
     found = connected_components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.node: r.label for r in found.collect()} == want
+
+
+def test_many_different_near_copies_take_linear_work(spark, monkeypatch):
+    """2,000 different near copies of one text, and a few farther ones: those near the least node never meet in pairs."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(2000)]
+    # farther from the rest, linked with them all the same; one that is linked with none; an exact copy
+    for i in range(2000, 2008):
+        rows.append((i, " ".join([*base[:60], f"a{i}", *base[60:], f"own{i}"])))
+    rows += [(3000, " ".join(base[:70])), (3001, rows[5][1])]
+    dealt = []
+    real = nj._compared
+
+    def compared(blocks, threshold):
+        dealt.append(blocks.count())
+        return real(blocks, threshold)
+
+    monkeypatch.setattr(nj, "BLOCK", 64)
+    monkeypatch.setattr(nj, "_compared", compared)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in nj.similarity_classes(docs).collect()}
+    sets = {i: set(nj.shingles(t).tolist()) for i, t in rows}
+    nodes = {frozenset(s) for s in sets.values()}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    for i in [0, 1, 5, 999, *range(1995, 2008), 3000, 3001]:
+        assert got[i] == (3000 if i == 3000 else 0, sum(near(sets[i], s) for s in nodes) - 1, 2 if i in (5, 3001) else 1), i
+    assert {c for c, *_ in got.values()} == {0, 3000}
+    assert sum(dealt) <= 4 * len(rows)
