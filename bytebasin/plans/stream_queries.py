@@ -56,7 +56,7 @@ def ingested_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha256(encode(text)) AS name, min(doc_id) AS least, count(*) AS copies FROM documents GROUP BY 1")
 def streamed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row of every text among documents that come by id, and how many there are of it in all."""
-    docs = tb.read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("name"), "doc_id", F.timestamp_seconds(F.col("doc_id")).alias("ts"))
+    docs = tb.read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("name"), "doc_id", F.timestamp_seconds(F.col("doc_id") + 1_000_000_000).alias("ts"))
 
     def write(folder: str) -> None:
         _append(docs, f"{folder}/in", "doc_id")
@@ -103,7 +103,7 @@ def streamed_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write(folder: str) -> None:
         # by step: a run's rows come in its own order from part to part
-        _append(tb.runlog(spark, sf_dir).select("run", "step", "value", F.timestamp_seconds(F.col("step")).alias("ts")), f"{folder}/in", "step")
+        _append(tb.runlog(spark, sf_dir).select("run", "step", "value", F.timestamp_seconds(F.col("step") + 1_000_000_000).alias("ts")), f"{folder}/in", "step")
         _run(streams.early_stops(streams.table_stream(spark, f"{folder}/in", 1), 10, expires=("ts", "1 day", 86_400)), folder)
 
     return _through(spark, write, lambda folder: spark.read.parquet(f"{folder}/out"))
