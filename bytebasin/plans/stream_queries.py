@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bytebasin.plans.file_queries import _samples, _through
 from bytebasin.plans.store_queries import D
 from bytebasin.registry import query
-from bytebasin.sources import store
+from bytebasin.sources import ranged, store
 from bytebasin.sources import tables as tb
 from bytebasin.streaming import streams
 
@@ -29,6 +29,11 @@ def _append(rows: DataFrame, folder: str, by: str) -> None:
         rows.where(F.coalesce(at, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(folder)
 
 
+def _files_a_batch(spark: SparkSession, folder: str, pattern: str) -> int:
+    """Files a batch for ``PARTS`` batches, however many there are: a batch costs its state's tasks, whatever it reads."""
+    return max(8, -(-ranged.list_files(spark, folder, pattern).count() // PARTS))
+
+
 def _run(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> None:
     """Everything that is there through the stream, into ``folder``/out or the given sink."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
@@ -45,7 +50,7 @@ def ingested_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         samples = _samples(spark, sf_dir)
         for k in range(2):
             store.write_containers(samples, f"{folder}/in/{k}")
-        found = streams.fingerprinted(streams.blob_stream(spark, f"{folder}/in", "*.bin", 8), 1000)
+        found = streams.fingerprinted(streams.blob_stream(spark, f"{folder}/in", "*.bin", _files_a_batch(spark, f"{folder}/in", "*.bin")), 1000)
         # files are as old as this run: no name is forgotten while it lasts
         once = streams.unique_names(found, ("modificationTime", "1 day"))
         _run(once.select("name", "full_size", F.sha2("data", 256).alias("head")), folder)

@@ -75,3 +75,17 @@ def test_early_stops_and_their_state(spark, tmp_path, expires):
     held = run(streams.early_stops(stream, 2, expires=expires), tmp_path)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(r, 5) for r in range(1, 6)]
     assert held[-1] == 6 if expires is None else held[-1] < 6
+
+
+def test_batches_do_not_grow_with_files(spark, tmp_path):
+    from bytebasin.plans import stream_queries as sq
+
+    for i in range(101):
+        path = tmp_path / "in" / str(i % 2) / f"{i}.bin"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"%d" % (i // 2))
+    folder = str(tmp_path / "in")
+    found = streams.fingerprinted(streams.blob_stream(spark, folder, "*.bin", sq._files_a_batch(spark, folder, "*.bin")))
+    seen = []
+    run(streams.unique_names(found, ("modificationTime", "1 day")), tmp_path, each=lambda batch, k: seen.append((k, batch.count())))
+    assert len({k for k, n in seen if n}) <= sq.PARTS and sum(n for _, n in seen) == 51
