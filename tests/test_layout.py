@@ -182,3 +182,16 @@ def test_repeated_names_stay_apart(spark, files):
     df = spark.createDataFrame(rows, "name string, data binary")
     assert lo.headers(df).count() == sum(plain(d) is not None for _, d in rows)
     assert lo.structures(df.limit(0)).count() == 0 and lo.structures(df).where(F.col("level") == "COARSE").count() == sum(r[0] == "COARSE" for _, d in rows for r in plain(d)[3])
+
+
+def test_files_are_put_together_by_many_tasks(spark, sf):
+    from bytebasin.plans import layout_queries as lq
+
+    blobs = lq.executables(spark, sf)
+    in_tasks = blobs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(in_tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_headers_do_not_read_sections(spark):
+    plan = lo.headers(spark.createDataFrame([(1, bytearray(b"MZ"))], "name long, data binary"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "managed" not in plan and "entries" not in plan
