@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -25,11 +26,18 @@ def batches(df: DataFrame, per_batch: int, *order: Column | str, drop_last: bool
     return out.drop("rank")
 
 
-@F.pandas_udf(BinaryType())
-def tokens_of(blobs: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def tokens_of(blobs: pa.Array) -> pa.Array:
     """The bytes of a blob as tokens of 16 bits, little-endian: one more than the byte, so that 0 is left for padding.
-    A null blob has none."""
-    return pd.Series([(np.frombuffer(b or b"", np.uint8).astype("<u2") + np.uint16(1)).astype("<u2").tobytes() for b in blobs], dtype=object)
+    A null blob has none. A batch is shifted as it lies, without an object for each blob."""
+    whole = blobs.cast(pa.large_binary()).fill_null(b"")
+    if not len(whole):
+        return pa.array([], pa.binary())
+    at = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    held = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    tokens = held.astype("<u2")
+    tokens += np.uint16(1)
+    return pa.Array.from_buffers(pa.large_binary(), len(whole), [None, pa.py_buffer((at - at[0]) * TOKEN), pa.py_buffer(tokens)]).cast(pa.binary())
 
 
 def token_count(tokens: Column | str) -> Column:

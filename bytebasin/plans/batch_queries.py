@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -30,14 +30,23 @@ PADDED = "CASE WHEN n = 0 THEN substr(repeat(',0', length), 2) ELSE said || repe
 LINES = "lines AS (SELECT name, p - 1 AS ord, (p - 1) % 3 AS label, parts[p] AS line FROM (SELECT doc_id AS name, string_split(text, chr(10)) AS parts FROM documents) d, range(1, 100000) r(p) WHERE p <= len(parts) AND parts[p] <> '')"
 
 
-@F.pandas_udf(StructType([StructField("n", LongType()), StructField("total", LongType()), StructField("digest", StringType())]))
-def _told(rows: pd.Series) -> pd.DataFrame:
-    """Number, sum and digest of the tokens of a row's sequences, written as decimal numbers."""
-    found = []
-    for sequences in rows:
-        x = np.frombuffer(b"".join(sequences), "<u2")
-        found.append((len(x), int(x.sum()), hashlib.md5(",".join(map(str, x.tolist())).encode()).hexdigest()))
-    return pd.DataFrame(found, columns=["n", "total", "digest"])
+#: Tokens that are written out as numbers at once.
+SAID_AT_ONCE = 1 << 16
+
+
+@F.arrow_udf(StructType([StructField("n", LongType()), StructField("total", LongType()), StructField("digest", StringType())]))
+def _told(rows: pa.Array) -> pa.Array:
+    """Number, sum and digest of the tokens of a row's sequences, written as decimal numbers: one row at a time becomes
+    Python objects, and of it one part at a time numbers."""
+    ns, totals, digests = [], [], []
+    for row in rows:
+        x, digest = np.frombuffer(b"".join(row.as_py()), "<u2"), hashlib.md5()
+        for lo in range(0, len(x), SAID_AT_ONCE):
+            digest.update(("," * (lo > 0) + ",".join(map(str, x[lo : lo + SAID_AT_ONCE].tolist()))).encode())
+        ns.append(len(x))
+        totals.append(int(x.sum()))
+        digests.append(digest.hexdigest())
+    return pa.StructArray.from_arrays([pa.array(ns, pa.int64()), pa.array(totals, pa.int64()), pa.array(digests, pa.string())], ["n", "total", "digest"])
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

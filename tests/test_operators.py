@@ -378,3 +378,11 @@ def test_fingerprint_has_two_levels(spark):
     md5 = lambda parts: hashlib.md5(",".join(map(str, parts)).encode()).hexdigest()
     want = md5(md5(7 * i for i in range(lo, lo + 4)) for lo in range(0, 100, 4))
     assert st.ordered_fingerprint(rows, "idx", "split", bucket=4).collect() == [(0, want, 100)]
+
+
+def test_tokens_of_a_batch_as_it_lies():
+    import pyarrow as pa
+
+    blobs = pa.array([b"zz", b"a\xff", None, b"", b"b"], pa.binary())
+    assert bt.tokens_of.func(blobs.slice(1)).to_pylist() == [b"b\0\0\1", b"", b"", b"c\0"]
+    assert bt.tokens_of.func(blobs.slice(5)).to_pylist() == []
