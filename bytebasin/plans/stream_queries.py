@@ -20,13 +20,16 @@ PARTS, PER_SHARD = 4, 100
 
 
 def _append(rows: DataFrame, folder: str, by: str) -> None:
-    """Rows in files of their own by ranges of a column, one after the other, as a producer would leave them."""
+    """Rows in files of their own by ranges of a column, one after the other, as a producer would leave them.
+
+    Rows are read and made by all tasks; what one task gets is a part's narrow rows, to put them into its file.
+    """
     cuts = rows.select(F.percentile_approx(F.col(by).cast("double"), [k / PARTS for k in range(1, PARTS)], 1000)).first()[0] or []
     at = F.lit(0)
     for c in sorted(set(cuts)):
         at = at + (F.col(by).cast("double") > c).cast("int")
     for k in range(len(set(cuts)) + 1):
-        rows.where(F.coalesce(at, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(F.coalesce(at, F.lit(0)) == k).repartition(1).write.mode("append").parquet(folder)
 
 
 def _files_a_batch(spark: SparkSession, folder: str, pattern: str) -> int:

@@ -89,3 +89,12 @@ def test_batches_do_not_grow_with_files(spark, tmp_path):
     seen = []
     run(streams.unique_names(found, ("modificationTime", "1 day")), tmp_path, each=lambda batch, k: seen.append((k, batch.count())))
     assert len({k for k, n in seen if n}) <= sq.PARTS and sum(n for _, n in seen) == 51
+
+
+def test_appended_rows_are_made_by_all_tasks(spark, tmp_path):
+    from bytebasin.plans import stream_queries as sq
+
+    sq._append(spark.range(0, 100, 1, 4).withColumn("made_in", F.spark_partition_id()), str(tmp_path / "in"), "id")
+    made = spark.read.parquet(str(tmp_path / "in"))
+    assert {r[0] for r in made.select("made_in").distinct().collect()} == {0, 1, 2, 3} and made.count() == 100
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == sq.PARTS
