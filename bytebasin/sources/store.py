@@ -23,6 +23,8 @@ RUNLOG_SUFFIX = "_gpu_mem"
 SKIPPED = "skipped"
 #: Bytes of a row group of stored sets; shards, and keys, that a lookup of many pushes down at most.
 ROW_GROUP, FEW_SHARDS, FEW_KEYS = 8 << 20, 1000, 200
+#: Sizes of Bloom filters that are tried, each half of the one before, from a megabyte on.
+FILTER_SIZES = 16
 
 
 def read_blobs(spark: SparkSession, folder: str, max_length: int | None = None, pattern: str = "*") -> DataFrame:
@@ -129,9 +131,14 @@ def write_containers(samples: DataFrame, folder: str, page: int = 4096, compress
 
 def _write_stored(rows: DataFrame, folder: str, key: str) -> None:
     """Parquet by shard, each shard in the order of the key, with Bloom filters on it: a lookup opens its shard's folder,
-    and in it only row groups that may hold the key."""
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", key)
+    and in it only row groups that may hold the key.
+
+    A filter is as large as its row group's keys need, else each small shard would hold a megabyte of it. A shard of more
+    bytes than a task should have is written by several, each of them in the order of the key.
+    """
+    dealt = rows.hint("rebalance", "shard").sortWithinPartitions("shard", key)
     writer = dealt.write.mode("error").partitionBy("shard").option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", True).option("parquet.bloom.filter.candidates.number", FILTER_SIZES)
     writer.option(f"parquet.bloom.filter.enabled#{key}", True).parquet(folder)
 
 

@@ -92,3 +92,26 @@ def test_transforms_with_a_reject_channel(spark):
     with pytest.raises(Exception, match="ZeroDivisionError.*sample b"):
         store.map_blobs(df, fn, "id string, share long, back binary").collect()
     assert store.transformed(df.limit(0), fn, "id string, share long, back binary").count() == 0
+
+
+def test_small_shards_have_small_filters(spark, tmp_path):
+    rows = spark.range(600).selectExpr("id AS name", "id AS idx", "id % 3 AS shard")
+    store.write_packed(rows, str(tmp_path / "set"))
+    files = list((tmp_path / "set").rglob("*.parquet"))
+    assert files and max(f.stat().st_size for f in files) < 100_000
+    assert store.lookup(spark.read.parquet(str(tmp_path / "set")), 7, 1).first()["idx"] == 7
+
+
+def test_a_large_shard_is_written_by_several_tasks(spark, tmp_path):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 60_000, 1, 8).selectExpr("id AS name", "xxhash64(id) AS value", "id % 2 AS shard")
+        store.write_regions(rows, str(tmp_path / "set"))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "set" / "shard=0").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "set")).count() == 60_000
