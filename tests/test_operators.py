@@ -386,3 +386,14 @@ def test_tokens_of_a_batch_as_it_lies():
     blobs = pa.array([b"zz", b"a\xff", None, b"", b"b"], pa.binary())
     assert bt.tokens_of.func(blobs.slice(1)).to_pylist() == [b"b\0\0\1", b"", b"", b"c\0"]
     assert bt.tokens_of.func(blobs.slice(5)).to_pylist() == []
+
+
+def test_regions_take_more_tasks_for_more_rows(spark, sf, monkeypatch):
+    from bytebasin.sources import tables as tb
+
+    n = tb.read(spark, sf, "lineitem").count()
+    monkeypatch.setattr(tb, "MOST_ROWS", n // 9)
+    in_tasks = tb.regions(spark, sf).groupBy(F.spark_partition_id()).count().collect()
+    assert len(in_tasks) >= 9 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = catalog.QUERIES["segment_flags"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and all("REPARTITION_BY_NUM" in x for x in plan.split("\n") if "Exchange" in x)
