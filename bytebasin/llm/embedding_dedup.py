@@ -1,31 +1,36 @@
 """Near copies among embeddings: small-world graphs by shard, every shard asked by every vector, links verified, components.
 
 Equal vectors are one node. Each shard's task builds a graph and audits it: queries that lie at the threshold from known
-vectors are sought with the graph and by brute force, and the beam is widened until the graph finds enough. A link found
-is verified in double precision; a task hands on as many links as connect what it has found. A component's links are then
-counted exactly: at once where all its members lie so near to their mean that each pair must be linked, else by
-comparing its members in blocks.
+vectors are sought with the graph and by brute force, and the beam is widened until the graph finds enough. Graphs are
+files that all tasks share; a slice of the vectors asks one after another. A link found is verified in double precision;
+a task hands on as many links as connect what it has found. A component's links are then counted exactly: at once where
+all its members lie so near to their mean that each pair must be linked, else by comparing its members in blocks.
 """
 
 from __future__ import annotations
 
-import io
 import math
+import posixpath
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from bytebasin.llm.common import ensure_checkpoints, give_back
+from bytebasin.llm.common import drop_folder, ensure_checkpoints, give_back, shared_folder
 from bytebasin.llm.components import connected_components
 from bytebasin.llm.small_world import LINKS, SmallWorld
 
 THRESHOLD = 0.95
 #: Vectors in a shard at most, about; and shards over which fewer vectors are dealt, so that they are built side by side.
 SHARD_ROWS, SHARDS, LEAST_ROWS = 1 << 16, 8, 1000
-#: Vectors that ask a shard in one task, about.
-SLICE = 8192
+#: Vectors that ask the shards in one task, about; and slices over which fewer vectors are dealt.
+SLICE, SLICES, LEAST_SLICE = 8192, 32, 1024
 #: Beam at first; queries in an audit, and the share of their links that the graph must find.
 BEAM, AUDITS, RECALL = 32, 256, 0.995
 #: A beam full of links is widened up to this share of a shard; beyond it the shard is read through.
@@ -34,6 +39,8 @@ WIDEST = 1 / 8
 BLOCK = 1024
 #: What a similarity in single precision may lack.
 SLACK = 1e-4
+#: Numbers that vectors compared with a whole shard, or beams of a search, may take at a time.
+NUMBERS = 1 << 22
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -49,7 +56,14 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
+
+
+def _parts(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """``rows`` a few at a time, so that ``width`` numbers for each of them are bounded."""
+    step = max(1, NUMBERS // max(1, width))
+    for lo in range(0, len(rows), step):
+        yield rows[lo : lo + step]
 
 
 def audited_beam(world: SmallWorld, vectors: np.ndarray, threshold: float, seed: int = 11) -> tuple[int, float]:
@@ -65,7 +79,7 @@ def audited_beam(world: SmallWorld, vectors: np.ndarray, threshold: float, seed:
     aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
     near = min(1.0, threshold + 1e-3)
     queries = units(near * base + math.sqrt(1 - near * near) * aside)
-    links = queries @ vectors.T >= threshold
+    links = np.vstack([part @ vectors.T >= threshold for part in _parts(queries, len(vectors))])
     beam = min(BEAM, len(vectors))
     while True:
         ids, sims = world.search(queries, beam)
@@ -80,14 +94,13 @@ def audited_beam(world: SmallWorld, vectors: np.ndarray, threshold: float, seed:
         beam = min(2 * beam, len(vectors))
 
 
-def _packed(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
+def build_index(nodes: DataFrame, shards: int, folder: str, threshold: float = THRESHOLD) -> list[Row]:
+    """(dim, shard, n, beam, recall, file) of nodes (node, dim, vector): a graph for each shard, written to ``folder``,
+    and its audit.
 
-
-def build_index(nodes: DataFrame, shards: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(dim, shard, n, beam, recall, index) of nodes (node, dim, vector): a graph for each shard and its audit."""
+    ``folder`` must be shared by the executors (any file system that Arrow opens). A task names its file after its own
+    attempt, and the rows, of which the driver gets one a shard, name the files of the attempts that counted.
+    """
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         dim, shard = (k.as_py() for k in key)
@@ -97,13 +110,18 @@ def build_index(nodes: DataFrame, shards: int, threshold: float = THRESHOLD) ->
         world = SmallWorld.built(vectors)
         beam, recall = audited_beam(world, vectors, threshold)
         levels = {f"graph{i}": g for i, g in enumerate(world.graph)} | {f"entries{i}": e for i, e in enumerate(world.entries)}
-        index = _packed(ids=ids[order], vectors=vectors, **levels)
+        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs.create_dir(base, recursive=True)
+        file = f"graph-{dim}-{shard}-{TaskContext.get().taskAttemptId()}.npz"
+        with fs.open_output_stream(posixpath.join(base, file)) as out:
+            np.savez(out, ids=ids[order], vectors=vectors, **levels)
+        del world, vectors, levels
         give_back()
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "beam": pa.array([beam], pa.int32()), "recall": [recall], "index": pa.array([index], pa.binary())})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "beam": pa.array([beam], pa.int32()), "recall": [recall], "file": [file]})
 
     shard = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
     dealt = nodes.select("dim", shard.alias("shard"), "node", "vector")
-    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, n long, beam int, recall double, index binary")
+    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, n long, beam int, recall double, file string").collect()
 
 
 def _links(world: SmallWorld, vectors: np.ndarray, queries: np.ndarray, beam: int, threshold: float):
@@ -111,8 +129,7 @@ def _links(world: SmallWorld, vectors: np.ndarray, queries: np.ndarray, beam: in
     left, most = np.arange(len(queries)), max(beam, int(len(vectors) * WIDEST))
     while len(left) and beam <= most:
         full = []
-        for lo in range(0, len(left), 1024):
-            part = left[lo : lo + 1024]
+        for part in _parts(left, max(beam, NUMBERS // 1024)):
             ids, sims = world.search(queries[part], beam)
             near = (ids >= 0) & (sims >= threshold - SLACK)
             whole = near.all(axis=1) & (beam < len(vectors))
@@ -120,47 +137,54 @@ def _links(world: SmallWorld, vectors: np.ndarray, queries: np.ndarray, beam: in
             for row, hit in zip(part[~whole], [i[n] for i, n in zip(ids[~whole], near[~whole])]):
                 yield row, hit[vectors[hit] @ queries[row] >= threshold]
         left, beam = np.concatenate(full), beam * 2
-    for lo in range(0, len(left), 256):
-        part = left[lo : lo + 256]
+    for part in _parts(left, len(vectors)):
         linked = queries[part] @ vectors.T >= threshold
         for row, hits in zip(part, linked):
             yield row, np.flatnonzero(hits)
 
 
-def find_links(nodes: DataFrame, index: DataFrame, n: int, shards: int, threshold: float = THRESHOLD) -> DataFrame:
+def find_links(nodes: DataFrame, index: list[Row], folder: str, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """Edges (a, b) that connect all nodes that any shard's graph has found linked; each edge is a verified link, or the
-    first node that a vector of the shard was linked with stands for that vector."""
-    slices = max(1, -(-n // SLICE))
-
-    def ask(key: tuple, asking: pa.Table, asked: pa.Table) -> pa.Table:
-        a, b = [], []
-        if len(asking) and len(asked):
-            dim, held = key[0].as_py(), np.load(io.BytesIO(asked.column("index")[0].as_py()))
-            levels = sum(k.startswith("graph") for k in held.files)
-            ids, vectors = held["ids"], held["vectors"]
-            world = SmallWorld.restored(vectors, [held[f"graph{i}"] for i in range(levels)], [held[f"entries{i}"] for i in range(levels)], LINKS)
-            names, queries = asking.column("node").to_numpy(), units(_matrix(asking.column("vector"), dim))
-            owner = np.full(len(ids), -1, np.int64)
-            for row, hits in _links(world, vectors, queries, asked.column("beam")[0].as_py(), threshold):
-                hits = hits[ids[hits] != names[row]]
-                if not len(hits):
-                    continue
-                new = hits[owner[hits] < 0]
-                known = np.unique(owner[hits[owner[hits] >= 0]])
-                owner[new] = names[row]
-                ends = np.concatenate([ids[new], known[known != names[row]]])
-                a.append(np.full(len(ends), names[row]))
-                b.append(ends)
-            give_back()
-        ends = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)]
-        return pa.table(ends, ["a", "b"])
-
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    slice_ = F.pmod(F.xxhash64("node", F.lit("slice")), F.lit(slices)).cast("int")
-    asking = nodes.select("dim", slice_.alias("slice"), "node", "vector", every(shards).alias("shard"))
-    asked = index.select("dim", "shard", "beam", "index", every(slices).alias("slice"))
-    keys = ("dim", "shard", "slice")
-    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(ask, "a long, b long")
+    first node that a vector of the shard was linked with stands for that vector.
+
+    A task holds a slice of the vectors and one graph at a time, so neither is copied for the other.
+    """
+    slices = max(1, -(-n // SLICE), min(SLICES, -(-n // LEAST_SLICE)))
+    shards = defaultdict(list)
+    for row in index:
+        shards[row["dim"]].append((row["file"], row["beam"]))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        asking = pa.Table.from_batches(held)
+        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for dim in pc.unique(asking.column("dim")).to_pylist():
+            mine = asking.filter(pc.equal(asking.column("dim"), dim))
+            names, queries = mine.column("node").to_numpy(), units(_matrix(mine.column("vector"), dim))
+            for file, beam in shards[dim]:
+                with fs.open_input_file(posixpath.join(base, file)) as source, np.load(source) as stored:
+                    levels = sum(k.startswith("graph") for k in stored.files)
+                    ids, vectors = stored["ids"], stored["vectors"]
+                    world = SmallWorld.restored(vectors, [stored[f"graph{i}"] for i in range(levels)], [stored[f"entries{i}"] for i in range(levels)], LINKS)
+                a, b = [], []
+                owner = np.full(len(ids), -1, np.int64)
+                for row, hits in _links(world, vectors, queries, beam, threshold):
+                    hits = hits[ids[hits] != names[row]]
+                    if not len(hits):
+                        continue
+                    new = hits[owner[hits] < 0]
+                    known = np.unique(owner[hits[owner[hits] >= 0]])
+                    owner[new] = names[row]
+                    ends = np.concatenate([ids[new], known[known != names[row]]])
+                    a.append(np.full(len(ends), names[row]))
+                    b.append(ends)
+                if a:
+                    yield pa.record_batch([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], ["a", "b"])
+        give_back()
+
+    return nodes.select("dim", "node", "vector").repartition(slices).mapInArrow(ask, "a long, b long")
 
 
 def _all_linked(members: DataFrame, threshold: float) -> DataFrame:
@@ -208,9 +232,11 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, vec_id: str = "ve
     without one take part, are not named as a component's least id unless it has no other, and are kept in that case
     alone. An empty table has no rows. Other columns are not read.
 
-    Equal vectors, however many, are one node; each task holds a shard and a slice of the vectors.
+    Equal vectors, however many, are one node; each task holds a shard and a slice of the vectors. Graphs lie in the
+    checkpoint folder until all links are found.
     """
-    ensure_checkpoints(rows.sparkSession)
+    spark = rows.sparkSession
+    ensure_checkpoints(spark)
     plain = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     good = usable(F.col("vector"))
     keyed = plain.select("vec_id", *[F.when(good, F.xxhash64(F.lit(s), "vector")).alias(f"h{s}") for s in (1, 2)], F.when(good, F.col("vector")).alias("vector"))
@@ -219,8 +245,12 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, vec_id: str = "ve
     n = nodes.count()
     shards = max(1, -(-n // SHARD_ROWS), min(SHARDS, -(-n // LEAST_ROWS)))
     vectors = nodes.select("node", "dim", "vector")
-    index = build_index(vectors, shards, threshold).checkpoint()
-    labels = connected_components(find_links(vectors, index, n, shards, threshold))
+    folder = shared_folder(spark, "embedding-graphs")
+    index = build_index(vectors, shards, folder, threshold)
+    # checkpointed, as components read links twice
+    links = find_links(vectors, index, folder, n, threshold).checkpoint()
+    drop_folder(spark, folder)
+    labels = connected_components(links)
     members = nodes.drop("h1", "h2").join(labels, "node").checkpoint()
     parts = _all_linked(members, threshold).checkpoint()
     sized = members.join(parts, "label")

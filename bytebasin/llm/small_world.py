@@ -15,6 +15,8 @@ LINKS = 24
 BUILD_BEAM = 64
 #: Vectors inserted, or sought, at a time, and numbers in all of them; vectors of many dimensions go fewer at a time.
 BATCH, NUMBERS = 256, 1 << 14
+#: Vectors in the beams of a search at a time.
+WIDE = 1 << 21
 #: Beam vectors whose links are followed at a time.
 FOLLOW = 2
 
@@ -157,8 +159,9 @@ class SmallWorld:
         """Ids and similarities of the best ``beam`` vectors found for each query, best first."""
         queries = np.ascontiguousarray(queries, np.float32)
         found = []
-        for lo in range(0, len(queries), self.batch):
-            part = queries[lo : lo + self.batch]
+        size = max(8, min(self.batch, WIDE // max(1, beam)))
+        for lo in range(0, len(queries), size):
+            part = queries[lo : lo + size]
             start = np.zeros((len(part), 0), np.int32)
             for level in range(len(self.graph) - 1, 0, -1):
                 if len(self.entries[level]):

@@ -104,3 +104,36 @@ def test_query_against_plain(spark, sf):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert sorted(map(tuple, QUERIES["op13_embedding_dedup"](spark, sf).collect()), key=repr) == plain(rows)
+
+
+def shuffled(spark):
+    """Bytes shuffled so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    none = context._jvm.java.util.ArrayList()
+    stages = context._jsc.sc().statusStore().stageList(none, False, False, context._gateway.new_array(context._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_graphs_are_not_copied_for_slices(spark, monkeypatch, tmp_path):
+    """A shard's graph isn't shuffled to those who ask it, nor are vectors for each shard; and no file of it stays."""
+    monkeypatch.setattr(ed, "LEAST_ROWS", 300)
+    monkeypatch.setattr(ed, "SLICE", 100)
+    monkeypatch.setattr(ed, "shared_folder", lambda _, name: f"{tmp_path}/{name}")
+    rows = planted(4, n=3000)
+    want, before = plain(rows), shuffled(spark)
+    assert run(spark, rows) == want
+    assert shuffled(spark) - before < 12 * len(rows) * 32 * 8
+    assert not any(tmp_path.iterdir())
+
+
+def test_search_in_wide_beams_goes_by_fewer_queries(monkeypatch):
+    from bytebasin.llm import small_world
+
+    rng = np.random.default_rng(6)
+    world = SmallWorld.built(ed.units(rng.normal(size=(400, 8))))
+    queries = ed.units(rng.normal(size=(50, 8)))
+    ids, sims = world.search(queries, 400)
+    monkeypatch.setattr(small_world, "WIDE", 400)
+    again = world.search(queries, 400)
+    assert (again[0] == ids).all() and np.allclose(again[1], sims, atol=1e-6)
